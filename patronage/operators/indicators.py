@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import TOTAL_MONEY, days_since, money, share, total
+from patronage.functions.columns import days_since, money, total
 
 NEVER = "never_purchased"
 
@@ -91,7 +91,3 @@ def purchase_gaps(purchases: DataFrame) -> DataFrame:
     )
 
 
-__all__ = [
-    "NEVER", "TOTAL_MONEY", "indicator_aggregates", "non_buyers", "purchase_gaps", "purchase_rate",
-    "rfm_base", "share", "with_non_buyers",
-]

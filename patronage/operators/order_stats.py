@@ -19,6 +19,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Weights carry two more decimals than money: a position may be a percentage of a total,
+#: and Spark would otherwise round it to the scale of the weights when comparing.
+WEIGHT_TYPE = "decimal(38,4)"
+
 UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
@@ -57,7 +61,7 @@ def exact_cuts(
     values strictly under ``cut``.
     """
     groups = list(groups)
-    measure = F.col(weight) if weight else F.lit(1).cast("bigint")
+    measure = F.col(weight).cast(WEIGHT_TYPE) if weight else F.lit(1).cast("bigint")
     rows = rows.select(*groups, F.col(value).alias("v"), measure.alias("w"))
     fences = rows.groupBy(*groups).agg(F.percentile_approx("v", list(fence_at), 10_000).alias("fences"))
     nearby = rows.join(F.broadcast(fences), groups) if groups else rows.crossJoin(F.broadcast(fences))

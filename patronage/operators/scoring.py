@@ -26,12 +26,13 @@ from patronage.session import pin, small_table
 
 INDICATORS = ("r", "f", "m")
 
-#: More is better for each of these; recency is turned round.
-GOODNESS = {"r": "-recency_days", "f": "frequency", "m": "monetary"}
+VALUES = {"r": "recency_days", "f": "frequency", "m": "monetary"}
 
 
 def _goodness(indicator: str) -> Column:
-    return F.expr(GOODNESS[indicator]).cast(TOTAL_MONEY)
+    """The indicator as a value of which more is better."""
+    value = F.col(VALUES[indicator]).cast(TOTAL_MONEY)
+    return -value if indicator == "r" else value
 
 
 def _long(base: DataFrame, by: Sequence[str], indicators: Sequence[str], *extra: str) -> DataFrame:
@@ -118,6 +119,14 @@ def fixed_cuts(base: DataFrame, r: Sequence, f: Sequence, m: Sequence) -> DataFr
     return small_table(base.sparkSession, [exact], schema)
 
 
+def score_column(indicator: str, value: Column, k: int) -> Column:
+    """One point, and one more for each cut passed. Types are aligned by hand because Spark
+    would round the cuts to the scale of the money column."""
+    cut, value = F.col(f"{indicator}_cuts"), value.cast(CUT_TYPE)
+    passed = [(value <= cut[j] if indicator == "r" else value > cut[j]).cast("int") for j in range(k - 1)]
+    return add_up([F.lit(1), *passed])
+
+
 def apply_cutpoints(
     base: DataFrame,
     cuts: DataFrame,
@@ -126,13 +135,7 @@ def apply_cutpoints(
     indicators: Sequence[str] = INDICATORS,
 ) -> DataFrame:
     """Add the score of each indicator: one comparison per cut, no shuffle of customers."""
-    def score(i: str) -> Column:
-        cut = F.col(f"{i}_cuts")
-        value = F.col({"r": "recency_days", "f": "frequency", "m": "monetary"}[i])
-        passed = [(value <= cut[j] if i == "r" else value > cut[j]).cast("int") for j in range(k - 1)]
-        return F.lit(1) + add_up(passed) if passed else F.lit(1)
-
-    scores = [score(i).alias(f"{i}_score") for i in indicators]
+    scores = [score_column(i, F.col(VALUES[i]), k).alias(f"{i}_score") for i in indicators]
     return _with_cuts(base, cuts, by).select(*base.columns, *scores)
 
 
@@ -182,7 +185,7 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
             cut, last = F.col(f"{i}_cuts")[j]["cut"], F.col(f"{i}_cuts")[j]["id"]
             after = (_goodness(i) > cut) | ((_goodness(i) == cut) & (F.col("customer_id") > last))
             passed.append(after.cast("int"))
-        return F.lit(1) + add_up(passed) if passed else F.lit(1)
+        return add_up([F.lit(1), *passed])
 
     return _with_cuts(base, cuts, ()).select(*base.columns, *[score(i).alias(f"{i}_score") for i in INDICATORS])
 

@@ -96,10 +96,10 @@ def validate_rules(rules: Iterable[Rule], k: int = 5) -> None:
 def segment_of(rules: Iterable[Rule]) -> Column:
     """The rules as one CASE: a handful of comparisons, no join."""
     r, f = F.col("r_score"), F.col("f_score")
-    case = F.lit(None).cast("string")
-    for rule in reversed(list(rules)):
+    case = F
+    for rule in rules:
         inside = r.between(rule.r_lo, rule.r_hi) & f.between(rule.f_lo, rule.f_hi)
-        case = F.when(inside, rule.segment).otherwise(case)
+        case = case.when(inside, F.lit(rule.segment))
     return case
 
 
