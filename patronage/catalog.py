@@ -121,7 +121,7 @@ def all_customers(spark, directory):
 
 
 def average_order_values(spark, directory):
-    return _base(spark, directory).select(
+    return rfm_base(spark, directory).select(
         "customer_id", "monetary", "frequency", average_order_value().alias("average_order_value")
     )
 
@@ -163,11 +163,11 @@ def fitted_cutpoints(spark, directory):
 def score_kept_cutpoints(spark, directory):
     """Cuts fitted at an earlier date, applied later: scores stay comparable."""
     cuts = scoring.fit_cutpoints(customer_base(_orders(spark, directory), EARLIER))
-    return scoring.apply_cutpoints(_base(spark, directory), cuts)
+    return scoring.apply_cutpoints(rfm_base(spark, directory), cuts)
 
 
 def score_fixed(spark, directory):
-    return scoring.score_fixed(_base(spark, directory), **FIXED_CUTS)
+    return scoring.score_fixed(rfm_base(spark, directory), **FIXED_CUTS)
 
 
 def score_nested(spark, directory):

@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.columns import date_literal, days_since, midnight
 from patronage.operators.indicators import indicator_aggregates
-from patronage.operators.order_stats import UP_TO_HERE
-from patronage.operators.scoring import apply_cutpoints, rank_cuts, score_column
+from patronage.operators.scoring import apply_cutpoints, rank_cuts, score_sql
 from patronage.operators.segments import DEFAULT_RULES, Rule, assign_segments, segment_of, validate_rules
 from patronage.session import materialize
 
@@ -77,7 +76,7 @@ def spells(
         )
 
     in_order = Window.partitionBy("customer_id").orderBy("no")
-    so_far = in_order.rowsBetween(*UP_TO_HERE)
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = monthly.select(
         "customer_id",
         "no",
@@ -192,13 +191,13 @@ def migration_series(
     )
 
     def segment_at(df: DataFrame, date: str, prefix: str, name: str) -> DataFrame:
-        recency = days_since(F.col(date), F.col(f"{prefix}last_purchase"))
-        frequency = F.col(f"{prefix}frequency")
+        recency = f"date_diff({date}, {prefix}last_purchase)"
+        frequency = f"{prefix}frequency"
         limits = cuts.select(F.col("as_of").alias(date), "r_cuts", "f_cuts")
         scored = df.join(F.broadcast(limits), date, "left").withColumns(
-            {"r_score": score_column("r", recency, k), "f_score": score_column("f", frequency, k)}
+            {"r_score": F.expr(score_sql("r", recency, k)), "f_score": F.expr(score_sql("f", frequency, k))}
         )
-        known = F.when(frequency > 0, segment_of(rules)).otherwise(NOBODY)
+        known = F.when(F.col(frequency) > 0, segment_of(rules)).otherwise(NOBODY)
         return scored.select(*df.columns, known.alias(name))
 
     moved = segment_at(segment_at(dated, "previous", "was_", "from_segment"), "as_of", "", "to_segment")

@@ -14,16 +14,14 @@ costs one row, and intervals shrink with the accuracy of the fences.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 #: Weights carry two more decimals than money: a position may be a percentage of a total,
 #: and Spark would otherwise round it to the scale of the weights when comparing.
 WEIGHT_TYPE = "decimal(38,4)"
 
-UP_TO_HERE = (Window.unboundedPreceding, Window.currentRow)
 
 
 def spread(intervals: int) -> list[float]:
@@ -36,61 +34,71 @@ def around(positions: Sequence[float], margin: float = 2e-4) -> list[float]:
     return sorted({min(max(p + side, 0.0), 1.0) for p in positions for side in (-margin, margin)})
 
 
-def slot_of(fences: Column, value: Column) -> Column:
-    """Number of fences strictly below ``value``; equal values always land together."""
-    return F.size(F.filter(fences, lambda fence: fence < value))
+def fences_sql(value: str, fence_at: Sequence[float]) -> str:
+    return f"percentile_approx(CAST({value} AS DOUBLE), array({', '.join(map(str, fence_at))}), 10000) AS fences"
+
+
+def slot_sql(value: str, n_fences: int) -> str:
+    """Number of fences strictly below ``value``.
+
+    Compared as doubles for speed. Rounding keeps the order, and equal values always land
+    together, which is all the counting needs; cuts are found among the values themselves.
+    """
+    if n_fences > 32:
+        return f"size(filter(fences, fence -> fence < CAST({value} AS DOUBLE)))"
+    return " + ".join(f"CAST(fences[{i}] < CAST({value} AS DOUBLE) AS INT)" for i in range(n_fences))
 
 
 def exact_cuts(
     rows: DataFrame,
     groups: Sequence[str],
     value: str,
-    targets: Column,
+    targets: Mapping[int, str],
     fence_at: Sequence[float],
     weight: str | None = None,
 ) -> DataFrame:
     """The smallest value whose running total reaches each wanted position.
 
-    ``targets`` is an array of ``struct(j, position)`` over the group columns and over
-    ``total``, the sum of the weights (or the number of rows) of the group. Positions run
-    from just above zero to ``total``. The number of groups must be small (dates,
-    indicators, scores): fences and targets of each group are broadcast, nothing that
-    grows with the rows.
+    ``targets`` gives, for each cut number ``j``, its position as SQL over the group
+    columns and over ``total``, the sum of the weights (or the number of rows) of the
+    group. Positions run from just above zero to ``total``. The number of groups must be
+    small (dates, indicators, scores): fences and targets of each group are broadcast,
+    nothing that grows with the rows.
 
-    Returns ``groups..., j, position, cut, below``, where ``below`` is the total of all
-    values strictly under ``cut``.
+    Returns ``groups..., j, position, total, cut, below``, where ``below`` is the total of
+    all values strictly under ``cut``.
     """
-    groups = list(groups)
-    measure = F.col(weight).cast(WEIGHT_TYPE) if weight else F.lit(1).cast("bigint")
-    rows = rows.select(*groups, F.col(value).alias("v"), measure.alias("w"))
-    fences = rows.groupBy(*groups).agg(F.percentile_approx("v", list(fence_at), 10_000).alias("fences"))
-    nearby = rows.join(F.broadcast(fences), groups) if groups else rows.crossJoin(F.broadcast(fences))
-    placed = nearby.select(*groups, slot_of(F.col("fences"), F.col("v")).alias("slot"), "v", "w")
-
-    group_window = Window.partitionBy(*groups)
-    slots = (
-        placed.groupBy(*groups, "slot")
-        .agg(F.sum("w").alias("slot_total"))
-        .withColumn("through", F.sum("slot_total").over(group_window.orderBy("slot").rowsBetween(*UP_TO_HERE)))
-        .withColumn("total", F.sum("slot_total").over(group_window))
-        .withColumn("before", F.col("through") - F.col("slot_total"))
-    )
-    wanted = (
-        slots.select(*groups, "slot", "before", "through", F.explode(targets).alias("t"))
-        .where("before < t.position AND t.position <= through")
-        .select(*groups, "slot", "before", "t.j", "t.position")
-    )
-
-    asked = [*groups, "j", "position"]
-    in_slot = Window.partitionBy(*asked).orderBy("v")
-    return (
-        placed.join(F.broadcast(wanted), [*groups, "slot"])
-        .groupBy(*asked, "before", "v")
-        .agg(F.sum("w").alias("value_total"))
-        .withColumn("through", F.col("before") + F.sum("value_total").over(in_slot.rowsBetween(*UP_TO_HERE)))
-        .withColumn("below", F.col("through") - F.col("value_total"))
-        .where("below < position AND position <= through")
-        .select(*asked, F.col("v").alias("cut"), "below")
+    keys = "".join(f"{g}, " for g in groups)
+    using = f"USING ({', '.join(groups)})" if groups else ""
+    per_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
+    measure, kind = (f"CAST({weight} AS {WEIGHT_TYPE})", WEIGHT_TYPE) if weight else ("1L", "BIGINT")
+    wanted = ", ".join(f"struct({j} AS j, CAST({p} AS {kind}) AS position)" for j, p in targets.items())
+    return rows.sparkSession.sql(
+        f"""
+        WITH measured AS (SELECT {keys} {value} AS v, {measure} AS w FROM {{rows}}),
+        fences AS (SELECT {keys} {fences_sql("v", fence_at)} FROM measured GROUP BY ALL),
+        placed AS (
+            SELECT /*+ BROADCAST(fences) */ {keys} {slot_sql("v", len(fence_at))} AS slot, v, w
+            FROM measured {"JOIN" if groups else "CROSS JOIN"} fences {using}),
+        slots AS (SELECT {keys} slot, sum(w) AS slot_total FROM placed GROUP BY ALL),
+        edges AS (
+            SELECT *, sum(slot_total) OVER ({per_group} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS through,
+                sum(slot_total) OVER ({per_group}) AS total FROM slots),
+        asked AS (
+            SELECT {keys} slot, total, through, through - slot_total AS before, inline(array({wanted})) FROM edges),
+        wanted AS (
+            SELECT {keys} slot, total, before, j, position FROM asked WHERE before < position AND position <= through),
+        counted AS (
+            SELECT /*+ BROADCAST(wanted) */ {keys} j, position, total, before, v, sum(w) AS value_total
+            FROM placed JOIN wanted USING ({keys} slot) GROUP BY ALL),
+        summed AS (
+            SELECT *, before + sum(value_total)
+                OVER (PARTITION BY {keys} j, position ORDER BY v ROWS UNBOUNDED PRECEDING) AS through
+            FROM counted)
+        SELECT {keys} j, position, total, v AS cut, through - value_total AS below FROM summed
+        WHERE through - value_total < position AND position <= through
+        """,
+        rows=rows,
     )
 
 
@@ -100,34 +108,26 @@ def running_totals(rows: DataFrame, value: str, weight: str, intervals: int = 20
     The distinct values are spread over intervals that are summed in parallel; only the
     interval totals (``intervals`` rows) meet in one task, and they are broadcast back.
     """
-    distinct = rows.groupBy(F.col(value).alias("v")).agg(
-        F.count("*").alias("n_rows"), F.sum(weight).alias("weight")
-    )
-    fences = rows.agg(F.percentile_approx(value, spread(intervals), 10_000).alias("fences"))
-    placed = distinct.crossJoin(F.broadcast(fences)).select(
-        slot_of(F.col("fences"), F.col("v")).alias("slot"), "v", "n_rows", "weight"
-    )
-    larger = Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)
-    nothing = F.lit(0)
-    offsets = (
-        placed.groupBy("slot")
-        .agg(F.sum("n_rows").alias("slot_rows"), F.sum("weight").alias("slot_weight"))
-        .select(
-            "slot",
-            F.coalesce(F.sum("slot_rows").over(larger), nothing).alias("rows_offset"),
-            F.coalesce(F.sum("slot_weight").over(larger), nothing).alias("weight_offset"),
-        )
-    )
-    in_slot = Window.partitionBy("slot").orderBy(F.desc("v")).rowsBetween(*UP_TO_HERE)
-    return (
-        placed.withColumn("rows_here", F.sum("n_rows").over(in_slot))
-        .withColumn("weight_here", F.sum("weight").over(in_slot))
-        .join(F.broadcast(offsets), "slot")
-        .select(
-            F.col("v").alias(value),
-            "n_rows",
-            "weight",
-            (F.col("rows_offset") + F.col("rows_here") - F.col("n_rows")).alias("rows_above"),
-            (F.col("weight_offset") + F.col("weight_here") - F.col("weight")).alias("weight_above"),
-        )
+    return rows.sparkSession.sql(
+        f"""
+        WITH fences AS (SELECT {fences_sql(value, spread(intervals))} FROM {{rows}}),
+        counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
+        placed AS (
+            SELECT /*+ BROADCAST(fences) */ {slot_sql("v", intervals - 1)} AS slot, v, n, w
+            FROM counted CROSS JOIN fences),
+        slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
+        offsets AS (
+            SELECT slot,
+                sum(slot_n) OVER (ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_n AS n_ahead,
+                sum(slot_w) OVER (ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_w AS w_ahead
+            FROM slots),
+        summed AS (
+            SELECT *, sum(n) OVER (PARTITION BY slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS n_here,
+                sum(w) OVER (PARTITION BY slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS w_here
+            FROM placed)
+        SELECT /*+ BROADCAST(offsets) */ v AS {value}, n AS n_rows, w AS weight,
+            n_ahead + n_here - n AS rows_above, w_ahead + w_here - w AS weight_above
+        FROM summed JOIN offsets USING (slot)
+        """,
+        rows=rows,
     )

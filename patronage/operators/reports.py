@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import count_if, share
-from patronage.operators.order_stats import exact_cuts, running_totals, spread
+from patronage.operators.order_stats import around, exact_cuts, running_totals, spread
 
 MONEY_SUM = "decimal(38,2)"
 
@@ -69,13 +69,9 @@ def value_classes(base: DataFrame, a_percent: int = 80, b_percent: int = 95) ->
     total exceeds the other 20%: a weighted order statistic. Totals are whole cents and
     the bounds whole percents, so "exceeds" is "reaches 0.0001 more".
     """
-    def over(percent: int) -> Column:
-        rest = F.col("total") * F.lit(100 - percent).cast("decimal(3,0)") / F.lit(100).cast("decimal(3,0)")
-        return (rest + F.lit(0.0001).cast("decimal(5,4)")).cast("decimal(38,4)")
-
-    targets = F.array(
-        *[F.struct(F.lit(n).alias("j"), over(p).alias("position")) for n, p in ((1, a_percent), (2, b_percent))]
-    )
+    targets = {
+        j: f"total * {100 - percent} / 100 + 0.0001BD" for j, percent in ((1, a_percent), (2, b_percent))
+    }
     cuts = exact_cuts(base, (), "monetary", targets, spread(200), weight="monetary").agg(
         F.max(F.when(F.col("j") == 1, F.col("cut"))).alias("a_from"),
         F.max(F.when(F.col("j") == 2, F.col("cut"))).alias("b_from"),
@@ -111,14 +107,8 @@ def top_share(base: DataFrame, percents: Sequence[int] = (1, 5, 10, 20, 50)) ->
     The value at the boundary is found exactly; customers above it count in full and
     those on it fill the remaining places, so no tie-break is needed.
     """
-    targets = F.array(
-        *[
-            F.struct(F.lit(p).alias("j"), F.expr(f"total - ({p} * total + 99) div 100 + 1").alias("position"))
-            for p in percents
-        ]
-    )
-    fences = sorted({min(max(1 - p / 100 + side, 0.0), 1.0) for p in percents for side in (-2e-4, 2e-4)})
-    cuts = exact_cuts(base, (), "monetary", targets, fences)
+    targets = {p: f"total - ({p} * total + 99) div 100 + 1" for p in percents}
+    cuts = exact_cuts(base, (), "monetary", targets, around([1 - p / 100 for p in percents]))
     sizes = base.agg(F.count("*").alias("customers_total"), _money_sum("monetary").alias("revenue_total"))
     ahead = (
         base.select("monetary")

@@ -13,19 +13,20 @@ kept and applied to later data, which keeps scores comparable between dates.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from decimal import Decimal
+from collections.abc import Callable, Sequence
+from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.functions.columns import CUT_TYPE, TOTAL_MONEY, add_up
+from patronage.functions.columns import CUT_TYPE, TOTAL_MONEY
 from patronage.operators.order_stats import around, exact_cuts, spread
-from patronage.session import pin, small_table
+from patronage.session import small_rows, small_table
 
 INDICATORS = ("r", "f", "m")
 
+CUT = T.DecimalType(38, 6)
 VALUES = {"r": "recency_days", "f": "frequency", "m": "monetary"}
 
 
@@ -37,27 +38,45 @@ def _goodness(indicator: str) -> Column:
 
 def _long(base: DataFrame, by: Sequence[str], indicators: Sequence[str], *extra: str) -> DataFrame:
     """One row per customer and indicator."""
-    pairs = [F.struct(F.lit(i).alias("indicator"), _goodness(i).alias("value")) for i in indicators]
-    return base.select(*by, *extra, F.explode(F.array(*pairs)).alias("x")).select(*by, *extra, "x.*")
+    keep = [*by, *extra]
+    return base.select(*keep, *[_goodness(i).alias(i) for i in indicators]).unpivot(
+        keep, list(indicators), "indicator", "value"
+    )
 
 
-def _targets(positions: Mapping[int, str]) -> Column:
-    """Wanted positions as SQL over ``total``."""
-    return F.array(
-        *[F.struct(F.lit(j).alias("j"), F.expr(p).cast("bigint").alias("position")) for j, p in positions.items()]
-    )
+def _as_cut(value: Decimal | int | float | str) -> Decimal:
+    with localcontext() as exact:
+        exact.prec = 60
+        return Decimal(str(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
 
 
 def _inner(k: int) -> list[float]:
     return [j / k for j in range(1, k)]
 
 
-def _wide(cuts: DataFrame, by: Sequence[str], k: int, indicators: Sequence[str], element: Column) -> DataFrame:
-    """Gather (indicator, j) rows into one array per indicator."""
-    def pick(i: str, j: int) -> Column:
-        return F.max(F.when((F.col("indicator") == i) & (F.col("j") == j), element))
+def _cut_table(
+    found: DataFrame,
+    by: Sequence[str],
+    k: int,
+    indicators: Sequence[str],
+    cut: Callable[[dict[int, dict], str, int], object],
+    cut_type: T.DataType = CUT,
+) -> DataFrame:
+    """Run the search and lay out its few results as a cut table held by the driver.
 
-    return cuts.groupBy(*by).agg(*[F.array(*[pick(i, j) for j in range(1, k)]).alias(f"{i}_cuts") for i in indicators])
+    ``cut`` turns the rows found for one group and indicator into the cut numbered ``j``.
+    """
+    groups: dict[tuple, dict[str, dict[int, dict]]] = {}
+    for row in small_rows(found):
+        group = groups.setdefault(tuple(row[c] for c in by), {i: {} for i in indicators})
+        group[row["indicator"]][row["j"]] = row
+    schema = T.StructType(
+        [found.schema[c] for c in by] + [T.StructField(f"{i}_cuts", T.ArrayType(cut_type)) for i in indicators]
+    )
+    rows = [
+        (*group, *[[cut(at[i], i, j) for j in range(1, k)] for i in indicators]) for group, at in groups.items()
+    ]
+    return small_table(found.sparkSession, rows, schema)
 
 
 def _with_cuts(base: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
@@ -73,11 +92,14 @@ def rank_cuts(
     when at least ``j * n / k`` customers are strictly worse, that is when the customer
     is better than the customer at position ``ceil(j * n / k)`` from the bottom.
     """
-    targets = _targets({j: f"({j} * total + {k - 1}) div {k}" for j in range(1, k)})
+    targets = {j: f"({j} * total + {k - 1}) div {k}" for j in range(1, k)}
     found = exact_cuts(_long(base, by, indicators), [*by, "indicator"], "value", targets, around(_inner(k)))
-    # Better than -d means fewer days than d; days are whole, so at most d - 1.
-    element = F.when(F.col("indicator") == "r", -F.col("cut") - 1).otherwise(F.col("cut")).cast(CUT_TYPE)
-    return pin(_wide(found, by, k, indicators, element))
+
+    def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
+        # Better than -d means fewer days than d; days are whole, so at most d - 1.
+        return _as_cut(-rows[j]["cut"] - 1 if i == "r" else rows[j]["cut"])
+
+    return _cut_table(found, by, k, indicators, cut)
 
 
 def fit_cutpoints(base: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
@@ -87,44 +109,37 @@ def fit_cutpoints(base: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFr
     neighbours are found exactly and the fraction between them in decimals.
     """
     base = base.withColumn("recency_days", -F.col("recency_days"))  # quantiles of the days themselves
-    lower = {j: f"{j} * (total - 1) div {k} + 1" for j in range(1, k)}
-    upper = {j + k: f"least({j} * (total - 1) div {k} + 2, total)" for j in range(1, k)}
-    remainder = {j + 2 * k: f"{j} * (total - 1) % {k} + 1" for j in range(1, k)}
-    neighbours = exact_cuts(
-        _long(base, by, INDICATORS), [*by, "indicator"], "value", _targets({**lower, **upper}), around(_inner(k))
+    place = "{j} * (total - 1) div {k}"
+    lower = {j: place.format(j=j, k=k) + " + 1" for j in range(1, k)}
+    upper = {j + k: f"least({place.format(j=j, k=k)} + 2, total)" for j in range(1, k)}
+    found = exact_cuts(
+        _long(base, by, INDICATORS), [*by, "indicator"], "value", {**lower, **upper}, around(_inner(k))
     )
-    sizes = _long(base, by, INDICATORS).groupBy(*by, "indicator").agg(F.count("*").alias("total"))
-    fractions = sizes.select(*by, "indicator", F.explode(_targets(remainder)).alias("t")).select(
-        *by, "indicator", (F.col("t.j") - 2 * k).alias("j"), (F.col("t.position") - 1).alias("part")
-    )
-    pairs = (
-        neighbours.withColumn("side", F.floor(F.col("j") / k))
-        .withColumn("j", F.col("j") % k)
-        .groupBy(*by, "indicator", "j")
-        .agg(
-            F.max(F.when(F.col("side") == 0, F.col("cut"))).alias("low"),
-            F.max(F.when(F.col("side") == 1, F.col("cut"))).alias("high"),
-        )
-        .join(F.broadcast(fractions), [*by, "indicator", "j"])
-    )
-    step = (F.col("high") - F.col("low")) * F.col("part") / F.lit(k)
-    return pin(_wide(pairs, by, k, INDICATORS, (F.col("low") + step).cast(CUT_TYPE)))
+
+    def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
+        low, high = rows[j]["cut"], rows[j + k]["cut"]
+        with localcontext() as exact:
+            exact.prec = 60
+            return _as_cut(low + (high - low) * (j * (rows[j]["total"] - 1) % k) / k)
+
+    return _cut_table(found, by, k, INDICATORS, cut)
 
 
 def fixed_cuts(base: DataFrame, r: Sequence, f: Sequence, m: Sequence) -> DataFrame:
     """A cut table from numbers set by the business."""
-    cut = T.ArrayType(T.DecimalType(38, 6))
-    schema = T.StructType([T.StructField(f"{i}_cuts", cut) for i in INDICATORS])
-    exact = [[Decimal(str(c)).quantize(Decimal("0.000001")) for c in cuts] for cuts in (r, f, m)]
+    schema = T.StructType([T.StructField(f"{i}_cuts", T.ArrayType(CUT)) for i in INDICATORS])
+    exact = [[_as_cut(c) for c in cuts] for cuts in (r, f, m)]
     return small_table(base.sparkSession, [exact], schema)
 
 
-def score_column(indicator: str, value: Column, k: int) -> Column:
-    """One point, and one more for each cut passed. Types are aligned by hand because Spark
-    would round the cuts to the scale of the money column."""
-    cut, value = F.col(f"{indicator}_cuts"), value.cast(CUT_TYPE)
-    passed = [(value <= cut[j] if indicator == "r" else value > cut[j]).cast("int") for j in range(k - 1)]
-    return add_up([F.lit(1), *passed])
+def score_sql(indicator: str, value: str, k: int) -> str:
+    """One point, and one more for each cut passed, as SQL.
+
+    Types are aligned by hand: Spark would round the cuts to the scale of the money column.
+    """
+    passes = "<=" if indicator == "r" else ">"
+    points = [f"CAST(CAST({value} AS {CUT_TYPE}) {passes} {indicator}_cuts[{j}] AS INT)" for j in range(k - 1)]
+    return " + ".join(["1", *points])
 
 
 def apply_cutpoints(
@@ -135,8 +150,8 @@ def apply_cutpoints(
     indicators: Sequence[str] = INDICATORS,
 ) -> DataFrame:
     """Add the score of each indicator: one comparison per cut, no shuffle of customers."""
-    scores = [score_column(i, F.col(VALUES[i]), k).alias(f"{i}_score") for i in indicators]
-    return _with_cuts(base, cuts, by).select(*base.columns, *scores)
+    scores = [f"{score_sql(i, VALUES[i], k)} AS {i}_score" for i in indicators]
+    return _with_cuts(base, cuts, by).selectExpr(*base.columns, *scores)
 
 
 def score_rank(
@@ -165,29 +180,30 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
     that value (possibly a third of them) as a customer id.
     """
     by_customer = _long(base, (), INDICATORS, "customer_id")
-    ends = _targets({j: f"{j} * (total div {k}) + least({j}, total % {k})" for j in range(1, k)})
-    at_value = pin(
-        exact_cuts(by_customer, ["indicator"], "value", ends, around(_inner(k)))
-        .select("indicator", F.col("j").alias("boundary"), "cut", (F.col("position") - F.col("below")).alias("place"))
+    ends = {j: f"{j} * (total div {k}) + least({j}, total % {k})" for j in range(1, k)}
+    at_value = exact_cuts(by_customer, ["indicator"], "value", ends, around(_inner(k))).select(
+        "indicator", F.col("j").alias("boundary"), "cut", (F.col("position") - F.col("below")).alias("place")
     )
+    at_value = small_table(base.sparkSession, small_rows(at_value), at_value.schema)
     tied = by_customer.join(
         F.broadcast(at_value.withColumnRenamed("cut", "value")), ["indicator", "value"]
     ).withColumn("id", F.col("customer_id").cast(TOTAL_MONEY))
-    place = F.array(F.struct(F.lit(1).alias("j"), F.col("place").alias("position")))
-    at_id = exact_cuts(tied, ["indicator", "boundary", "place"], "id", place, spread(200))
+    at_id = exact_cuts(tied, ["indicator", "boundary", "place"], "id", {1: "place"}, spread(200))
     ids = at_id.select("indicator", "boundary", F.col("cut").cast("bigint").alias("id"))
-    pairs = at_value.join(F.broadcast(ids), ["indicator", "boundary"]).withColumnRenamed("boundary", "j")
-    cuts = pin(_wide(pairs, (), k, INDICATORS, F.struct("cut", "id")))
-
-    def score(i: str) -> Column:
-        passed = []
-        for j in range(k - 1):
-            cut, last = F.col(f"{i}_cuts")[j]["cut"], F.col(f"{i}_cuts")[j]["id"]
-            after = (_goodness(i) > cut) | ((_goodness(i) == cut) & (F.col("customer_id") > last))
-            passed.append(after.cast("int"))
-        return add_up([F.lit(1), *passed])
-
-    return _with_cuts(base, cuts, ()).select(*base.columns, *[score(i).alias(f"{i}_score") for i in INDICATORS])
+    ends_at = F.broadcast(ids).join(F.broadcast(at_value), ["indicator", "boundary"])
+    pairs = ends_at.select("indicator", F.col("boundary").alias("j"), F.struct("cut", "id").alias("cut"))
+    cuts = _cut_table(pairs, (), k, INDICATORS, lambda rows, i, j: rows[j]["cut"], pairs.schema["cut"].dataType)
+
+    def score(i: str) -> str:
+        value = f"CAST({VALUES[i]} AS {TOTAL_MONEY})"
+        value = f"(-{value})" if i == "r" else value
+        points = [
+            f"CAST({value} > {i}_cuts[{j}].cut OR ({value} = {i}_cuts[{j}].cut AND customer_id > {i}_cuts[{j}].id) AS INT)"
+            for j in range(k - 1)
+        ]
+        return " + ".join(["1", *points])
+
+    return _with_cuts(base, cuts, ()).selectExpr(*base.columns, *[f"{score(i)} AS {i}_score" for i in INDICATORS])
 
 
 def score_nested(base: DataFrame, k: int = 5) -> DataFrame:

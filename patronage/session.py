@@ -12,8 +12,8 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-#: Most rows a fitted cut table or a rule table may have before it is refused.
-SMALL_TABLE_ROWS = 10_000
+#: Most rows that cut values or strategies may have before they are refused.
+SMALL_TABLE_ROWS = 100_000
 
 
 def build_session(app: str = "patronage", master: str | None = None, **conf: str) -> SparkSession:
@@ -66,19 +66,22 @@ def materialize(df: DataFrame, label: str = "table") -> DataFrame:
 
 
 def small_table(spark: SparkSession, rows: list, schema: StructType) -> DataFrame:
-    """A local relation (no scan, no job) from a few rows held by the driver."""
+    """A local relation (no scan, no job) from a few rows held by the driver.
+
+    Decimals are rounded half up to the scale of their column.
+    """
     names = schema.fieldNames()
     records = [row if isinstance(row, dict) else dict(zip(names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
 
 
-def pin(df: DataFrame) -> DataFrame:
-    """Run a query whose result is small by construction and keep it as a local relation.
+def small_rows(df: DataFrame) -> list[dict]:
+    """Run a query whose result is small by construction.
 
     The size is checked, so that a grouping by something unexpectedly fine fails with a
     message instead of flooding the driver.
     """
     rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
     if len(rows) > SMALL_TABLE_ROWS:
-        raise ValueError(f"more than {SMALL_TABLE_ROWS} groups: too many to fit cut values for each")
-    return small_table(df.sparkSession, [row.asDict(recursive=True) for row in rows], df.schema)
+        raise ValueError(f"more than {SMALL_TABLE_ROWS} rows: too many groups to fit cut values for each")
+    return [row.asDict(recursive=True) for row in rows]
