@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
 from decimal import Decimal
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOTAL_MONEY = "decimal(38,2)"
-CUT_TYPE = "decimal(38,6)"
 
 
 def date_literal(day: str | dt.date) -> Column:
@@ -38,10 +35,6 @@ def count_if(condition: Column) -> Column:
     return F.sum(F.when(condition, 1).otherwise(0)).cast("bigint")
 
 
-def add_up(terms: Sequence[Column]) -> Column:
-    return reduce(lambda left, right: left + right, terms)
-
-
 def share(part: Column, whole: Column) -> Column:
     """An unrounded ratio of two money totals; NULL when there is nothing to share."""
     return F.when(whole != 0, part.cast("double") / whole.cast("double"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from patronage.functions.columns import date_literal, days_since, midnight
 from patronage.operators.indicators import indicator_aggregates
-from patronage.operators.scoring import apply_cutpoints, rank_cuts, score_sql
+from patronage.operators.scoring import apply_cutpoints, comparable, rank_cuts, score_sql
 from patronage.operators.segments import DEFAULT_RULES, Rule, assign_segments, segment_of, validate_rules
 from patronage.session import materialize
 
@@ -193,7 +193,7 @@ def migration_series(
     def segment_at(df: DataFrame, date: str, prefix: str, name: str) -> DataFrame:
         recency = f"date_diff({date}, {prefix}last_purchase)"
         frequency = f"{prefix}frequency"
-        limits = cuts.select(F.col("as_of").alias(date), "r_cuts", "f_cuts")
+        limits = comparable(cuts).select(F.col("as_of").alias(date), "r_cuts", "f_cuts")
         scored = df.join(F.broadcast(limits), date, "left").withColumns(
             {"r_score": F.expr(score_sql("r", recency, k)), "f_score": F.expr(score_sql("f", frequency, k))}
         )

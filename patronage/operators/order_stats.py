@@ -24,9 +24,13 @@ WEIGHT_TYPE = "decimal(38,4)"
 
 
 
-def spread(intervals: int) -> list[float]:
-    """Evenly spread fence positions, for targets whose rank is not known beforehand."""
-    return [i / intervals for i in range(1, intervals)]
+#: Evenly spaced fences are counted in two steps of this many intervals each.
+STEP = 15
+
+
+def spread() -> list[float]:
+    """225 even intervals, for targets whose rank is not known beforehand."""
+    return [i / STEP**2 for i in range(1, STEP**2)]
 
 
 def around(positions: Sequence[float], margin: float = 2e-4) -> list[float]:
@@ -35,18 +39,22 @@ def around(positions: Sequence[float], margin: float = 2e-4) -> list[float]:
 
 
 def fences_sql(value: str, fence_at: Sequence[float]) -> str:
-    return f"percentile_approx(CAST({value} AS DOUBLE), array({', '.join(map(str, fence_at))}), 10000) AS fences"
+    return f"percentile_approx({value}, array({', '.join(map(str, fence_at))}), 10000) AS fences"
 
 
 def slot_sql(value: str, n_fences: int) -> str:
-    """Number of fences strictly below ``value``.
+    """Number of fences strictly below ``value``; equal values always land together.
 
-    Compared as doubles for speed. Rounding keeps the order, and equal values always land
-    together, which is all the counting needs; cuts are found among the values themselves.
+    Every fence is compared if they are few. Otherwise the last fence of each step is, and
+    then the others of the one step that the value falls into.
     """
-    if n_fences > 32:
-        return f"size(filter(fences, fence -> fence < CAST({value} AS DOUBLE)))"
-    return " + ".join(f"CAST(fences[{i}] < CAST({value} AS DOUBLE) AS INT)" for i in range(n_fences))
+    def below(indexes: Sequence[str | int]) -> str:
+        return "(" + " + ".join(f"CAST(fences[{i}] < {value} AS INT)" for i in indexes) + ")"
+
+    if n_fences != STEP**2 - 1:
+        return below(range(n_fences))
+    start = f"{STEP} * {below(range(STEP - 1, n_fences, STEP))}"
+    return f"{start} + {below([f'{start} + {i}' for i in range(STEP - 1)])}"
 
 
 def exact_cuts(
@@ -56,6 +64,7 @@ def exact_cuts(
     targets: Mapping[int, str],
     fence_at: Sequence[float],
     weight: str | None = None,
+    approx: str | None = None,
 ) -> DataFrame:
     """The smallest value whose running total reaches each wanted position.
 
@@ -65,6 +74,10 @@ def exact_cuts(
     small (dates, indicators, scores): fences and targets of each group are broadcast,
     nothing that grows with the rows.
 
+    Fences are compared as doubles (``approx``, by default ``value`` cast). Rounding keeps
+    the order and equal values together, which is all the counting needs; cuts are found
+    among the values themselves.
+
     Returns ``groups..., j, position, total, cut, below``, where ``below`` is the total of
     all values strictly under ``cut``.
     """
@@ -75,10 +88,11 @@ def exact_cuts(
     wanted = ", ".join(f"struct({j} AS j, CAST({p} AS {kind}) AS position)" for j, p in targets.items())
     return rows.sparkSession.sql(
         f"""
-        WITH measured AS (SELECT {keys} {value} AS v, {measure} AS w FROM {{rows}}),
-        fences AS (SELECT {keys} {fences_sql("v", fence_at)} FROM measured GROUP BY ALL),
+        WITH measured AS (
+            SELECT {keys} {value} AS v, {approx or f"CAST({value} AS DOUBLE)"} AS d, {measure} AS w FROM {{rows}}),
+        fences AS (SELECT {keys} {fences_sql("d", fence_at)} FROM measured GROUP BY ALL),
         placed AS (
-            SELECT /*+ BROADCAST(fences) */ {keys} {slot_sql("v", len(fence_at))} AS slot, v, w
+            SELECT /*+ BROADCAST(fences) */ {keys} {slot_sql("d", len(fence_at))} AS slot, v, w
             FROM measured {"JOIN" if groups else "CROSS JOIN"} fences {using}),
         slots AS (SELECT {keys} slot, sum(w) AS slot_total FROM placed GROUP BY ALL),
         edges AS (
@@ -102,19 +116,19 @@ def exact_cuts(
     )
 
 
-def running_totals(rows: DataFrame, value: str, weight: str, intervals: int = 200) -> DataFrame:
+def running_totals(rows: DataFrame, value: str, weight: str) -> DataFrame:
     """For every distinct value: rows, weight, and the exact totals of all larger values.
 
     The distinct values are spread over intervals that are summed in parallel; only the
-    interval totals (``intervals`` rows) meet in one task, and they are broadcast back.
+    interval totals meet in one task, and they are broadcast back.
     """
     return rows.sparkSession.sql(
         f"""
-        WITH fences AS (SELECT {fences_sql(value, spread(intervals))} FROM {{rows}}),
+        WITH fences AS (SELECT {fences_sql(f"CAST({value} AS DOUBLE)", spread())} FROM {{rows}}),
         counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
         placed AS (
-            SELECT /*+ BROADCAST(fences) */ {slot_sql("v", intervals - 1)} AS slot, v, n, w
-            FROM counted CROSS JOIN fences),
+            SELECT /*+ BROADCAST(fences) */ {slot_sql("d", len(spread()))} AS slot, v, n, w
+            FROM (SELECT *, CAST(v AS DOUBLE) AS d FROM counted) CROSS JOIN fences),
         slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
         offsets AS (
             SELECT slot,

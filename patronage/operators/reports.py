@@ -72,7 +72,7 @@ def value_classes(base: DataFrame, a_percent: int = 80, b_percent: int = 95) ->
     targets = {
         j: f"total * {100 - percent} / 100 + 0.0001BD" for j, percent in ((1, a_percent), (2, b_percent))
     }
-    cuts = exact_cuts(base, (), "monetary", targets, spread(200), weight="monetary").agg(
+    cuts = exact_cuts(base, (), "monetary", targets, spread(), weight="monetary").agg(
         F.max(F.when(F.col("j") == 1, F.col("cut"))).alias("a_from"),
         F.max(F.when(F.col("j") == 2, F.col("cut"))).alias("b_from"),
     )

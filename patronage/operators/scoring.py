@@ -13,14 +13,14 @@ kept and applied to later data, which keeps scores comparable between dates.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from patronage.functions.columns import CUT_TYPE, TOTAL_MONEY
+from patronage.functions.columns import TOTAL_MONEY
 from patronage.operators.order_stats import around, exact_cuts, spread
 from patronage.session import small_rows, small_table
 
@@ -30,18 +30,10 @@ CUT = T.DecimalType(38, 6)
 VALUES = {"r": "recency_days", "f": "frequency", "m": "monetary"}
 
 
-def _goodness(indicator: str) -> Column:
-    """The indicator as a value of which more is better."""
-    value = F.col(VALUES[indicator]).cast(TOTAL_MONEY)
-    return -value if indicator == "r" else value
-
-
-def _long(base: DataFrame, by: Sequence[str], indicators: Sequence[str], *extra: str) -> DataFrame:
-    """One row per customer and indicator."""
-    keep = [*by, *extra]
-    return base.select(*keep, *[_goodness(i).alias(i) for i in indicators]).unpivot(
-        keep, list(indicators), "indicator", "value"
-    )
+#: Over the long layout, the value of which more is better. Days and counts stay whole
+#: numbers until the few rows near a cut are compared exactly.
+BEST = f"coalesce(money, CAST(whole AS {TOTAL_MONEY}))"
+ABOUT_BEST = "coalesce(CAST(money AS DOUBLE), CAST(whole AS DOUBLE))"
 
 
 def _as_cut(value: Decimal | int | float | str) -> Decimal:
@@ -50,8 +42,26 @@ def _as_cut(value: Decimal | int | float | str) -> Decimal:
         return Decimal(str(value)).quantize(Decimal("0.000001"), ROUND_HALF_UP)
 
 
-def _inner(k: int) -> list[float]:
-    return [j / k for j in range(1, k)]
+def _long(base: DataFrame, by: Sequence[str], indicators: Sequence[str], *extra: str) -> DataFrame:
+    """One row per customer and indicator, holding a whole number or money."""
+    no_money, no_number = f"CAST(NULL AS {TOTAL_MONEY})", "CAST(NULL AS BIGINT)"
+    rows = {
+        "r": f"'r', -recency_days, {no_money}",
+        "f": f"'f', frequency, {no_money}",
+        "m": f"'m', {no_number}, CAST(monetary AS {TOTAL_MONEY})",
+    }
+    stacked = f"stack({len(indicators)}, {', '.join(rows[i] for i in indicators)}) AS (indicator, whole, money)"
+    return base.selectExpr(*by, *extra, stacked)
+
+
+def _search(
+    base: DataFrame, by: Sequence[str], indicators: Sequence[str], k: int, targets: Mapping[int, str]
+) -> DataFrame:
+    """Look for the values at ``targets``, which lie near the k-quantiles."""
+    near = around([j / k for j in range(1, k)])
+    return exact_cuts(
+        _long(base, by, indicators), [*by, "indicator"], BEST, targets, near, approx=ABOUT_BEST
+    )
 
 
 def _cut_table(
@@ -93,7 +103,7 @@ def rank_cuts(
     is better than the customer at position ``ceil(j * n / k)`` from the bottom.
     """
     targets = {j: f"({j} * total + {k - 1}) div {k}" for j in range(1, k)}
-    found = exact_cuts(_long(base, by, indicators), [*by, "indicator"], "value", targets, around(_inner(k)))
+    found = _search(base, by, indicators, k, targets)
 
     def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
         # Better than -d means fewer days than d; days are whole, so at most d - 1.
@@ -112,9 +122,7 @@ def fit_cutpoints(base: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFr
     place = "{j} * (total - 1) div {k}"
     lower = {j: place.format(j=j, k=k) + " + 1" for j in range(1, k)}
     upper = {j + k: f"least({place.format(j=j, k=k)} + 2, total)" for j in range(1, k)}
-    found = exact_cuts(
-        _long(base, by, INDICATORS), [*by, "indicator"], "value", {**lower, **upper}, around(_inner(k))
-    )
+    found = _search(base, by, INDICATORS, k, {**lower, **upper})
 
     def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
         low, high = rows[j]["cut"], rows[j + k]["cut"]
@@ -132,14 +140,26 @@ def fixed_cuts(base: DataFrame, r: Sequence, f: Sequence, m: Sequence) -> DataFr
     return small_table(base.sparkSession, [exact], schema)
 
 
-def score_sql(indicator: str, value: str, k: int) -> str:
-    """One point, and one more for each cut passed, as SQL.
+def comparable(cuts: DataFrame) -> DataFrame:
+    """A cut table in the types of the indicators.
 
-    Types are aligned by hand: Spark would round the cuts to the scale of the money column.
+    Whole numbers and cents pass a cut exactly when they pass the cut rounded down, so
+    customers are compared without converting each of their values to a wider type.
     """
+    steps = {
+        "r_cuts": "CAST(floor(c) AS BIGINT)",
+        "f_cuts": "CAST(floor(c) AS BIGINT)",
+        "m_cuts": f"CAST(floor(c, 2) AS {TOTAL_MONEY})",
+    }
+    return cuts.selectExpr(
+        *[f"transform({c}, c -> {steps[c]}) AS {c}" if c in steps else c for c in cuts.columns]
+    )
+
+
+def score_sql(indicator: str, value: str, k: int) -> str:
+    """One point, and one more for each (comparable) cut passed, as SQL."""
     passes = "<=" if indicator == "r" else ">"
-    points = [f"CAST(CAST({value} AS {CUT_TYPE}) {passes} {indicator}_cuts[{j}] AS INT)" for j in range(k - 1)]
-    return " + ".join(["1", *points])
+    return " + ".join(["1", *[f"CAST({value} {passes} {indicator}_cuts[{j}] AS INT)" for j in range(k - 1)]])
 
 
 def apply_cutpoints(
@@ -151,7 +171,7 @@ def apply_cutpoints(
 ) -> DataFrame:
     """Add the score of each indicator: one comparison per cut, no shuffle of customers."""
     scores = [f"{score_sql(i, VALUES[i], k)} AS {i}_score" for i in indicators]
-    return _with_cuts(base, cuts, by).selectExpr(*base.columns, *scores)
+    return _with_cuts(base, comparable(cuts), by).selectExpr(*base.columns, *scores)
 
 
 def score_rank(
@@ -179,24 +199,26 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
     The boundary after group ``j`` is found as a value, and among the customers who share
     that value (possibly a third of them) as a customer id.
     """
-    by_customer = _long(base, (), INDICATORS, "customer_id")
     ends = {j: f"{j} * (total div {k}) + least({j}, total % {k})" for j in range(1, k)}
-    at_value = exact_cuts(by_customer, ["indicator"], "value", ends, around(_inner(k))).select(
+    at_value = _search(base, (), INDICATORS, k, ends).select(
         "indicator", F.col("j").alias("boundary"), "cut", (F.col("position") - F.col("below")).alias("place")
     )
     at_value = small_table(base.sparkSession, small_rows(at_value), at_value.schema)
-    tied = by_customer.join(
-        F.broadcast(at_value.withColumnRenamed("cut", "value")), ["indicator", "value"]
-    ).withColumn("id", F.col("customer_id").cast(TOTAL_MONEY))
-    at_id = exact_cuts(tied, ["indicator", "boundary", "place"], "id", {1: "place"}, spread(200))
-    ids = at_id.select("indicator", "boundary", F.col("cut").cast("bigint").alias("id"))
+    by_customer = _long(base, (), INDICATORS, "customer_id").withColumn("cut", F.expr(BEST))
+    tied = by_customer.join(F.broadcast(at_value), ["indicator", "cut"])
+    at_id = exact_cuts(tied, ["indicator", "boundary", "place"], "customer_id", {1: "place"}, spread())
+    ids = at_id.select("indicator", "boundary", F.col("cut").alias("id"))
     ends_at = F.broadcast(ids).join(F.broadcast(at_value), ["indicator", "boundary"])
     pairs = ends_at.select("indicator", F.col("boundary").alias("j"), F.struct("cut", "id").alias("cut"))
     cuts = _cut_table(pairs, (), k, INDICATORS, lambda rows, i, j: rows[j]["cut"], pairs.schema["cut"].dataType)
 
+    kinds = {"r": "BIGINT", "f": "BIGINT", "m": TOTAL_MONEY}
+    cuts = cuts.selectExpr(
+        *[f"transform({i}_cuts, c -> struct(CAST(c.cut AS {kinds[i]}) AS cut, c.id)) AS {i}_cuts" for i in INDICATORS]
+    )
+
     def score(i: str) -> str:
-        value = f"CAST({VALUES[i]} AS {TOTAL_MONEY})"
-        value = f"(-{value})" if i == "r" else value
+        value = "(-recency_days)" if i == "r" else VALUES[i]
         points = [
             f"CAST({value} > {i}_cuts[{j}].cut OR ({value} = {i}_cuts[{j}].cut AND customer_id > {i}_cuts[{j}].id) AS INT)"
             for j in range(k - 1)

@@ -8,7 +8,6 @@ import pytest
 
 from patronage import catalog
 from patronage.operators import hygiene, indicators, reports, scoring
-from patronage.operators.order_stats import around, exact_cuts
 from patronage.sources.purchases import purchases_from_orders
 
 
@@ -51,8 +50,7 @@ def test_scoring_moves_no_customers(base):
 
 
 def test_cut_search_never_gathers_rows_in_one_task(base):
-    long = scoring._long(base, (), scoring.INDICATORS)
-    text = plan(exact_cuts(long, ["indicator"], "value", {1: "total div 2"}, around([0.5])))
+    text = plan(scoring._search(base, (), scoring.INDICATORS, 2, {1: "total div 2"}))
     assert "SinglePartition" not in text
     assert "partial_percentile_approx" in text and "partial_sum" in text
     # the values shuffled last come straight from a join with the wanted intervals
