@@ -195,9 +195,12 @@ def migration_series(
         frequency = f"{prefix}frequency"
         limits = comparable(cuts).select(F.col("as_of").alias(date), "r_cuts", "f_cuts")
         scored = df.join(F.broadcast(limits), date, "left").withColumns(
-            {"r_score": F.expr(score_sql("r", recency, k)), "f_score": F.expr(score_sql("f", frequency, k))}
+            {
+                "r_score": F.expr(score_sql("r", recency, [f"r_cuts[{j}]" for j in range(k - 1)])),
+                "f_score": F.expr(score_sql("f", frequency, [f"f_cuts[{j}]" for j in range(k - 1)])),
+            }
         )
-        known = F.when(F.col(frequency) > 0, segment_of(rules)).otherwise(NOBODY)
+        known = F.when(F.col(frequency) > 0, segment_of(rules, k)).otherwise(NOBODY)
         return scored.select(*df.columns, known.alias(name))
 
     moved = segment_at(segment_at(dated, "previous", "was_", "from_segment"), "as_of", "", "to_segment")

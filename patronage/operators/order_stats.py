@@ -39,22 +39,43 @@ def around(positions: Sequence[float], margin: float = 2e-4) -> list[float]:
 
 
 def fences_sql(value: str, fence_at: Sequence[float]) -> str:
-    return f"percentile_approx({value}, array({', '.join(map(str, fence_at))}), 10000) AS fences"
+    return f"percentile_approx({value}, array({', '.join(map(str, fence_at))}), 10000) AS p"
 
 
-def slot_sql(value: str, n_fences: int) -> str:
-    """Number of fences strictly below ``value``; equal values always land together.
+def slots_sql(rows: str, keys: str, n_fences: int) -> str:
+    """CTE ``placed``: the rows with their ``slot``, the number of fences strictly below
+    ``d``. Equal values always land together.
 
-    Every fence is compared if they are few. Otherwise the last fence of each step is, and
-    then the others of the one step that the value falls into.
+    Takes the CTEs ``fences`` (an array ``p`` per group) and ``rows``, which must have a
+    double ``d`` that is never NULL. Every fence is compared if they are few. Otherwise the
+    last fence of each step is, and then the others of the one step the row falls into,
+    found by a second broadcast join. Fences are plain columns because the code generated
+    for array elements is too long for the JVM to compile.
     """
-    def below(indexes: Sequence[str | int]) -> str:
-        return "(" + " + ".join(f"CAST(fences[{i}] < {value} AS INT)" for i in indexes) + ")"
+    using = f"JOIN {{}} USING ({keys.rstrip(', ')})" if keys else "CROSS JOIN {}"
+
+    def columns(indexes: Sequence[str | int]) -> str:
+        return ", ".join(f"coalesce(p[{i}], 0D) AS f{n}" for n, i in enumerate(indexes))
+
+    def below(n: int) -> str:
+        return " + ".join(f"CAST(f{i} < d AS INT)" for i in range(n))
 
     if n_fences != STEP**2 - 1:
-        return below(range(n_fences))
-    start = f"{STEP} * {below(range(STEP - 1, n_fences, STEP))}"
-    return f"{start} + {below([f'{start} + {i}' for i in range(STEP - 1)])}"
+        return f"""
+        bounds AS (SELECT {keys} {columns(range(n_fences))} FROM fences),
+        placed AS (
+            SELECT /*+ BROADCAST(bounds) */ {below(n_fences)} AS slot, {rows}.*
+            FROM {rows} {using.format("bounds")})"""
+    return f"""
+        coarse AS (SELECT {keys} {columns(range(STEP - 1, n_fences, STEP))} FROM fences),
+        fine AS (
+            SELECT {keys} step, {columns([f"{STEP} * step + {i}" for i in range(STEP - 1)])}
+            FROM fences LATERAL VIEW explode(sequence(0, {STEP - 1})) AS step),
+        stepped AS (
+            SELECT /*+ BROADCAST(coarse) */ {below(STEP - 1)} AS step, {rows}.* FROM {rows} {using.format("coarse")}),
+        placed AS (
+            SELECT /*+ BROADCAST(fine) */ {STEP} * step + {below(STEP - 1)} AS slot, stepped.*
+            FROM stepped JOIN fine USING ({keys} step))"""
 
 
 def exact_cuts(
@@ -82,18 +103,16 @@ def exact_cuts(
     all values strictly under ``cut``.
     """
     keys = "".join(f"{g}, " for g in groups)
-    using = f"USING ({', '.join(groups)})" if groups else ""
     per_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
     measure, kind = (f"CAST({weight} AS {WEIGHT_TYPE})", WEIGHT_TYPE) if weight else ("1L", "BIGINT")
     wanted = ", ".join(f"struct({j} AS j, CAST({p} AS {kind}) AS position)" for j, p in targets.items())
     return rows.sparkSession.sql(
         f"""
         WITH measured AS (
-            SELECT {keys} {value} AS v, {approx or f"CAST({value} AS DOUBLE)"} AS d, {measure} AS w FROM {{rows}}),
+            SELECT {keys} {value} AS v, coalesce({approx or f"CAST({value} AS DOUBLE)"}, 0D) AS d, {measure} AS w
+            FROM {{rows}}),
         fences AS (SELECT {keys} {fences_sql("d", fence_at)} FROM measured GROUP BY ALL),
-        placed AS (
-            SELECT /*+ BROADCAST(fences) */ {keys} {slot_sql("d", len(fence_at))} AS slot, v, w
-            FROM measured {"JOIN" if groups else "CROSS JOIN"} fences {using}),
+        {slots_sql("measured", keys, len(fence_at))},
         slots AS (SELECT {keys} slot, sum(w) AS slot_total FROM placed GROUP BY ALL),
         edges AS (
             SELECT *, sum(slot_total) OVER ({per_group} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS through,
@@ -126,9 +145,8 @@ def running_totals(rows: DataFrame, value: str, weight: str) -> DataFrame:
         f"""
         WITH fences AS (SELECT {fences_sql(f"CAST({value} AS DOUBLE)", spread())} FROM {{rows}}),
         counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
-        placed AS (
-            SELECT /*+ BROADCAST(fences) */ {slot_sql("d", len(spread()))} AS slot, v, n, w
-            FROM (SELECT *, CAST(v AS DOUBLE) AS d FROM counted) CROSS JOIN fences),
+        valued AS (SELECT v, n, w, coalesce(CAST(v AS DOUBLE), 0D) AS d FROM counted),
+        {slots_sql("valued", "", len(spread()))},
         slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
         offsets AS (
             SELECT slot,

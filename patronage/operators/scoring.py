@@ -89,10 +89,6 @@ def _cut_table(
     return small_table(found.sparkSession, rows, schema)
 
 
-def _with_cuts(base: DataFrame, cuts: DataFrame, by: Sequence[str]) -> DataFrame:
-    return base.join(F.broadcast(cuts), list(by)) if by else base.crossJoin(F.broadcast(cuts))
-
-
 def rank_cuts(
     base: DataFrame, k: int = 5, by: Sequence[str] = (), indicators: Sequence[str] = INDICATORS
 ) -> DataFrame:
@@ -156,10 +152,10 @@ def comparable(cuts: DataFrame) -> DataFrame:
     )
 
 
-def score_sql(indicator: str, value: str, k: int) -> str:
-    """One point, and one more for each (comparable) cut passed, as SQL."""
+def score_sql(indicator: str, value: str, cuts: Sequence[str]) -> str:
+    """One point, and one more for each cut passed, as SQL."""
     passes = "<=" if indicator == "r" else ">"
-    return " + ".join(["1", *[f"CAST({value} {passes} {indicator}_cuts[{j}] AS INT)" for j in range(k - 1)]])
+    return " + ".join(["1", *[f"CAST({value} {passes} {cut} AS INT)" for cut in cuts]])
 
 
 def apply_cutpoints(
@@ -169,9 +165,24 @@ def apply_cutpoints(
     by: Sequence[str] = (),
     indicators: Sequence[str] = INDICATORS,
 ) -> DataFrame:
-    """Add the score of each indicator: one comparison per cut, no shuffle of customers."""
-    scores = [f"{score_sql(i, VALUES[i], k)} AS {i}_score" for i in indicators]
-    return _with_cuts(base, comparable(cuts), by).selectExpr(*base.columns, *scores)
+    """Add the score of each indicator: one comparison per cut, no shuffle of customers.
+
+    Without groups the cuts become constants of a plain projection; with groups their
+    table is broadcast.
+    """
+    cuts = comparable(cuts)
+    if by:
+        cut = {i: [f"{i}_cuts[{j}]" for j in range(k - 1)] for i in indicators}
+        base_with_cuts = base.join(F.broadcast(cuts), list(by))
+    else:
+        found = small_rows(cuts)  # none if there are no customers
+        values = found[0] if found else {}
+        cut = {
+            i: [f"{c}BD" if i == "m" else f"{c}L" for c in values.get(f"{i}_cuts", [])] for i in indicators
+        }
+        base_with_cuts = base
+    scores = [f"{score_sql(i, VALUES[i], cut[i])} AS {i}_score" for i in indicators]
+    return base_with_cuts.selectExpr(*base.columns, *scores)
 
 
 def score_rank(
@@ -212,20 +223,18 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
     pairs = ends_at.select("indicator", F.col("boundary").alias("j"), F.struct("cut", "id").alias("cut"))
     cuts = _cut_table(pairs, (), k, INDICATORS, lambda rows, i, j: rows[j]["cut"], pairs.schema["cut"].dataType)
 
-    kinds = {"r": "BIGINT", "f": "BIGINT", "m": TOTAL_MONEY}
-    cuts = cuts.selectExpr(
-        *[f"transform({i}_cuts, c -> struct(CAST(c.cut AS {kinds[i]}) AS cut, c.id)) AS {i}_cuts" for i in INDICATORS]
-    )
+    found = small_rows(cuts)
+    values = found[0] if found else {}
 
     def score(i: str) -> str:
         value = "(-recency_days)" if i == "r" else VALUES[i]
-        points = [
-            f"CAST({value} > {i}_cuts[{j}].cut OR ({value} = {i}_cuts[{j}].cut AND customer_id > {i}_cuts[{j}].id) AS INT)"
-            for j in range(k - 1)
-        ]
+        points = []
+        for end in values.get(f"{i}_cuts", []):
+            cut = f"{end['cut']}BD" if i == "m" else f"{int(end['cut'])}L"
+            points.append(f"CAST({value} > {cut} OR ({value} = {cut} AND customer_id > {end['id']}L) AS INT)")
         return " + ".join(["1", *points])
 
-    return _with_cuts(base, cuts, ()).selectExpr(*base.columns, *[f"{score(i)} AS {i}_score" for i in INDICATORS])
+    return base.selectExpr(*base.columns, *[f"{score(i)} AS {i}_score" for i in INDICATORS])
 
 
 def score_nested(base: DataFrame, k: int = 5) -> DataFrame:
