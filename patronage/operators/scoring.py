@@ -168,17 +168,18 @@ def apply_cutpoints(
     """Add the score of each indicator: one comparison per cut, no shuffle of customers.
 
     Without groups the cuts become constants of a plain projection; with groups their
-    table is broadcast.
+    table is broadcast. Customers of a group without cuts keep their row and get no score.
     """
     cuts = comparable(cuts)
     if by:
         cut = {i: [f"{i}_cuts[{j}]" for j in range(k - 1)] for i in indicators}
-        base_with_cuts = base.join(F.broadcast(cuts), list(by))
+        base_with_cuts = base.join(F.broadcast(cuts), list(by), "left")
     else:
-        found = small_rows(cuts)  # none if there are no customers
-        values = found[0] if found else {}
+        found = small_rows(cuts) or [{}]  # no row if the cuts were fitted to nobody
+        unknown = ["CAST(NULL AS BIGINT)"]
         cut = {
-            i: [f"{c}BD" if i == "m" else f"{c}L" for c in values.get(f"{i}_cuts", [])] for i in indicators
+            i: [f"{c}BD" if i == "m" else f"{c}L" for c in found[0].get(f"{i}_cuts", ())] or unknown
+            for i in indicators
         }
         base_with_cuts = base
     scores = [f"{score_sql(i, VALUES[i], cut[i])} AS {i}_score" for i in indicators]

@@ -63,16 +63,22 @@ def running_indicators(purchases: DataFrame) -> DataFrame:
     )
 
 
+def _allow_lateness(purchases: DataFrame, lateness: str | None) -> DataFrame:
+    """Spark lets a stream state its lateness once; ``once_each`` may have done so."""
+    return purchases if lateness is None else purchases.withWatermark("ts", lateness)
+
+
 def purchases_per_period(
-    purchases: DataFrame, period: str = "7 days", slide: str | None = None, lateness: str = "1 day"
+    purchases: DataFrame, period: str = "7 days", slide: str | None = None, lateness: str | None = "1 day"
 ) -> DataFrame:
     """Purchases and revenue per tumbling (or sliding) period, emitted once it is closed.
 
-    The window becomes two plain columns; all customers share a period, and the counts
-    are combined before the shuffle.
+    Pass ``lateness=None`` after ``once_each(..., repeat_within)``, whose delay then
+    decides. The window becomes two plain columns; all customers share a period, and the
+    counts are combined before the shuffle.
     """
     return (
-        purchases.withWatermark("ts", lateness)
+        _allow_lateness(purchases, lateness)
         .groupBy(F.window("ts", period, slide) if slide else F.window("ts", period))
         .agg(F.count("*").alias("purchases"), total(F.col("amount")).alias("revenue"))
         .select(
@@ -84,10 +90,12 @@ def purchases_per_period(
     )
 
 
-def buying_sessions(purchases: DataFrame, gap: str = "12 hours", lateness: str = "1 day") -> DataFrame:
+def buying_sessions(
+    purchases: DataFrame, gap: str = "12 hours", lateness: str | None = "1 day"
+) -> DataFrame:
     """Runs of purchases by one customer with less than ``gap`` between them."""
     return (
-        purchases.withWatermark("ts", lateness)
+        _allow_lateness(purchases, lateness)
         .groupBy("customer_id", F.session_window("ts", gap))
         .agg(F.count("*").alias("purchases"), total(F.col("amount")).alias("revenue"))
         .select(

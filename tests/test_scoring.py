@@ -119,6 +119,24 @@ def test_fixed_cuts(spark):
         scoring.score_fixed(b.base(spark, people), r=[1], f=[1, 2], m=[1, 2])
 
 
+def test_kept_cuts_score_new_customers(spark):
+    from patronage.session import materialize
+
+    kept = materialize(scoring.fit_cutpoints(b.base(spark, [(c, c + 1, c + 1, f"{c}.00") for c in range(11)])), "cuts")
+    late = scoring.apply_cutpoints(b.base(spark, [(50, 3, 8, "8.01"), (51, 99, 99, "8.00")]), kept)
+    assert scores_of(late, "m") == {(50,): 5, (51,): 4}
+    assert scores_of(late, "r") == {(50,): 5, (51,): 1}
+
+
+def test_customers_without_cuts_are_kept(spark, grouped):
+    cuts = scoring.rank_cuts(grouped.where("g < 5"), by=["g"])
+    scored = scoring.apply_cutpoints(grouped, cuts, by=["g"])
+    assert scored.count() == grouped.count()
+    assert scored.where("g >= 5 AND r_score IS NOT NULL").count() == 0
+    nobody = scoring.rank_cuts(b.base(spark, []))
+    assert [r.m_score for r in scoring.apply_cutpoints(b.base(spark, [(1, 1, 1, "1")]), nobody).collect()] == [None]
+
+
 def test_too_many_groups_are_refused(spark, monkeypatch):
     from patronage import session
 

@@ -95,8 +95,9 @@ def test_late_events_count_for_the_state_but_not_for_closed_periods(utc):
     row = state.latest_state(utc, run_state(utc, stream.once_each(read()))).first()
     assert (row.frequency, row.monetary) == (5, Decimal("50.00"))
 
-    closed = {r.period_start.date(): r.purchases for r in stream.drain(stream.purchases_per_period(stream.once_each(read(), "1 day")), "closed").collect()}
-    assert closed[dt.date(2023, 12, 28)] == 1
+    weekly = stream.purchases_per_period(stream.once_each(read(), "1 day"), lateness=None)
+    closed = {r.period_start.date(): r.purchases for r in stream.drain(weekly, "closed").collect()}
+    assert closed == {dt.date(2023, 12, 28): 1, dt.date(2024, 1, 18): 2}
 
 
 def test_sessions_split_at_the_gap(utc):
