@@ -44,11 +44,15 @@ def segment_summary(segments: DataFrame) -> DataFrame:
 
 
 def tier_rollup(segments: DataFrame) -> DataFrame:
-    """Customers and revenue by tier and segment with subtotals and the grand total."""
-    return segments.rollup("value_tier", "segment").agg(
+    """Customers and revenue by tier and segment with subtotals and the grand total.
+
+    Customers are counted once; the rollup only multiplies the counts.
+    """
+    fine = segments.groupBy("value_tier", "segment").agg(F.count("*").alias("n"), F.sum("monetary").alias("m"))
+    return fine.rollup("value_tier", "segment").agg(
         F.grouping_id().alias("level"),
-        F.count("*").alias("customers"),
-        _money_sum("monetary").alias("revenue"),
+        F.sum("n").alias("customers"),
+        _money_sum("m").alias("revenue"),
     )
 
 
@@ -67,12 +71,14 @@ def value_classes(base: DataFrame, a_percent: int = 80, b_percent: int = 95) ->
 
     With revenue summed from the bottom, class A starts at the first value whose running
     total exceeds the other 20%: a weighted order statistic. Totals are whole cents and
-    the bounds whole percents, so "exceeds" is "reaches 0.0001 more".
+    the bounds whole percents, so "exceeds" is "reaches 0.0001 more". A customer whose
+    refunds outweigh the purchases adds nothing to the total.
     """
+    weighed = base.select("monetary", F.greatest("monetary", F.lit(0)).alias("weight"))
     targets = {
         j: f"total * {100 - percent} / 100 + 0.0001BD" for j, percent in ((1, a_percent), (2, b_percent))
     }
-    cuts = exact_cuts(base, (), "monetary", targets, spread(), weight="monetary").agg(
+    cuts = exact_cuts(weighed, (), "monetary", targets, spread(), weight="weight").agg(
         F.max(F.when(F.col("j") == 1, F.col("cut"))).alias("a_from"),
         F.max(F.when(F.col("j") == 2, F.col("cut"))).alias("b_from"),
     )

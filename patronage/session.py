@@ -24,6 +24,8 @@ def build_session(app: str = "patronage", master: str | None = None, **conf: str
     defaults = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # quantiles for every month of some years at once, without falling back to a sort
+        "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "512",
         "spark.sql.session.timeZone": "UTC",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",

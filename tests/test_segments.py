@@ -63,6 +63,13 @@ def test_classes_at_exact_boundaries(spark):
     assert {r.customer_id: r.abc_class for r in value_classes(rows).collect()} == {1: "A", 2: "B", 3: "C"}
 
 
+def test_classes_with_negative_and_zero_revenue(spark):
+    rows = b.base(spark, [(1, 1, 1, "100.00"), (2, 1, 1, "-60.00"), (3, 1, 1, "0.00")])
+    assert {r.customer_id: r.abc_class for r in value_classes(rows).collect()} == {1: "A", 2: "C", 3: "C"}
+    nothing = b.base(spark, [(1, 1, 1, "0.00"), (2, 1, 1, "0.00")])
+    assert {r.abc_class for r in value_classes(nothing).collect()} == {"C"}
+
+
 def test_top_share_splits_a_tie_without_naming_customers(spark):
     rows = b.base(spark, [(c, 1, 1, "10.00") for c in range(9)] + [(9, 1, 1, "50.00")])
     found = {r.top_percent: (r.customers, int(r.revenue)) for r in top_share(rows, [10, 50]).collect()}
