@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import sharding, token_counts, url_filter
+from patronage.llm import fingerprints, mixing, sharding, simhash, token_counts, url_filter
 
 #: Shards that the sharding query and the pipeline place documents on.
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -32,6 +32,14 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and group of every document."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, radius=2)
+    return found.select(
+        F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("value")), 16, "0").alias("fingerprint"), "component_id", "kept"
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
@@ -51,7 +59,18 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix by weight takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken", "source", "first_slot")
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return fingerprints.edited_likeness(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op5_url_filter, op7_sharding, op8_token_counts)
+    f.__name__: f for f in (op2_simhash_near_dedup, op5_url_filter, op7_sharding, op8_token_counts, op9_mixing, op10_fingerprints)
 }
 ORACLES: dict[str, str] = {}
