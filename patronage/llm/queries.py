@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import fingerprints, mixing, sharding, simhash, token_counts, url_filter
+from patronage.llm import decontaminate, fingerprints, language, mixing, sharding, simhash, token_counts, url_filter
 
 #: Shards that the sharding query and the pipeline place documents on.
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -40,12 +40,25 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, learned from those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.identify(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
     return found.select("page_id", "host", "path", "rule", "verdict", "block_score")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in documents: one row for each document and item."""
+    found = decontaminate.leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "kind", "literal_words", "matched_words", "at")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -71,6 +84,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op5_url_filter, op7_sharding, op8_token_counts, op9_mixing, op10_fingerprints)
+    f.__name__: f for f in (op2_simhash_near_dedup, op3_language_id, op5_url_filter, op6_decontamination, op7_sharding, op8_token_counts, op9_mixing, op10_fingerprints)
 }
 ORACLES: dict[str, str] = {}
