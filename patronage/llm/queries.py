@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.llm import decontaminate, fingerprints, language, mixing, sharding, simhash, token_counts, url_filter
+from patronage.llm import decontaminate, fingerprints, language, mixing, sharding, simhash, substring_dedup, token_counts, url_filter
 
 #: Shards that the sharding query and the pipeline place documents on.
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
@@ -32,6 +32,12 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without repeated windows of 20 words."""
+    found = substring_dedup.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"), "spans")
+
+
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and group of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), shingle_words=3, radius=2)
@@ -84,6 +90,6 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash_near_dedup, op3_language_id, op5_url_filter, op6_decontamination, op7_sharding, op8_token_counts, op9_mixing, op10_fingerprints)
+    f.__name__: f for f in (op1_substring_dedup, op2_simhash_near_dedup, op3_language_id, op5_url_filter, op6_decontamination, op7_sharding, op8_token_counts, op9_mixing, op10_fingerprints)
 }
 ORACLES: dict[str, str] = {}
