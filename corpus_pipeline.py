@@ -5,18 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from patronage.llm import queries, sharding
+from patronage.llm import decontaminate, language, mixing, queries, sharding, simhash
 from patronage.session import scratch_path
 
 
-def place_on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def in_a_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is clear; those without a letter, or torn between languages, go."""
+    found = language.identify(docs, language.learn(docs))
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")).select(*docs.columns)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return simhash.keep_one(docs, shingle_words=3, radius=2)
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, queries.table(spark, sf_dir, "benchmark"))
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.blend(docs)
+
+
+def on_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with the shard each belongs to."""
     return sharding.place(docs, queries.SHARDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("sharding", place_on_shards),
+    ("language ID", in_a_language),
+    ("SimHash near-dedup", without_near_copies),
+    ("benchmark decontamination", without_benchmarks),
+    ("mixing sources to target weights", mixed),
+    ("sharding", on_shards),
 ]
 
 #: The language classifier is trained, which SQL cannot express; tests hold every stage against a brute-force version.
@@ -27,7 +53,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents, each written to the shared folder and read by the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        path = scratch_path(spark, f"stage-{name}")
+        path = scratch_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs

@@ -23,7 +23,7 @@ FEATURES = 1 << 14
 #: Most texts of a language that the classifiers are fitted on, the first ones by a hash of their id.
 TEXTS_PER_LANGUAGE = 1000
 #: A text counts as evidence of so many n-grams at most, so that long texts stay comparable.
-MOST_EVIDENCE = 100
+MOST_EVIDENCE = 25
 #: Below this score the language is ambiguous.
 CLEAR_SCORE = 0.5
 UNKNOWN = "und"

@@ -185,3 +185,15 @@ def mix(
         F.col("r.id").alias(id), F.col("r.key").alias("key"), F.col("r.source").alias(source), F.col("r.size").alias("size"),
         "source_size", "target", "taken", "first_slot",
     )
+
+
+def blend(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document as many times as the mix takes its
+    words, to the nearest whole number; documents that are not taken are gone."""
+    found = mix(docs, id, text, source, **options)
+    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    taken = found.select(F.col(id).alias("id__"), F.col(source).alias("source__"), F.col("key").alias("key__"), times.alias("times__"))
+    taken = taken.where("times__ > 0").distinct()
+    same = shuffle_key(id, text).eqNullSafe(F.col("key__")) & F.col(id).eqNullSafe(F.col("id__")) & F.col(source).eqNullSafe(F.col("source__"))
+    joined = docs.join(taken, same)
+    return joined.withColumn("time__", F.explode(F.sequence(F.lit(1), "times__"))).select(*docs.columns)
