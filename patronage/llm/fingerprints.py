@@ -9,6 +9,8 @@ Only DataFrame functions.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,7 +101,8 @@ def with_next(docs: DataFrame, id: str, carried: list[str], range_rows: int = RA
     width = max(1, -(-(high - low + 1) * range_rows // max(n, 1)))
     tie = F.xxhash64(*carried)
     nulls = F.shiftright("tie__", 52).cast("long") - 2049  # ranges of the hash, below those of ids
-    ranges = F.coalesce(F.floor((F.col(id).cast("decimal(20,0)") - low) / width).cast("long"), nulls)
+    place = F.floor((F.col(id).cast("decimal(20,0)") - F.lit(Decimal(low))) / F.lit(Decimal(width)))
+    ranges = F.coalesce(place.cast("long"), nulls)
     rows = docs.withColumn("tie__", tie).withColumn("range__", ranges)
     order = [F.col(id).desc_nulls_last(), F.col("tie__").desc()]
     numbers = rows.select("range__").distinct()

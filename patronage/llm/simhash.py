@@ -27,6 +27,7 @@ from patronage.llm.components import connected_components
 from patronage.session import materialize, small_table
 
 BITS = 64
+ALL_BITS = (1 << BITS) - 1
 #: Most fingerprints in a shard tree.
 TREE_NODES = 2048
 #: Bytes of a text, and shingles, that are handled at once.
@@ -135,12 +136,12 @@ def tree_links(members: list[int], radius: int) -> list[tuple[int, int]]:
 
     links = []
     for i, value in enumerate(members):
-        for j in tree.within(value & 0xFFFFFFFFFFFFFFFF, radius):
+        for j in tree.within(value & ALL_BITS, radius):
             a, b = root(i), root(j)
             if a != b:
                 group[max(a, b)] = min(a, b)
                 links.append((members[i], members[j]))
-        tree.add(value & 0xFFFFFFFFFFFFFFFF)
+        tree.add(value & ALL_BITS)
     return links
 
 
@@ -169,19 +170,19 @@ def near_links(values: DataFrame, radius: int, tree_nodes: int = TREE_NODES) ->
         for batch in batches:
             yield pa.array([[{"a": a, "b": b} for a, b in tree_links(sorted(members), radius)] for members in batch.to_pylist()], kind)
 
-    found, masks = [], [0]
-    members = values.select("value", F.lit(0).cast("long").alias("mask"))
+    first = [signed(mask) for mask in blocks(0, radius + 1)]
+    keyed, found, masks = values.select("value", F.explode(F.lit(first)).alias("mask")), [], first
     while masks:
-        divided = {mask: blocks(mask, radius + 1) for mask in masks}
-        children = small_table(spark, [(signed(m), signed(c)) for m, cs in divided.items() for c in cs], schema)
-        keyed = members.join(F.broadcast(children), "mask").select("value", F.col("child").alias("mask"))  # masks: fixed numbers
         keyed = keyed.withColumn("shard", F.col("value").bitwiseAND(F.col("mask")))
         sizes = keyed.groupBy("mask", "shard").agg(F.count("*").alias("n")).where("n > 1")
         dealt = keyed.join(sizes, ["mask", "shard"])
         trees = dealt.where(F.col("n") <= tree_nodes).groupBy("mask", "shard").agg(F.collect_list("value").alias("members"))
         found.append(trees.select(F.explode(links("members")).alias("link")).select("link.a", "link.b"))
         members = materialize(dealt.where(F.col("n") > tree_nodes).select("value", "mask").distinct(), "large-shards")
-        masks = [] if members.isEmpty() else sorted({c for cs in divided.values() for c in cs})
+        masks = [row["mask"] for row in members.select("mask").distinct().collect()]  # at most (radius + 1) ** level
+        children = [(mask, signed(child)) for mask in masks for child in blocks(mask & ALL_BITS, radius + 1)]
+        divided = members.join(F.broadcast(small_table(spark, children, schema)), "mask")
+        keyed = divided.select("value", F.col("child").alias("mask"))
     every = found[0]
     for more in found[1:]:
         every = every.union(more)

@@ -1,0 +1,93 @@
+"""Targets against repeated sharing, takings against the blocks' definition."""
+
+from collections import defaultdict
+
+import pytest
+from texts import words
+
+from patronage.llm import mixing
+
+
+def shared_out(sizes, weights=(1, 2, 3), most=3):
+    """Targets by sharing the excess again and again."""
+    names = sorted(sizes, key=lambda s: (s is None, s and s.encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    full, total = set(), sum(sizes.values())
+    while True:
+        rest = [s for s in names if s not in full]
+        left = total - sum(most * sizes[s] for s in full)
+        share = {s: left * weight[s] / sum(weight[r] for r in rest) for s in rest}
+        over = {s for s in rest if share[s] > most * sizes[s]}
+        if not over:
+            return {s: most * sizes[s] if s in full else share[s] for s in names}
+        full |= over
+
+
+def check(docs, block_words=8):
+    rows = mixing.mix(docs, block_words=block_words).collect()
+    assert len(rows) == docs.count()
+    sizes = defaultdict(int)
+    for row in docs.collect():
+        sizes[row.source] += len(words(row.text))
+    targets = shared_out(sizes)
+    taken = defaultdict(int)
+    for row in rows:
+        assert row.source_size == sizes[row.source]
+        assert row.target == pytest.approx(targets[row.source])
+        assert 0 <= row.taken <= 3 * row.size
+        assert (row.first_slot is None) == (row.taken == 0)
+        taken[row.source] += row.taken
+    return rows, targets, taken
+
+
+def test_whole_table(sample):
+    _, targets, taken = check(sample, mixing.BLOCK_WORDS)
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+
+
+def test_small_sources_stop_at_three_times_their_size(make):
+    rows = [(i, "w " * 100, None, "a") for i in range(30)] + [(100 + i, "w x", None, s) for i, s in enumerate(["b", "c", None, "d"])]
+    _, targets, taken = check(make(rows))
+    assert targets["b"] == targets["c"] == targets[None] == 6
+    assert all(abs(taken[s] - t) <= 1 for s, t in targets.items())
+
+
+def test_odd_rows(odd, make):
+    found, targets, taken = check(odd)
+    assert sum(taken.values()) <= sum(targets.values()) + 2
+    assert mixing.mix(make([])).collect() == []
+    assert [row.taken for row in mixing.mix(make([(1, None), (2, "")])).collect()] == [0, 0]
+
+
+def test_reruns_and_partitioning_agree(sample):
+    one = sorted(map(str, mixing.mix(sample).collect()))
+    assert one == sorted(map(str, mixing.mix(sample.repartition(5)).collect()))
+
+
+def test_schedule_takes_every_block_once_and_evenly(spark):
+    shares = spark.createDataFrame([(0, 64 * 300), (1, 64 * 600), (2, 100), (3, 0)], "source_no int, mix_words long")
+    slots = sorted((row.slot, row.source_no, row.block) for row in mixing.schedule(spark, shares, 64).collect())
+    by = defaultdict(list)
+    for slot, source, block in slots:
+        by[source].append(block)
+    assert {s: len(b) for s, b in by.items()} == {0: 300, 1: 600, 2: 2}
+    assert all(b == list(range(len(b))) for b in by.values())
+    for k in range(90, len(slots), 90):  # any start of the schedule is mixed alike
+        assert abs(sum(source == 1 for _, source, _ in slots[:k]) / k - 2 / 3) < 0.06
+
+
+def test_ranks_over_many_spans(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 16)
+    shares = spark.createDataFrame([(0, 500), (1, 700)], "source_no int, mix_words long")
+    slots = sorted((row.slot, row.source_no, row.block) for row in mixing.schedule(spark, shares, 2).collect())
+    for source, n in ((0, 250), (1, 350)):
+        assert [block for _, s, block in slots if s == source] == list(range(n))
+
+
+def test_blend_repeats_documents(sample, odd):
+    found = mixing.mix(sample).collect()
+    expected = sorted(row.doc_id for row in found for _ in range(int(row.taken / row.size + 0.5)) if row.size)
+    blended = mixing.blend(sample)
+    assert blended.columns == sample.columns
+    assert sorted(row.doc_id for row in blended.collect()) == expected
+    assert mixing.blend(odd.withColumnRenamed("lang", "key")).count() >= 0
