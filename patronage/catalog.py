@@ -21,7 +21,6 @@ AS_OF = "2001-08-02"  # the day after the last order
 EVENTS_AS_OF = "2024-01-31"
 EARLIER = "2001-05-01"
 FIRST_MONTH, LAST_MONTH = "1996-01-01", "2001-08-01"
-RECENT_MONTH = "2000-08-01"
 FIXED_CUTS = {"r": [390, 220, 123, 54], "f": [7, 9, 11, 13], "m": [1500000, 2000000, 2500000, 3000000]}
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,12 +30,21 @@ def _orders(spark: SparkSession, directory: str) -> DataFrame:
     return source.purchases_from_orders(spark, directory)
 
 
+def _seen_orders(spark: SparkSession, directory: str, as_of: str) -> DataFrame:
+    """Valid orders before a date. The order key is the table's primary key, so ids cannot repeat."""
+    return hygiene.clean_purchases(_orders(spark, directory), as_of, unique=True)
+
+
+def _seen_events(spark: SparkSession, directory: str) -> DataFrame:
+    return hygiene.clean_purchases(source.purchases_from_events(spark, directory), EVENTS_AS_OF)
+
+
 def _base(spark: SparkSession, directory: str) -> DataFrame:
-    return customer_base(_orders(spark, directory), AS_OF)
+    return customer_base(_orders(spark, directory), AS_OF, unique=True)
 
 
 def _segments(spark: SparkSession, directory: str, as_of: str = AS_OF) -> DataFrame:
-    return segment_customers(_orders(spark, directory), as_of)
+    return segment_customers(_orders(spark, directory), as_of, unique=True)
 
 
 def _customers(spark: SparkSession, directory: str) -> DataFrame:
@@ -76,6 +84,21 @@ def rejected_rows(spark, directory):
     return hygiene.split_valid(source.purchases_and_refunds(spark, directory))[1]
 
 
+def rejected_text(spark, directory):
+    """Orders as a text file might hold them, some with a broken id, time or amount."""
+    key = F.col("o_orderkey")
+
+    def broken(column: str, every: int, text: str | None):
+        return F.when(key % every == 0, F.lit(text)).otherwise(F.col(column).cast("string"))
+
+    day = F.when(key % 7 == 0, F.lit("2001-13-45")).otherwise(F.col("o_orderdate").cast("date").cast("string"))
+    typed = source.purchases_from(
+        source.table(spark, directory, "orders"), broken("o_custkey", 3, "unknown"), broken("o_orderkey", 5, "x17"), day,
+        broken("o_totalprice", 11, "n/a"),
+    )
+    return hygiene.split_valid(typed)[1].groupBy("reason").agg(F.count("*").alias("n_rows"), F.sum("amount").cast("decimal(38,2)").alias("amount"))
+
+
 def dedup_shipments(spark, directory):
     return hygiene.dedup(hygiene.split_valid(_shipments(spark, directory))[0])
 
@@ -88,7 +111,7 @@ def observation_window(spark, directory):
 
 
 def rfm_base(spark, directory):
-    return indicators.rfm_base(hygiene.clean_purchases(_orders(spark, directory), AS_OF), AS_OF)
+    return indicators.rfm_base(_seen_orders(spark, directory, AS_OF), AS_OF)
 
 
 def rfm_base_window(spark, directory):
@@ -97,13 +120,12 @@ def rfm_base_window(spark, directory):
 
 
 def rfm_base_events(spark, directory):
-    cleaned = hygiene.clean_purchases(source.purchases_from_events(spark, directory), EVENTS_AS_OF)
-    return indicators.rfm_base(cleaned, EVENTS_AS_OF)
+    return indicators.rfm_base(_seen_events(spark, directory), EVENTS_AS_OF)
 
 
 def rfm_base_net(spark, directory):
     lines = source.purchases_and_refunds(spark, directory)
-    return indicators.rfm_base(hygiene.clean_purchases(lines, AS_OF, net=True, unique=True), AS_OF)
+    return indicators.rfm_base(hygiene.clean_purchases(lines, AS_OF, net=True), AS_OF)
 
 
 def net_revenue(spark, directory):
@@ -112,12 +134,11 @@ def net_revenue(spark, directory):
 
 
 def non_buyers(spark, directory):
-    seen = hygiene.clean_purchases(_orders(spark, directory), "1995-06-01")
-    return indicators.non_buyers(_customers(spark, directory), seen)
+    return indicators.non_buyers(_customers(spark, directory), _seen_events(spark, directory))
 
 
 def all_customers(spark, directory):
-    return indicators.with_non_buyers(_customers(spark, directory), _segments(spark, directory, "1995-06-01"))
+    return indicators.with_non_buyers(_customers(spark, directory), event_segments(spark, directory))
 
 
 def average_order_values(spark, directory):
@@ -127,11 +148,11 @@ def average_order_values(spark, directory):
 
 
 def purchase_rate(spark, directory):
-    return indicators.purchase_rate(hygiene.clean_purchases(_orders(spark, directory), AS_OF), AS_OF)
+    return indicators.purchase_rate(_seen_orders(spark, directory, AS_OF), AS_OF)
 
 
 def purchase_gaps(spark, directory):
-    return indicators.purchase_gaps(hygiene.clean_purchases(_orders(spark, directory), AS_OF))
+    return indicators.purchase_gaps(_seen_orders(spark, directory, AS_OF))
 
 
 # Scores and segments
@@ -162,7 +183,7 @@ def fitted_cutpoints(spark, directory):
 
 def score_kept_cutpoints(spark, directory):
     """Cuts fitted at an earlier date, applied later: scores stay comparable."""
-    cuts = scoring.fit_cutpoints(customer_base(_orders(spark, directory), EARLIER))
+    cuts = scoring.fit_cutpoints(customer_base(_orders(spark, directory), EARLIER, unique=True))
     return scoring.apply_cutpoints(rfm_base(spark, directory), cuts)
 
 
@@ -205,7 +226,7 @@ def tier_rollup(spark, directory):
 
 
 def rf_matrix(spark, directory):
-    return reports.rf_matrix(scoring.score_rank(_base(spark, directory)))
+    return reports.rf_matrix(scoring.score_rank(_base(spark, directory), indicators=("r", "f")))
 
 
 def value_classes(spark, directory):
@@ -240,48 +261,51 @@ def top_customers(spark, directory):
     return reports.top_customers(_segments(spark, directory), 10)
 
 
-def published_summary(spark, directory):
-    """Publish every dashboard table, then read one back as a dashboard would."""
-    tables = dashboard_tables(_orders(spark, directory), AS_OF)
-    written = sinks.publish(tables, scratch_path(spark, "dashboard"))
-    return spark.read.parquet(written["segment_summary"])
+def _published(name: str) -> Query:
+    """Publish a dashboard table and read it back as a dashboard would."""
+    def query(spark: SparkSession, directory: str) -> DataFrame:
+        tables = dashboard_tables(_orders(spark, directory), AS_OF, unique=True)
+        written = sinks.publish({name: tables[name]}, scratch_path(spark, "dashboard"))
+        return spark.read.parquet(written[name])
+
+    return query
 
 
 # History
 
 
 def monthly_snapshots(spark, directory):
-    cleaned = hygiene.clean_purchases(_orders(spark, directory), LAST_MONTH)
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
     return history.snapshots(cleaned, FIRST_MONTH, LAST_MONTH)
 
 
 def trailing_snapshots(spark, directory):
-    cleaned = hygiene.clean_purchases(_orders(spark, directory), LAST_MONTH)
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
     return history.snapshots(cleaned, FIRST_MONTH, LAST_MONTH, trailing_months=12)
 
 
 def segment_series(spark, directory):
-    cleaned = hygiene.clean_purchases(_orders(spark, directory), LAST_MONTH)
-    spells = materialize(history.spells(cleaned, RECENT_MONTH, LAST_MONTH), "spells")
-    return history.segment_series(history.unfold(spells, RECENT_MONTH))
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
+    spells = materialize(history.spells(cleaned, FIRST_MONTH, LAST_MONTH), "spells")
+    return history.segment_series(history.unfold(spells, FIRST_MONTH))
 
 
 def migration(spark, directory):
-    return history.migration(_segments(spark, directory, EARLIER), _segments(spark, directory))
+    return history.migration_between(_seen_orders(spark, directory, AS_OF), EARLIER, AS_OF)
 
 
 def monthly_migration(spark, directory):
-    cleaned = hygiene.clean_purchases(_orders(spark, directory), LAST_MONTH)
-    return history.migration_series(cleaned, RECENT_MONTH, LAST_MONTH)
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
+    return history.migration_series(cleaned, FIRST_MONTH, LAST_MONTH)
 
 
 def trailing_migration(spark, directory):
-    cleaned = hygiene.clean_purchases(_orders(spark, directory), LAST_MONTH)
-    return history.migration_series(cleaned, RECENT_MONTH, LAST_MONTH, trailing_months=12)
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
+    return history.migration_series(cleaned, FIRST_MONTH, LAST_MONTH, trailing_months=12)
 
 
 def migration_from_series(spark, directory):
-    return history.migration_by_lag(segment_series(spark, directory), RECENT_MONTH)
+    return history.migration_by_lag(segment_series(spark, directory), FIRST_MONTH)
 
 
 def stored_snapshots(spark, directory):
@@ -308,7 +332,7 @@ def _drained_state(purchases):
 
 
 def stream_indicators(spark, directory):
-    return _drained_state(stream.once_each(_event_stream(spark, directory)))
+    return _drained_state(stream.once_each(_event_stream(spark, directory), "40 days"))
 
 
 def stream_repeats(spark, directory):
@@ -319,7 +343,7 @@ def stream_repeats(spark, directory):
 
 
 def stream_segments(spark, directory):
-    purchases = stream.once_each(_event_stream(spark, directory))
+    purchases = stream.once_each(_event_stream(spark, directory), "40 days")
     session = purchases.sparkSession
     found = scratch_path(session, "stream-segments")
     state.keep_segments(
@@ -353,16 +377,23 @@ QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
         purchases_orders, purchases_by_status, purchases_events, purchases_net_of_returns,
-        validity_summary, rejected_rows, dedup_shipments, observation_window,
+        validity_summary, rejected_rows, rejected_text, dedup_shipments, observation_window,
         rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, net_revenue,
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
         score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints,
         score_fixed, score_nested, score_totals, customer_segments, event_segments, strategies,
         segment_summary, tier_rollup, rf_matrix, value_classes, class_summary, concentration, top_share,
-        by_attribute, by_nation, top_customers, published_summary,
+        by_attribute, by_nation, top_customers,
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,
         stream_indicators, stream_repeats, stream_segments, stream_weekly, stream_sliding, stream_sessions,
         clusters,
     )
 }
+#: Every dashboard table, published and read back.
+PUBLISHED = {
+    "published_customers": "customers", "published_summary": "segment_summary", "published_rollup": "tier_rollup",
+    "published_matrix": "rf_matrix", "published_classes": "class_summary", "published_concentration": "concentration",
+    "published_top_share": "top_share", "published_top_customers": "top_customers",
+}
+QUERIES |= {query: _published(table) for query, table in PUBLISHED.items()}

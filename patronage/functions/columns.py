@@ -11,9 +11,13 @@ from pyspark.sql import functions as F
 TOTAL_MONEY = "decimal(38,2)"
 
 
+def day_of(day: str | dt.date) -> dt.date:
+    return dt.date.fromisoformat(day) if isinstance(day, str) else day
+
+
 def date_literal(day: str | dt.date) -> Column:
     """A DATE constant from a date or its ISO text."""
-    return F.lit(dt.date.fromisoformat(day) if isinstance(day, str) else day)
+    return F.lit(day_of(day))
 
 
 def midnight(day: str | dt.date) -> Column:

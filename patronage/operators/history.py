@@ -142,15 +142,48 @@ def migration(before: DataFrame, after: DataFrame) -> DataFrame:
     )
 
 
+def migration_between(
+    purchases: DataFrame, before: str | dt.date, after: str | dt.date, rules: Sequence[Rule] = DEFAULT_RULES, k: int = 5
+) -> DataFrame:
+    """The same from the purchases, which are read and reduced to customers once for both dates."""
+    dates = {"before": before, "after": after}
+    sums = [
+        column
+        for name, day in dates.items()
+        for column in (
+            F.to_date(F.max(F.when(_bought_before(day), F.col("ts")))).alias(f"last_{name}"),
+            F.count(F.when(_bought_before(day), 1)).alias(f"frequency_{name}"),
+        )
+    ]
+    both = materialize(purchases.groupBy("customer_id").agg(*sums), "two-dates")
+
+    def segmented(name: str) -> DataFrame:
+        base = both.where(F.col(f"frequency_{name}") > 0).select(
+            "customer_id", days_since(dates[name], F.col(f"last_{name}")).alias("recency_days"), F.col(f"frequency_{name}").alias("frequency")
+        )
+        scored = apply_cutpoints(base, rank_cuts(base, k, indicators=("r", "f")), k, indicators=("r", "f"))
+        return scored.select("customer_id", segment_of(rules, k).alias("segment"))
+
+    validate_rules(rules, k)
+    return migration(segmented("before"), segmented("after"))
+
+
+def _bought_before(day: str | dt.date) -> Column:
+    return (F.col("ts") < midnight(day)) & (F.col("amount") >= 0)
+
+
 def migration_by_lag(segmented: DataFrame, first: str | dt.date) -> DataFrame:
-    """The same over a stored series of monthly segments that begins at ``first`` and in
-    which customers do not drop out. Shuffles every row of the series by customer; when
+    """The same over a stored series of monthly segments that begins at ``first``.
+
+    A customer without a row for the month before comes from ``(none)``; one who drops out of the series is
+    not reported as leaving it, which ``migration_series`` does. Shuffles every row of the series by customer; when
     the purchases are at hand, ``migration_series`` does without."""
     in_order = Window.partitionBy("customer_id").orderBy("as_of")
     return (
         segmented.select(
             "customer_id", "as_of", F.col("segment").alias("to_segment"),
-            F.lag("segment", 1, NOBODY).over(in_order).alias("from_segment"),
+            F.when(F.lag("as_of").over(in_order) == F.add_months("as_of", F.lit(-1)), F.lag("segment").over(in_order))
+            .otherwise(NOBODY).alias("from_segment"),
         )
         .where(F.col("as_of") > date_literal(first))
         .groupBy("as_of", "from_segment", "to_segment")
@@ -174,7 +207,7 @@ def migration_series(
     """
     validate_rules(rules, k)
     table = materialize(spells(purchases, first, last, trailing_months), "spells")
-    cuts = rank_cuts(unfold(table, first), k, by=["as_of"])
+    cuts = rank_cuts(unfold(table, first), k, by=["as_of"], indicators=("r", "f"))
 
     starts = F.col("no") == F.col("from_no")
     now = ("last_purchase", "frequency", "monetary")
@@ -194,7 +227,8 @@ def migration_series(
         recency = f"date_diff({date}, {prefix}last_purchase)"
         frequency = f"{prefix}frequency"
         limits = comparable(cuts).select(F.col("as_of").alias(date), "r_cuts", "f_cuts")
-        scored = df.join(F.broadcast(limits), date, "left").withColumns(
+        scored = df.join(F.broadcast(limits), date, "left")  # one row a month
+        scored = scored.withColumns(
             {
                 "r_score": F.expr(score_sql("r", recency, [f"r_cuts[{j}]" for j in range(k - 1)])),
                 "f_score": F.expr(score_sql("f", frequency, [f"f_cuts[{j}]" for j in range(k - 1)])),

@@ -39,11 +39,11 @@ def reject_summary(purchases: DataFrame, net: bool = False) -> DataFrame:
 def dedup(purchases: DataFrame) -> DataFrame:
     """One row per transaction: the earliest, then lowest customer, then lowest amount.
 
-    A minimum over a struct picks the same row on every run and is combined before the
+    A refund under the id of its purchase is a transaction of its own. A minimum over a struct picks the same row on every run and is combined before the
     shuffle, so a transaction repeated without end still sends one row per task.
     """
     return (
-        purchases.groupBy("txn_id")
+        purchases.groupBy("txn_id", (F.col("amount") < 0).alias("refund"))
         .agg(F.min(F.struct("ts", "customer_id", "amount")).alias("first"))
         .select("first.customer_id", "txn_id", "first.ts", "first.amount")
     )

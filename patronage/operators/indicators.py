@@ -39,10 +39,13 @@ def rfm_base(purchases: DataFrame, as_of: str | dt.date) -> DataFrame:
 
 
 def with_non_buyers(customers: DataFrame, segments: DataFrame) -> DataFrame:
-    """Every customer, those without purchases in a group of their own and without scores."""
+    """Every customer, those without purchases in a group of their own and without scores.
+
+    Buyers whom the customer table does not know are kept as well.
+    """
     return (
         customers.select("customer_id")
-        .join(segments, "customer_id", "left")
+        .join(segments, "customer_id", "full_outer")
         .withColumn("frequency", F.coalesce("frequency", F.lit(0).cast("bigint")))
         .withColumn("monetary", F.coalesce("monetary", money(0)))
         .withColumn("segment", F.coalesce("segment", F.lit(NEVER)))
@@ -58,9 +61,9 @@ def non_buyers(customers: DataFrame, purchases: DataFrame) -> DataFrame:
 
 
 def purchase_rate(purchases: DataFrame, as_of: str | dt.date) -> DataFrame:
-    """Frequency as a rate: purchases per day since the first one."""
+    """Frequency as a rate: purchases per day since the first one. Refunds are no purchases."""
     return (
-        purchases.groupBy("customer_id")
+        purchases.where("amount >= 0").groupBy("customer_id")
         .agg(
             F.to_date(F.min("ts")).alias("first_purchase"),
             F.count("*").alias("frequency"),
@@ -74,11 +77,12 @@ def purchase_gaps(purchases: DataFrame) -> DataFrame:
     """Days between consecutive purchase days: total, number, shortest and longest.
 
     Purchases are reduced to (customer, day) before the window, which so sees at most one
-    row per day of the observation period however much a customer buys.
+    row per day of the observation period however much a customer buys. Refunds are no
+    purchases.
     """
     in_order = Window.partitionBy("customer_id").orderBy("day")
     return (
-        purchases.select("customer_id", F.to_date("ts").alias("day"))
+        purchases.where("amount >= 0").select("customer_id", F.to_date("ts").alias("day"))
         .distinct()
         .withColumn("gap", F.date_diff("day", F.lag("day").over(in_order)).cast("bigint"))
         .groupBy("customer_id")

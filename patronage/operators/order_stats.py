@@ -24,6 +24,8 @@ WEIGHT_TYPE = "decimal(38,4)"
 
 
 
+#: Most groups whose fences and cuts are broadcast: a few megabytes.
+FEW_GROUPS = 5_000
 #: Evenly spaced fences are counted in two steps of this many intervals each.
 STEP = 15
 
@@ -33,6 +35,11 @@ def spread() -> list[float]:
     return [i / STEP**2 for i in range(1, STEP**2)]
 
 
+def few_groups(rows: DataFrame, groups: Sequence[str]) -> bool:
+    """Whether a table with a row for each group (or some) is small enough to be broadcast."""
+    return rows.select(*groups).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
+
+
 def around(positions: Sequence[float], margin: float = 2e-4) -> list[float]:
     """Two fences about each relative position, at twice the error of the estimate."""
     return sorted({min(max(p + side, 0.0), 1.0) for p in positions for side in (-margin, margin)})
@@ -42,17 +49,28 @@ def fences_sql(value: str, fence_at: Sequence[float]) -> str:
     return f"percentile_approx({value}, array({', '.join(map(str, fence_at))}), 10000) AS p"
 
 
-def slots_sql(rows: str, keys: str, n_fences: int) -> str:
+def same_group(left: str, right: str, columns: Sequence[str]) -> str:
+    """A join condition under which NULL is a group like any other."""
+    return " AND ".join(f"{left}.{c} <=> {right}.{c}" for c in columns)
+
+
+def slots_sql(rows: str, groups: Sequence[str], n_fences: int, two_steps: bool, few_groups: bool = True) -> str:
     """CTE ``placed``: the rows with their ``slot``, the number of fences strictly below
     ``d``. Equal values always land together.
 
     Takes the CTEs ``fences`` (an array ``p`` per group) and ``rows``, which must have a
-    double ``d`` that is never NULL. Every fence is compared if they are few. Otherwise the
-    last fence of each step is, and then the others of the one step the row falls into,
-    found by a second broadcast join. Fences are plain columns because the code generated
+    double ``d`` that is never NULL. Every fence is compared, or (``two_steps``, for the
+    fences of ``spread``) the last fence of each step, and then the others of the one step the row falls into,
+    found by a second join. Fences are broadcast if there are ``few_groups``. They are plain columns because the code generated
     for array elements is too long for the JVM to compile.
     """
-    using = f"JOIN {{}} USING ({keys.rstrip(', ')})" if keys else "CROSS JOIN {}"
+    keys = "".join(f"{g}, " for g in groups)
+
+    def joined(rows: str, fences: str, *more: str) -> str:
+        return f"{rows} JOIN {fences} ON {same_group(rows, fences, [*groups, *more])}" if groups or more else f"{rows} CROSS JOIN {fences}"
+
+    def hint(name: str) -> str:
+        return f"/*+ BROADCAST({name}) */" if few_groups else ""
 
     def columns(indexes: Sequence[str | int]) -> str:
         return ", ".join(f"coalesce(p[{i}], 0D) AS f{n}" for n, i in enumerate(indexes))
@@ -60,22 +78,21 @@ def slots_sql(rows: str, keys: str, n_fences: int) -> str:
     def below(n: int) -> str:
         return " + ".join(f"CAST(f{i} < d AS INT)" for i in range(n))
 
-    if n_fences != STEP**2 - 1:
+    if not two_steps:
         return f"""
         bounds AS (SELECT {keys} {columns(range(n_fences))} FROM fences),
         placed AS (
-            SELECT /*+ BROADCAST(bounds) */ {below(n_fences)} AS slot, {rows}.*
-            FROM {rows} {using.format("bounds")})"""
+            SELECT {hint("bounds")} {below(n_fences)} AS slot, {rows}.* FROM {joined(rows, "bounds")})"""
     return f"""
         coarse AS (SELECT {keys} {columns(range(STEP - 1, n_fences, STEP))} FROM fences),
         fine AS (
             SELECT {keys} step, {columns([f"{STEP} * step + {i}" for i in range(STEP - 1)])}
             FROM fences LATERAL VIEW explode(sequence(0, {STEP - 1})) AS step),
         stepped AS (
-            SELECT /*+ BROADCAST(coarse) */ {below(STEP - 1)} AS step, {rows}.* FROM {rows} {using.format("coarse")}),
+            SELECT {hint("coarse")} {below(STEP - 1)} AS step, {rows}.* FROM {joined(rows, "coarse")}),
         placed AS (
-            SELECT /*+ BROADCAST(fine) */ {STEP} * step + {below(STEP - 1)} AS slot, stepped.*
-            FROM stepped JOIN fine USING ({keys} step))"""
+            SELECT {hint("fine")} {STEP} * stepped.step + {below(STEP - 1)} AS slot, stepped.*
+            FROM {joined("stepped", "fine", "step")})"""
 
 
 def exact_cuts(
@@ -91,9 +108,9 @@ def exact_cuts(
 
     ``targets`` gives, for each cut number ``j``, its position as SQL over the group
     columns and over ``total``, the sum of the weights (or the number of rows) of the
-    group. Positions run from just above zero to ``total``. The number of groups must be
-    small (dates, indicators, scores): fences and targets of each group are broadcast,
-    nothing that grows with the rows.
+    group. Positions run from just above zero to ``total``. NULL is a group like any other.
+    Groups are counted first: fences and targets of up to ``FEW_GROUPS`` groups are
+    broadcast, those of more are joined by a shuffle.
 
     Fences are compared as doubles (``approx``, by default ``value`` cast). Rounding keeps
     the order and equal values together, which is all the counting needs; cuts are found
@@ -103,6 +120,8 @@ def exact_cuts(
     all values strictly under ``cut``.
     """
     keys = "".join(f"{g}, " for g in groups)
+    few = not groups or few_groups(rows, groups)
+    of_placed = "".join(f"placed.{g}, " for g in groups)
     per_group = f"PARTITION BY {', '.join(groups)}" if groups else ""
     measure, kind = (f"CAST({weight} AS {WEIGHT_TYPE})", WEIGHT_TYPE) if weight else ("1L", "BIGINT")
     wanted = ", ".join(f"struct({j} AS j, CAST({p} AS {kind}) AS position)" for j, p in targets.items())
@@ -112,7 +131,7 @@ def exact_cuts(
             SELECT {keys} {value} AS v, coalesce({approx or f"CAST({value} AS DOUBLE)"}, 0D) AS d, {measure} AS w
             FROM {{rows}}),
         fences AS (SELECT {keys} {fences_sql("d", fence_at)} FROM measured GROUP BY ALL),
-        {slots_sql("measured", keys, len(fence_at))},
+        {slots_sql("measured", groups, len(fence_at), list(fence_at) == spread(), few)},
         slots AS (SELECT {keys} slot, sum(w) AS slot_total FROM placed GROUP BY ALL),
         edges AS (
             SELECT *, sum(slot_total) OVER ({per_group} ORDER BY slot ROWS UNBOUNDED PRECEDING) AS through,
@@ -122,8 +141,8 @@ def exact_cuts(
         wanted AS (
             SELECT {keys} slot, total, before, j, position FROM asked WHERE before < position AND position <= through),
         counted AS (
-            SELECT /*+ BROADCAST(wanted) */ {keys} j, position, total, before, v, sum(w) AS value_total
-            FROM placed JOIN wanted USING ({keys} slot) GROUP BY ALL),
+            SELECT {"/*+ BROADCAST(wanted) */" if few else ""} {of_placed} j, position, total, before, v, sum(w) AS value_total
+            FROM placed JOIN wanted ON {same_group("placed", "wanted", [*groups, "slot"])} GROUP BY ALL),
         summed AS (
             SELECT *, before + sum(value_total)
                 OVER (PARTITION BY {keys} j, position ORDER BY v ROWS UNBOUNDED PRECEDING) AS through
@@ -146,7 +165,7 @@ def running_totals(rows: DataFrame, value: str, weight: str) -> DataFrame:
         WITH fences AS (SELECT {fences_sql(f"CAST({value} AS DOUBLE)", spread())} FROM {{rows}}),
         counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
         valued AS (SELECT v, n, w, coalesce(CAST(v AS DOUBLE), 0D) AS d FROM counted),
-        {slots_sql("valued", "", len(spread()))},
+        {slots_sql("valued", (), len(spread()), True)},
         slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
         offsets AS (
             SELECT slot,

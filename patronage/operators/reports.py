@@ -11,6 +11,7 @@ from patronage.functions.columns import count_if, share
 from patronage.operators.order_stats import around, exact_cuts, running_totals, spread
 
 MONEY_SUM = "decimal(38,2)"
+UNKNOWN = "(unknown)"
 
 
 def _money_sum(column: str | Column) -> Column:
@@ -57,10 +58,11 @@ def tier_rollup(segments: DataFrame) -> DataFrame:
 
 
 def rf_matrix(scored: DataFrame, k: int = 5) -> DataFrame:
-    """Customers in each (R, F) cell, one row per R score and one column per F score."""
+    """Customers in each (R, F) cell, one row per R score (also without customers) and one column per F score."""
     levels = list(range(1, k + 1))
     counted = scored.groupBy("r_score").pivot("f_score", levels).agg(F.count(F.lit(1)))
-    return counted.select(
+    rows = scored.sparkSession.range(1, k + 1).select(F.col("id").cast("int").alias("r_score"))
+    return rows.join(counted, "r_score", "left").select(
         "r_score", *[F.coalesce(F.col(str(f)), F.lit(0)).alias(f"f{f}") for f in levels]
     )
 
@@ -83,8 +85,9 @@ def value_classes(base: DataFrame, a_percent: int = 80, b_percent: int = 95) ->
         F.max(F.when(F.col("j") == 2, F.col("cut"))).alias("b_from"),
     )
     value = F.col("monetary")
-    abc = F.when(value >= F.col("a_from"), "A").when(value >= F.col("b_from"), "B").otherwise("C")
-    return base.crossJoin(F.broadcast(cuts)).select("customer_id", "monetary", abc.alias("abc_class"))
+    a_from, b_from = (F.lit(cut).cast(MONEY_SUM) for cut in cuts.first())
+    abc = F.when(value >= a_from, "A").when(value >= b_from, "B").otherwise("C")
+    return base.select("customer_id", "monetary", abc.alias("abc_class"))
 
 
 def class_summary(classes: DataFrame) -> DataFrame:
@@ -114,46 +117,56 @@ def top_share(base: DataFrame, percents: Sequence[int] = (1, 5, 10, 20, 50)) ->
     those on it fill the remaining places, so no tie-break is needed.
     """
     targets = {p: f"total - ({p} * total + 99) div 100 + 1" for p in percents}
-    cuts = exact_cuts(base, (), "monetary", targets, around([1 - p / 100 for p in percents]))
-    sizes = base.agg(F.count("*").alias("customers_total"), _money_sum("monetary").alias("revenue_total"))
-    ahead = (
-        base.select("monetary")
-        .crossJoin(F.broadcast(cuts))
-        .groupBy("j", "cut")
-        .agg(
-            count_if(F.col("monetary") > F.col("cut")).alias("n_above"),
-            _money_sum(F.when(F.col("monetary") > F.col("cut"), F.col("monetary")).otherwise(0)).alias("above"),
+    cuts = exact_cuts(base, (), "monetary", targets, around([1 - p / 100 for p in percents])).collect()  # one row a percentage
+    value = F.col("monetary")
+    sums = [
+        F.struct(
+            F.lit(row["j"]).alias("top_percent"),
+            F.lit(row["cut"]).cast(MONEY_SUM).alias("cut"),
+            count_if(value > F.lit(row["cut"])).alias("n_above"),
+            _money_sum(F.when(value > F.lit(row["cut"]), value).otherwise(0)).alias("above"),
         )
-        .crossJoin(F.broadcast(sizes))
-        .withColumn("customers", F.expr("(j * customers_total + 99) div 100"))
+        for row in cuts
+    ]
+    found = base.agg(F.count("*").alias("customers_total"), _money_sum("monetary").alias("revenue_total"), F.array(*sums).alias("tops"))
+    if not cuts:
+        found = found.withColumn("tops", F.expr(f"CAST(array() AS array<struct<top_percent:int,cut:{MONEY_SUM},n_above:bigint,above:{MONEY_SUM}>>)"))
+    ahead = found.select("customers_total", "revenue_total", F.inline("tops")).withColumn(
+        "customers", F.expr("(top_percent * customers_total + 99) div 100")
     )
     on_cut = ((F.col("customers") - F.col("n_above")).cast("decimal(19,0)") * F.col("cut")).cast(MONEY_SUM)
     return ahead.withColumn("revenue", (F.col("above") + on_cut).cast(MONEY_SUM)).select(
-        F.col("j").alias("top_percent"),
+        "top_percent",
         "customers",
         "revenue",
         share(F.col("revenue"), F.col("revenue_total")).alias("revenue_share"),
     )
 
 
+def _named(fine: DataFrame, nation: DataFrame, region: DataFrame, *labels: str) -> DataFrame:
+    """Summary rows with the names of their nation and region; a missing label is ``(unknown)``."""
+    named = fine.join(nation, fine.c_nationkey == nation.n_nationkey, "left").join(
+        region, nation.n_regionkey == region.r_regionkey, "left"
+    )
+    return named.withColumns({label: F.coalesce(label, F.lit(UNKNOWN)) for label in labels})
+
+
 def by_attribute(
     segments: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame
 ) -> DataFrame:
     """Segments sliced by region and market segment, with all subtotals.
 
-    Customers are first counted per (nation, market segment, segment); names and the cube
+    What the customer, nation and region tables do not tell is ``(unknown)``, so the grand
+    total is that of all customers. Customers are first counted per (nation, market segment, segment); names and the cube
     are then applied to those few rows, so the cube does not multiply customers. Spark
     chooses how to join the dimension tables from their actual size.
     """
     fine = (
-        segments.join(customer, segments.customer_id == customer.c_custkey)
+        segments.join(customer, segments.customer_id == customer.c_custkey, "left")
         .groupBy("c_nationkey", "c_mktsegment", "segment")
         .agg(F.count("*").alias("n"), F.sum("monetary").alias("m"))
     )
-    named = fine.join(nation, fine.c_nationkey == nation.n_nationkey).join(
-        region, nation.n_regionkey == region.r_regionkey
-    )
-    return named.cube("r_name", "c_mktsegment", "segment").agg(
+    return _named(fine, nation, region, "r_name", "c_mktsegment").cube("r_name", "c_mktsegment", "segment").agg(
         F.grouping_id().alias("level"),
         F.sum("n").alias("customers"),
         _money_sum("m").alias("revenue"),
@@ -163,13 +176,11 @@ def by_attribute(
 def by_nation(segments: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
     """Two slices in one table, by (region, segment) and by (nation, segment)."""
     fine = (
-        segments.join(customer, segments.customer_id == customer.c_custkey)
+        segments.join(customer, segments.customer_id == customer.c_custkey, "left")
         .groupBy("c_nationkey", "segment")
         .agg(F.count("*").alias("n"), F.sum("monetary").alias("m"))
     )
-    named = fine.join(nation, fine.c_nationkey == nation.n_nationkey).join(
-        region, nation.n_regionkey == region.r_regionkey
-    )
+    named = _named(fine, nation, region, "r_name", "n_name")
     region_name, nation_name, segment = F.col("r_name"), F.col("n_name"), F.col("segment")
     return named.groupingSets(
         [[region_name, segment], [nation_name, segment]], region_name, nation_name, segment

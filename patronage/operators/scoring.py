@@ -13,6 +13,8 @@ kept and applied to later data, which keeps scores comparable between dates.
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable, Mapping, Sequence
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
@@ -21,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.columns import TOTAL_MONEY
-from patronage.operators.order_stats import around, exact_cuts, spread
-from patronage.session import small_rows, small_table
+from patronage.operators.order_stats import around, exact_cuts, few_groups, spread
+from patronage.session import materialize, small_table
 
 INDICATORS = ("r", "f", "m")
 
@@ -64,29 +66,18 @@ def _search(
     )
 
 
-def _cut_table(
-    found: DataFrame,
-    by: Sequence[str],
-    k: int,
-    indicators: Sequence[str],
-    cut: Callable[[dict[int, dict], str, int], object],
-    cut_type: T.DataType = CUT,
-) -> DataFrame:
-    """Run the search and lay out its few results as a cut table held by the driver.
+def _cut_table(found: DataFrame, by: Sequence[str], indicators: Sequence[str], cut: Callable[[str], Column]) -> DataFrame:
+    """Lay out what a search found as a cut table: one row per group, written once.
 
-    ``cut`` turns the rows found for one group and indicator into the cut numbered ``j``.
+    ``cut`` is the cut of one indicator from the columns of ``found``, in the order of ``j``;
+    NULL for rows that make none. Nothing comes to the driver, however many groups there are.
     """
-    groups: dict[tuple, dict[str, dict[int, dict]]] = {}
-    for row in small_rows(found):
-        group = groups.setdefault(tuple(row[c] for c in by), {i: {} for i in indicators})
-        group[row["indicator"]][row["j"]] = row
-    schema = T.StructType(
-        [found.schema[c] for c in by] + [T.StructField(f"{i}_cuts", T.ArrayType(cut_type)) for i in indicators]
-    )
-    rows = [
-        (*group, *[[cut(at[i], i, j) for j in range(1, k)] for i in indicators]) for group, at in groups.items()
-    ]
-    return small_table(found.sparkSession, rows, schema)
+    def cuts(i: str) -> Column:
+        row = F.when(F.col("indicator") == i, F.struct("j", cut(i).alias("cut")))
+        return F.transform(F.sort_array(F.collect_list(row)), lambda x: x["cut"]).alias(f"{i}_cuts")
+
+    table = found.groupBy(*by).agg(*[cuts(i) for i in indicators])
+    return materialize(table.where(F.size(f"{indicators[0]}_cuts") > 0), "cuts")
 
 
 def rank_cuts(
@@ -101,11 +92,11 @@ def rank_cuts(
     targets = {j: f"({j} * total + {k - 1}) div {k}" for j in range(1, k)}
     found = _search(base, by, indicators, k, targets)
 
-    def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
+    def cut(i: str) -> Column:
         # Better than -d means fewer days than d; days are whole, so at most d - 1.
-        return _as_cut(-rows[j]["cut"] - 1 if i == "r" else rows[j]["cut"])
+        return (-F.col("cut") - 1 if i == "r" else F.col("cut")).cast(CUT)
 
-    return _cut_table(found, by, k, indicators, cut)
+    return _cut_table(found, by, indicators, cut)
 
 
 def fit_cutpoints(base: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFrame:
@@ -120,13 +111,17 @@ def fit_cutpoints(base: DataFrame, k: int = 5, by: Sequence[str] = ()) -> DataFr
     upper = {j + k: f"least({place.format(j=j, k=k)} + 2, total)" for j in range(1, k)}
     found = _search(base, by, INDICATORS, k, {**lower, **upper})
 
-    def cut(rows: dict[int, dict], i: str, j: int) -> Decimal:
-        low, high = rows[j]["cut"], rows[j + k]["cut"]
-        with localcontext() as exact:
-            exact.prec = 60
-            return _as_cut(low + (high - low) * (j * (rows[j]["total"] - 1) % k) / k)
-
-    return _cut_table(found, by, k, INDICATORS, cut)
+    lows = found.where(F.col("j") < k)
+    highs = found.where(F.col("j") >= k).select(
+        *[F.col(c).alias(f"high_{c}") for c in by], F.col("indicator").alias("high_indicator"), (F.col("j") - k).alias("high_j"), F.col("cut").alias("high")
+    )
+    same = (F.col("indicator") == F.col("high_indicator")) & (F.col("j") == F.col("high_j"))
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"high_{c}"))
+    pairs = lows.join(highs, same)
+    part = (F.col("j") * (F.col("total") - 1) % k).cast("decimal(5,0)")
+    step = (F.col("high") - F.col("cut")).cast("decimal(30,2)") * part / F.lit(k).cast("decimal(5,0)")
+    return _cut_table(pairs, by, INDICATORS, lambda i: (F.col("cut").cast(CUT) + step.cast(CUT)).cast(CUT))
 
 
 def fixed_cuts(base: DataFrame, r: Sequence, f: Sequence, m: Sequence) -> DataFrame:
@@ -167,15 +162,21 @@ def apply_cutpoints(
 ) -> DataFrame:
     """Add the score of each indicator: one comparison per cut, no shuffle of customers.
 
-    Without groups the cuts become constants of a plain projection; with groups their
-    table is broadcast. Customers of a group without cuts keep their row and get no score.
+    Without groups the cuts become constants of a plain projection, and there must be one row of
+    them (or none); with groups their table is broadcast if it is small, else joined by a
+    shuffle. Customers of a group without cuts keep their row and get no score.
     """
     cuts = comparable(cuts)
     if by:
         cut = {i: [f"{i}_cuts[{j}]" for j in range(k - 1)] for i in indicators}
-        base_with_cuts = base.join(F.broadcast(cuts), list(by), "left")
+        theirs = cuts.select(*[F.col(c).alias(f"cut_{c}") for c in by], *[f"{i}_cuts" for i in indicators])
+        theirs = F.broadcast(theirs) if few_groups(cuts, by) else theirs
+        same = [base[c].eqNullSafe(F.col(f"cut_{c}")) for c in by]
+        base_with_cuts = base.join(theirs, functools.reduce(operator.and_, same), "left")
     else:
-        found = small_rows(cuts) or [{}]  # no row if the cuts were fitted to nobody
+        found = [row.asDict() for row in cuts.limit(2).collect()] or [{}]  # no row if the cuts were fitted to nobody
+        if len(found) > 1:
+            raise ValueError("a cut table without groups must have one row")
         unknown = ["CAST(NULL AS BIGINT)"]
         cut = {
             i: [f"{c}BD" if i == "m" else f"{c}L" for c in found[0].get(f"{i}_cuts", ())] or unknown
@@ -215,17 +216,15 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
     at_value = _search(base, (), INDICATORS, k, ends).select(
         "indicator", F.col("j").alias("boundary"), "cut", (F.col("position") - F.col("below")).alias("place")
     )
-    at_value = small_table(base.sparkSession, small_rows(at_value), at_value.schema)
+    at_value = materialize(at_value, "boundaries")  # at most 3 * (k - 1) rows, also broadcast below
     by_customer = _long(base, (), INDICATORS, "customer_id").withColumn("cut", F.expr(BEST))
     tied = by_customer.join(F.broadcast(at_value), ["indicator", "cut"])
     at_id = exact_cuts(tied, ["indicator", "boundary", "place"], "customer_id", {1: "place"}, spread())
     ids = at_id.select("indicator", "boundary", F.col("cut").alias("id"))
     ends_at = F.broadcast(ids).join(F.broadcast(at_value), ["indicator", "boundary"])
     pairs = ends_at.select("indicator", F.col("boundary").alias("j"), F.struct("cut", "id").alias("cut"))
-    cuts = _cut_table(pairs, (), k, INDICATORS, lambda rows, i, j: rows[j]["cut"], pairs.schema["cut"].dataType)
-
-    found = small_rows(cuts)
-    values = found[0] if found else {}
+    found = _cut_table(pairs, (), INDICATORS, lambda i: F.col("cut")).collect()  # one row, or none
+    values = found[0].asDict(recursive=True) if found else {}
 
     def score(i: str) -> str:
         value = "(-recency_days)" if i == "r" else VALUES[i]

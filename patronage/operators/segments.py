@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from patronage.functions.columns import rfm_code, value_tier
-from patronage.session import SMALL_TABLE_ROWS, small_table
+from patronage.session import small_table
 
 TIERS = ("high", "mid", "low")
 
@@ -123,15 +123,11 @@ def default_strategies(df: DataFrame) -> DataFrame:
 def attach_strategies(segments: DataFrame, strategies: DataFrame | None = None) -> DataFrame:
     """Look up the action for each customer's segment and tier; NULL where none is planned.
 
-    The table is checked first: it must be small enough to broadcast and name each
-    segment and tier once, since a second action would count customers twice.
+    The table is checked first: it must name each segment and tier once, since a second
+    action would count customers twice. Spark broadcasts it if it is small.
     """
     strategies = default_strategies(segments) if strategies is None else strategies
     plan = strategies.select("segment", "value_tier", "action")
-    rows = plan.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(rows) > SMALL_TABLE_ROWS:
-        raise ValueError(f"strategies must have at most {SMALL_TABLE_ROWS} rows")
-    if len({(row.segment, row.value_tier) for row in rows}) < len(rows):
+    if not plan.groupBy("segment", "value_tier").count().where("count > 1").isEmpty():
         raise ValueError("strategies name a segment and tier more than once")
-    plan = small_table(segments.sparkSession, [tuple(row) for row in rows], STRATEGY_SCHEMA)
-    return segments.join(F.broadcast(plan), ["segment", "value_tier"], "left")
+    return segments.join(plan, ["segment", "value_tier"], "left")

@@ -13,11 +13,16 @@ EVENTS = """SELECT user_id AS customer_id, event_id AS txn_id, ts, CAST(value AS
 LINES = """SELECT o_custkey AS customer_id, o_orderkey AS txn_id, o_orderdate AS ts,
     CAST(coalesce(sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))), 0)
          AS DECIMAL(18,2)) AS amount
-    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag <> 'R'
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_returnflag IS DISTINCT FROM 'R'
     GROUP BY o_custkey, o_orderkey, o_orderdate"""
-REFUNDS = """SELECT o_custkey AS customer_id, o_orderkey * 100 + l_linenumber AS txn_id, l_shipdate AS ts,
-    CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2)) AS amount
-    FROM lineitem JOIN orders ON o_orderkey = l_orderkey"""
+NET = "sum(CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2))))"
+BILLED = f"""SELECT o_custkey, o_orderkey, o_orderdate, CAST(coalesce({NET}, 0) AS DECIMAL(18,2)) AS sold,
+    CAST(coalesce({NET} FILTER (l_returnflag IS DISTINCT FROM 'R'), 0) AS DECIMAL(18,2)) AS kept,
+    max(l_shipdate) FILTER (l_returnflag = 'R') AS returned_at
+    FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey, o_orderdate"""
+REFUNDS = f"""SELECT o_custkey AS customer_id, o_orderkey AS txn_id, o_orderdate AS ts, sold AS amount FROM ({BILLED})
+    UNION ALL SELECT o_custkey, o_orderkey, returned_at, CAST(kept - sold AS DECIMAL(18,2))
+    FROM ({BILLED}) WHERE returned_at IS NOT NULL AND kept < sold"""
 SHIPMENTS = """SELECT l_suppkey AS customer_id, l_orderkey AS txn_id, l_shipdate AS ts,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem"""
 FIRST_SHIPMENTS = f"""SELECT customer_id, txn_id, ts, amount FROM ({SHIPMENTS})
@@ -145,9 +150,10 @@ def moves(first: str, trailing: int | None = None) -> str:
 
 
 def sliced(group: str, columns: str) -> str:
+    labels = ", ".join(f"coalesce({name}, '(unknown)') AS {name}" for name in ("r_name", "n_name", "c_mktsegment"))
     return f"""SELECT {columns}, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(38,2)) AS revenue
-    FROM ({SEGMENTS}) JOIN customer ON c_custkey = customer_id
-    JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey GROUP BY {group}"""
+    FROM (SELECT segment, monetary, {labels} FROM ({SEGMENTS}) LEFT JOIN customer ON c_custkey = customer_id
+    LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey) GROUP BY {group}"""
 
 
 # A stream's watermark is its newest event, to the millisecond, less a day.
@@ -184,6 +190,11 @@ ORACLES: dict[str, str] = {
     "validity_summary": f"""SELECT CASE WHEN amount < 0 THEN 'negative amount' ELSE 'valid' END AS outcome,
         count(*) AS n_rows, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM ({REFUNDS}) GROUP BY 1""",
     "rejected_rows": f"SELECT *, 'negative amount' AS reason FROM ({REFUNDS}) WHERE amount < 0",
+    "rejected_text": f"""SELECT CASE WHEN o_orderkey % 3 = 0 THEN 'missing customer' WHEN o_orderkey % 5 = 0 THEN 'missing transaction'
+            WHEN o_orderkey % 7 = 0 THEN 'missing time' ELSE 'missing amount' END AS reason, count(*) AS n_rows,
+        CAST(sum(CASE WHEN o_orderkey % 11 <> 0 THEN amount END) AS DECIMAL(38,2)) AS amount
+        FROM (SELECT txn_id AS o_orderkey, amount FROM ({ORDERS}))
+        WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR o_orderkey % 11 = 0 GROUP BY 1""",
     "dedup_shipments": FIRST_SHIPMENTS,
     "observation_window": f"SELECT * FROM ({ORDERS}) WHERE ts >= DATE '1999-01-01' AND ts < DATE '2000-01-01'",
     "rfm_base": base(),
@@ -194,13 +205,13 @@ ORACLES: dict[str, str] = {
         count(*) FILTER (amount >= 0) AS frequency, CAST(sum(amount) AS DECIMAL(38,2)) AS monetary
         FROM ({REFUNDS}) WHERE ts < DATE '{c.AS_OF}' GROUP BY customer_id HAVING count(*) FILTER (amount >= 0) > 0""",
     "net_revenue": base(LINES),
-    "non_buyers": """SELECT c_custkey AS customer_id FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderdate < DATE '1995-06-01')""",
-    "all_customers": f"""SELECT c_custkey AS customer_id, last_purchase, recency_days,
+    "non_buyers": f"""SELECT c_custkey AS customer_id FROM customer
+        WHERE c_custkey NOT IN (SELECT customer_id FROM ({EVENTS}) WHERE ts < DATE '{c.EVENTS_AS_OF}')""",
+    "all_customers": f"""SELECT coalesce(c_custkey, customer_id) AS customer_id, last_purchase, recency_days,
         coalesce(frequency, 0) AS frequency, CAST(coalesce(monetary, 0) AS DECIMAL(38,2)) AS monetary,
         r_score, f_score, m_score, rfm_code, coalesce(segment, 'never_purchased') AS segment,
         coalesce(value_tier, 'none') AS value_tier
-        FROM customer LEFT JOIN ({segmented(ranked(base(as_of='1995-06-01')))}) ON customer_id = c_custkey""",
+        FROM customer FULL JOIN ({segmented(ranked(base(EVENTS, c.EVENTS_AS_OF)))}) ON customer_id = c_custkey""",
     "average_order_values": f"""SELECT customer_id, monetary, frequency,
         CAST(monetary AS DOUBLE) / frequency AS average_order_value FROM ({base()})""",
     "purchase_rate": f"""SELECT customer_id, CAST(min(ts) AS DATE) AS first_purchase, count(*) AS frequency,
@@ -234,7 +245,7 @@ ORACLES: dict[str, str] = {
         CAST(sum(monetary) AS DECIMAL(38,2)) AS revenue FROM ({SEGMENTS}) GROUP BY ROLLUP (value_tier, segment)""",
     "rf_matrix": "SELECT r_score, "
     + ", ".join(f"count(*) FILTER (f_score = {f}) AS f{f}" for f in range(1, 6))
-    + f" FROM ({ranked(base())}) GROUP BY r_score",
+    + f" FROM (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS r_score) LEFT JOIN ({ranked(base())}) USING (r_score) GROUP BY r_score",
     "value_classes": CLASSES,
     "class_summary": f"""SELECT abc_class, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(38,2)) AS revenue,
         CAST(sum(monetary) AS DOUBLE) / CAST(CAST(sum(sum(monetary)) OVER () AS DECIMAL(38,2)) AS DOUBLE)
@@ -263,16 +274,15 @@ ORACLES: dict[str, str] = {
     "top_customers": f"""SELECT segment, customer_id, monetary, frequency, recency_days,
         CAST(row_number() OVER (PARTITION BY segment ORDER BY monetary DESC, customer_id) AS INTEGER) AS place
         FROM ({SEGMENTS}) QUALIFY place <= 10""",
-    "published_summary": SUMMARY,
     "monthly_snapshots": series(c.FIRST_MONTH),
     "trailing_snapshots": series(c.FIRST_MONTH, trailing=12),
-    "segment_series": series_segments(c.RECENT_MONTH),
+    "segment_series": series_segments(c.FIRST_MONTH),
     "migration": f"""SELECT coalesce(a.segment, '(none)') AS from_segment, coalesce(b.segment, '(none)') AS to_segment,
         count(*) AS customers FROM ({segmented(ranked(base(as_of=c.EARLIER)))}) a
         FULL JOIN ({SEGMENTS}) b ON a.customer_id = b.customer_id GROUP BY ALL""",
-    "monthly_migration": moves(c.RECENT_MONTH),
-    "trailing_migration": moves(c.RECENT_MONTH, 12),
-    "migration_from_series": moves(c.RECENT_MONTH),
+    "monthly_migration": moves(c.FIRST_MONTH),
+    "trailing_migration": moves(c.FIRST_MONTH, 12),
+    "migration_from_series": moves(c.FIRST_MONTH),
     "stored_snapshots": f"""SELECT *, DATE '{c.EARLIER}' AS as_of FROM ({segmented(ranked(base(as_of=c.EARLIER)))})
         UNION ALL SELECT *, DATE '{c.AS_OF}' AS as_of FROM ({SEGMENTS})""",
     "stream_indicators": STATE,
@@ -282,3 +292,15 @@ ORACLES: dict[str, str] = {
     "stream_sliding": periods(7),
     "stream_sessions": SESSIONS,
 }
+ORACLES |= {
+    "published_customers": f"""SELECT s.*, action FROM ({SEGMENTS}) s
+        LEFT JOIN (VALUES {ACTIONS}) a(segment, value_tier, action)
+        ON a.segment = s.segment AND a.value_tier = s.value_tier""",
+    "published_summary": SUMMARY,
+    "published_rollup": ORACLES["tier_rollup"],
+    "published_matrix": ORACLES["rf_matrix"],
+    "published_classes": ORACLES["class_summary"],
+    "published_concentration": ORACLES["concentration"],
+    "published_top_share": ORACLES["top_share"],
+    "published_top_customers": ORACLES["top_customers"],
+}

@@ -12,9 +12,6 @@ from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
-#: Most rows that cut values or strategies may have before they are refused.
-SMALL_TABLE_ROWS = 100_000
-
 
 def build_session(app: str = "patronage", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; settings passed in win."""
@@ -75,15 +72,3 @@ def small_table(spark: SparkSession, rows: list, schema: StructType) -> DataFram
     names = schema.fieldNames()
     records = [row if isinstance(row, dict) else dict(zip(names, row)) for row in rows]
     return spark.createDataFrame(pa.Table.from_pylist(records, schema=to_arrow_schema(schema)), schema)
-
-
-def small_rows(df: DataFrame) -> list[dict]:
-    """Run a query whose result is small by construction.
-
-    The size is checked, so that a grouping by something unexpectedly fine fails with a
-    message instead of flooding the driver.
-    """
-    rows = df.limit(SMALL_TABLE_ROWS + 1).collect()
-    if len(rows) > SMALL_TABLE_ROWS:
-        raise ValueError(f"more than {SMALL_TABLE_ROWS} rows: too many groups to fit cut values for each")
-    return [row.asDict(recursive=True) for row in rows]

@@ -25,14 +25,14 @@ def purchases_from(
 ) -> DataFrame:
     """Map any table or stream to purchases.
 
-    An amount that is no money value (NaN, text, too large) becomes NULL here and is
+    What is no id, time or money value (NaN, other text, too large) becomes NULL here and is
     reported by the validity check instead of failing the job.
     """
     as_column = lambda c: F.col(c) if isinstance(c, str) else c
     return df.select(
-        as_column(customer_id).cast("bigint").alias("customer_id"),
-        as_column(txn_id).cast("bigint").alias("txn_id"),
-        as_column(ts).cast("timestamp_ntz").alias("ts"),
+        as_column(customer_id).try_cast("bigint").alias("customer_id"),
+        as_column(txn_id).try_cast("bigint").alias("txn_id"),
+        as_column(ts).try_cast("timestamp_ntz").alias("ts"),
         as_column(amount).try_cast(MONEY).alias("amount"),
     )
 
@@ -61,41 +61,51 @@ def purchases_from_events(spark: SparkSession, directory: str) -> DataFrame:
     return purchase_events(table(spark, directory, "events"))
 
 
-def purchases_from_lines(spark: SparkSession, directory: str, returned: bool = True) -> DataFrame:
-    """One purchase per order, worth its discounted line items.
+def _was_returned() -> Column:
+    """A line without a return flag was not returned."""
+    return F.col("l_returnflag").eqNullSafe("R")
+
+
+def _discounted() -> Column:
+    one = F.lit(1).cast("decimal(4,2)")
+    return F.col("l_extendedprice").cast(MONEY) * (one - F.col("l_discount").cast("decimal(4,2)"))
+
+
+def _billed_orders(spark: SparkSession, directory: str) -> DataFrame:
+    """Each order with what its lines are worth: ``sold`` all of them, ``kept`` those not returned.
 
-    ``returned=False`` leaves returned lines out of the amount. An order without any
-    line left is still a purchase, worth zero: the customer did buy, so R and F keep it.
     Lines are summed per order before the join, which therefore moves one row per order
     and shares the aggregate's partitioning.
     """
-    lines = table(spark, directory, "lineitem")
-    if not returned:
-        lines = lines.where(F.col("l_returnflag") != "R")
-    price = F.col("l_extendedprice").cast(MONEY)
-    discount = F.col("l_discount").cast("decimal(4,2)")
-    net = lines.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
-        F.sum(price * (F.lit(1).cast("decimal(4,2)") - discount)).alias("net")
+    sums = table(spark, directory, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        F.sum(_discounted()).alias("sold"),
+        F.sum(F.when(~_was_returned(), _discounted())).alias("kept"),
+        F.max(F.when(_was_returned(), F.col("l_shipdate"))).alias("returned_at"),
     )
     orders = table(spark, directory, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
-    billed = orders.join(net, "o_orderkey", "left")
-    return purchases_from(billed, "o_custkey", "o_orderkey", "o_orderdate", F.coalesce("net", F.lit(0)))
+    worth = {name: F.coalesce(name, F.lit(0)).cast(MONEY) for name in ("sold", "kept")}
+    return orders.join(sums, "o_orderkey", "left").withColumns(worth)
+
+
+def purchases_from_lines(spark: SparkSession, directory: str, returned: bool = True) -> DataFrame:
+    """One purchase per order, worth its discounted line items.
+
+    ``returned=False`` leaves returned lines out of the amount. An order without any
+    line left is still a purchase, worth zero: the customer did buy, so R and F keep it.
+    """
+    billed = _billed_orders(spark, directory)
+    return purchases_from(billed, "o_custkey", "o_orderkey", "o_orderdate", "sold" if returned else "kept")
 
 
 def purchases_and_refunds(spark: SparkSession, directory: str) -> DataFrame:
-    """One row per order line; a returned line is a refund, a negative amount.
+    """Each order as a purchase of all its lines, and what was returned of it as one refund.
 
-    Feeds the ``net`` option. A line is identified by its position behind its order key.
+    Feeds the ``net`` option. The refund is a negative amount under the same transaction,
+    dated by the last returned line; the two add up to the lines that were kept.
     """
-    lines = table(spark, directory, "lineitem").select(
-        F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_returnflag", "l_shipdate", "l_extendedprice"
-    )
-    owners = table(spark, directory, "orders").select("o_orderkey", "o_custkey")
-    price = F.col("l_extendedprice").cast(MONEY)
-    return purchases_from(
-        lines.join(owners, "o_orderkey"),
-        "o_custkey",
-        F.col("o_orderkey") * 100 + F.col("l_linenumber"),
-        "l_shipdate",
-        F.when(F.col("l_returnflag") == "R", -price).otherwise(price),
-    )
+    billed = _billed_orders(spark, directory)
+    sale = F.struct(F.col("o_orderdate").alias("ts"), F.col("sold").alias("amount"))
+    refund = F.struct(F.col("returned_at").alias("ts"), (F.col("kept") - F.col("sold")).cast(MONEY).alias("amount"))
+    parts = F.when(F.col("returned_at").isNotNull() & (F.col("kept") < F.col("sold")), F.array(sale, refund))
+    rows = billed.select("o_custkey", "o_orderkey", F.explode(F.coalesce(parts, F.array(sale))).alias("part"))
+    return purchases_from(rows, "o_custkey", "o_orderkey", "part.ts", "part.amount")

@@ -7,19 +7,22 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patronage.functions.columns import date_literal
+from patronage.functions.columns import date_literal, day_of
 
 
 def write_snapshot(df: DataFrame, path: str, as_of: str | dt.date | None = None) -> None:
     """Write one partition per ``as_of`` date, replacing only the dates being written.
 
     Writing a date twice leaves one copy, so a failed job can simply run again. With
-    ``as_of`` the whole frame is that date's snapshot; otherwise the frame has the column.
+    ``as_of`` the whole frame is that date's snapshot, and replaces it even when empty;
+    otherwise the frame has the column, and dates without rows stay as they are. Rows of a date are
+    brought together first, in as many tasks as their size asks for, so a date gets few files.
     """
     if as_of is not None:
-        df = df.withColumn("as_of", date_literal(as_of))
+        df.drop("as_of").write.mode("overwrite").parquet(f"{path}/as_of={day_of(as_of).isoformat()}")
+        return
     (
-        df.write.mode("overwrite")
+        df.hint("rebalance", "as_of").write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("as_of")
         .parquet(path)

@@ -41,12 +41,13 @@ def purchase_stream(spark: SparkSession, path: str, files_per_batch: int | None
     return valid.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def once_each(purchases: DataFrame, repeat_within: str | None = None) -> DataFrame:
+def once_each(purchases: DataFrame, repeat_within: str | None) -> DataFrame:
     """Drop repeated transactions.
 
     ``repeat_within`` states the longest delay (such as ``"2 days"``) between copies of
     one transaction; ids older than that are forgotten, and events later than that are
-    dropped. Without it every id is remembered for ever and no event is ever too late.
+    dropped. With ``None`` every id is remembered for ever, so state grows with the purchases, and no
+    event is ever too late.
     """
     if repeat_within is None:
         return purchases.dropDuplicates(["txn_id"])
@@ -71,7 +72,8 @@ def _allow_lateness(purchases: DataFrame, lateness: str | None) -> DataFrame:
 def purchases_per_period(
     purchases: DataFrame, period: str = "7 days", slide: str | None = None, lateness: str | None = "1 day"
 ) -> DataFrame:
-    """Purchases and revenue per tumbling (or sliding) period, emitted once it is closed.
+    """Purchases and revenue per tumbling (or sliding) period, emitted once it is closed: periods
+    that are still open when the input ends are not told.
 
     Pass ``lateness=None`` after ``once_each(..., repeat_within)``, whose delay then
     decides. The window becomes two plain columns; all customers share a period, and the
@@ -93,7 +95,7 @@ def purchases_per_period(
 def buying_sessions(
     purchases: DataFrame, gap: str = "12 hours", lateness: str | None = "1 day"
 ) -> DataFrame:
-    """Runs of purchases by one customer with less than ``gap`` between them."""
+    """Runs of purchases by one customer with at most ``gap`` between them, emitted once closed."""
     return (
         _allow_lateness(purchases, lateness)
         .groupBy("customer_id", F.session_window("ts", gap))

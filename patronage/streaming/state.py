@@ -13,10 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from patronage.functions.columns import days_since
+from patronage.functions.columns import day_of, days_since
 from patronage.operators.scoring import score_rank
 from patronage.operators.segments import assign_segments
-from patronage.session import materialize
 
 STATE = "customer_id bigint, last_ts timestamp_ntz, frequency bigint, monetary decimal(38,2), batch_id bigint"
 
@@ -32,9 +31,10 @@ def write_batch(changed: DataFrame, batch_id: int, path: str) -> None:
     )
 
 
-def latest_state(spark: SparkSession, path: str, through: int | None = None) -> DataFrame:
-    """Each customer's newest row, combined before the shuffle; optionally as of a batch."""
-    log = spark.read.schema(STATE).parquet(path)
+def latest_state(spark: SparkSession, path: str, through: int | None = None, since: int = 0) -> DataFrame:
+    """Each customer's newest row, combined before the shuffle; optionally as of a batch, and
+    from a batch on that has a row for every customer."""
+    log = spark.read.schema(STATE).parquet(path).where(F.col("batch_id") >= since)
     if through is not None:
         log = log.where(F.col("batch_id") <= through)
     return (
@@ -69,21 +69,35 @@ def keep_state(indicators: DataFrame, path: str, checkpoint: str, **trigger) ->
 
 
 def keep_segments(
-    indicators: DataFrame, as_of: str | dt.date, state_path: str, segments_path: str, checkpoint: str, **trigger
+    indicators: DataFrame, as_of: str | dt.date | None, state_path: str, segments_path: str, checkpoint: str,
+    compact_every: int = 20, **trigger,
 ) -> StreamingQuery:
     """Score all customers again after every micro-batch.
 
     Ranks need the whole population, which a streaming plan cannot order; each batch
-    therefore updates the state and runs the ordinary batch scoring over it.
+    therefore updates the state and runs the ordinary batch scoring over it. Scores are as of
+    the day after the newest purchase, or of ``as_of`` if that is later, so recency is
+    never negative. Every ``compact_every`` batches the log gets a row for every customer, and
+    later batches read no further back. What a batch scores is written to one place, which
+    the next batch reuses.
     """
     def rescore(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
         write_batch(changed, batch_id, state_path)
         written = spark.read.schema(STATE).parquet(state_path).where(F.col("batch_id") == batch_id)
-        if written.isEmpty():  # a batch that only moved the watermark
+        if written.isEmpty() and batch_id % compact_every:  # a batch that only moved the watermark
             return
-        state = latest_state(spark, state_path, batch_id)
-        base = materialize(state_as_base(state, as_of), "stream-base")
+        since = max(0, (batch_id - 1) // compact_every * compact_every)
+        state = latest_state(spark, state_path, batch_id, since)
+        state.write.mode("overwrite").parquet(f"{segments_path}-state")
+        state = spark.read.schema(state.schema).parquet(f"{segments_path}-state")
+        if not batch_id % compact_every:
+            write_batch(state, batch_id, state_path)
+        newest = state.agg(F.to_date(F.max("last_ts"))).first()[0]
+        if newest is None:
+            return
+        day = newest + dt.timedelta(days=1)
+        base = state_as_base(state, day if as_of is None else max(day, day_of(as_of)))
         write_batch(assign_segments(score_rank(base)), batch_id, segments_path)
 
     return follow(indicators, rescore, checkpoint, **trigger)

@@ -4,8 +4,8 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
-
-ORACLES = entry.oracle_sql()
+from patronage.catalog import QUERIES
+from patronage.oracle import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -15,18 +15,22 @@ def con(sf_dir):
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, sf_dir, con, name):
-    assert compare.difference(entry.queries()[name](spark, sf_dir), con, ORACLES[name]) is None
+    assert compare.difference(QUERIES[name](spark, sf_dir), con, ORACLES[name]) is None
+
+
+def test_entry_has_every_query():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
 def test_only_clustering_has_no_sql():
-    assert set(entry.queries()) - set(ORACLES) == {"clusters"}
+    assert set(QUERIES) - set(ORACLES) == {"clusters"}
 
 
 def test_clusters_cover_every_customer(spark, sf_dir):
-    found = entry.queries()["clusters"](spark, sf_dir)
+    found = QUERIES["clusters"](spark, sf_dir)
     counts = {row["cluster"]: row["count"] for row in found.groupBy("cluster").count().collect()}
     assert len(counts) == 5
-    assert sum(counts.values()) == entry.queries()["rfm_base"](spark, sf_dir).count()
+    assert sum(counts.values()) == QUERIES["rfm_base"](spark, sf_dir).count()
 
 
 def test_entry_returns_segments(spark):
