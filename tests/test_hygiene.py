@@ -98,3 +98,39 @@ def test_gaps_and_rate(spark):
     assert gaps == {1: (11, 2, 1, 10), 2: (0, 0, None, None)}
     rate = {r.customer_id: r.purchases_per_day for r in purchase_rate(rows, "2024-01-21").collect()}
     assert rate == {1: 4 / 20, 2: 1 / 20}
+
+
+def test_refunds_survive_deduplication(spark):
+    rows = [(1, 7, "2024-01-01", 100), (1, 7, "2024-01-02", -100), (1, 8, "2024-01-03", 50), (1, 7, "2024-01-02", -100)]
+    cleaned = clean_purchases(b.purchases(spark, rows), b.AS_OF, net=True)
+    row = rfm_base(cleaned, b.AS_OF).first()
+    assert (row.frequency, row.monetary) == (2, Decimal("50.00"))
+    assert purchase_rate(cleaned, b.AS_OF).first().frequency == 2
+    assert purchase_gaps(cleaned).first().n_gaps == 1
+
+
+def test_refunds_add_up_to_the_kept_lines(spark, sf_dir):
+    from patronage.catalog import AS_OF, QUERIES
+    from patronage.sources.purchases import purchases_from_lines
+
+    net = QUERIES["rfm_base_net"](spark, sf_dir).agg({"monetary": "sum", "frequency": "sum"}).first()
+    kept = purchases_from_lines(spark, sf_dir, returned=False).agg({"amount": "sum"}).first()[0]
+    late = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(f"l_shipdate >= '{AS_OF}' AND l_returnflag = 'R'").count()
+    assert late or net["sum(monetary)"] == kept
+    assert net["sum(frequency)"] == spark.read.parquet(f"{sf_dir}/orders.parquet").count()
+
+
+def test_broken_ids_and_times_are_rejects(spark):
+    rows = spark.createDataFrame(
+        [("x", "1", "2024-01-01", "1"), ("1", "1.x", "2024-01-01", "1"), ("1", "2", "2024-13-01", "1"), ("1", "3", "2024-01-01", "1")],
+        "c string, t string, ts string, a string",
+    )
+    valid, rejects = split_valid(purchases_from(rows, "c", "t", "ts", "a"))
+    assert valid.count() == 1
+    assert sorted(r.reason for r in rejects.collect()) == ["missing customer", "missing time", "missing transaction"]
+
+
+def test_buyers_without_a_customer_row_are_kept(spark):
+    base = rfm_base(b.purchases(spark, [(1, 1, "2024-01-01", 5), (9, 2, "2024-01-01", 5)]), b.AS_OF)
+    everyone = with_non_buyers(spark.createDataFrame([(1,), (2,)], "customer_id bigint"), assign_segments(score_rank(base)))
+    assert sorted(r.customer_id for r in everyone.collect()) == [1, 2, 9]

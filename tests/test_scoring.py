@@ -137,9 +137,26 @@ def test_customers_without_cuts_are_kept(spark, grouped):
     assert [r.m_score for r in scoring.apply_cutpoints(b.base(spark, [(1, 1, 1, "1")]), nobody).collect()] == [None]
 
 
-def test_too_many_groups_are_refused(spark, monkeypatch):
-    from patronage import session
-
-    monkeypatch.setattr(session, "SMALL_TABLE_ROWS", 5)
-    with pytest.raises(ValueError, match="too many groups"):
-        scoring.score_rank(b.base(spark, population(6)), by=["customer_id"])
+def test_many_groups(spark):
+    """Far more groups than are broadcast; each is scored by itself, the NULL group too."""
+    people = spark.range(60_000).selectExpr(
+        "CASE WHEN id < 59997 THEN id DIV 3 END AS g", "id AS customer_id", "DATE '2024-01-01' AS last_purchase",
+        "id % 3 AS recency_days", "1 + id % 3 AS frequency", "CAST(id % 3 AS DECIMAL(38,2)) AS monetary",
+    )
+    scored = scoring.score_rank(people, 3, by=["g"])
+    assert scored.count() == 60_000
+    wrong = scored.where("f_score <> 1 + customer_id % 3 OR r_score <> 3 - customer_id % 3 OR m_score <> f_score OR f_score IS NULL")
+    assert wrong.count() == 0
+
+
+def test_null_group_is_scored(spark):
+    rows = [(None if c % 2 else 1, *b.base_row(c, c + 1, c + 1, c)) for c in range(10)]
+    scored = scoring.score_rank(spark.createDataFrame(rows, b.GROUPED), by=["g"])
+    assert {(r.g, r.f_score) for r in scored.collect()} == {(g, s) for g in (None, 1) for s in range(1, 6)}
+
+
+def test_cut_table_of_several_rows_needs_groups(spark):
+    people = b.base(spark, population(6))
+    two = scoring.fit_cutpoints(people).union(scoring.fit_cutpoints(people))
+    with pytest.raises(ValueError, match="one row"):
+        scoring.apply_cutpoints(people, two)

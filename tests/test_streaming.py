@@ -71,7 +71,7 @@ def test_replayed_batch_changes_nothing(utc):
 
 
 def test_segments_after_each_batch(spark, utc, folder, testdata):
-    purchases = stream.once_each(stream.purchase_stream(utc, folder, files_per_batch=1))
+    purchases = stream.once_each(stream.purchase_stream(utc, folder, files_per_batch=1), None)
     found = scratch_path(utc, "found")
     state.keep_segments(
         stream.running_indicators(purchases), AS_OF, scratch_path(utc, "state"), found, scratch_path(utc, "progress")
@@ -92,7 +92,7 @@ def test_late_events_count_for_the_state_but_not_for_closed_periods(utc):
     arrive((3, "2024-01-21T00:00"), (2, "2024-01-20T00:00"))  # a repeat
     arrive((4, "2024-01-02T00:00"), (5, "2024-02-20T00:00"))  # a purchase reported weeks late
     read = lambda: stream.purchase_stream(utc, path, files_per_batch=1)
-    row = state.latest_state(utc, run_state(utc, stream.once_each(read()))).first()
+    row = state.latest_state(utc, run_state(utc, stream.once_each(read(), None))).first()
     assert (row.frequency, row.monetary) == (5, Decimal("50.00"))
 
     weekly = stream.purchases_per_period(stream.once_each(read(), "1 day"), lateness=None)
@@ -107,3 +107,21 @@ def test_sessions_split_at_the_gap(utc):
     utc.createDataFrame(made, EVENT).coalesce(1).write.parquet(path)
     found = stream.drain(stream.buying_sessions(stream.purchase_stream(utc, path)), "found").orderBy("session_start").collect()
     assert [(r.purchases, r.session_end.isoformat()) for r in found] == [(2, "2024-01-01T23:00:00"), (1, "2024-01-02T12:00:00")]
+
+
+def test_many_batches_across_the_date(utc):
+    """Recency never is negative, compaction changes nothing, and later batches reuse what one has written."""
+    path, found = scratch_path(utc, "many"), scratch_path(utc, "many-found")
+    for day in range(7):
+        made = [(10 * day + c, dt.datetime(2024, 1, 1 + day, 12), c, "purchase", 1.0 + c, None) for c in range(1, 4)]
+        utc.createDataFrame(made, EVENT).coalesce(1).write.mode("append").parquet(path)
+    purchases = stream.once_each(stream.purchase_stream(utc, path, files_per_batch=1), "2 days")
+    log = scratch_path(utc, "many-state")
+    state.keep_segments(
+        stream.running_indicators(purchases), "2024-01-03", log, found, scratch_path(utc, "many-progress"), compact_every=3
+    ).awaitTermination()
+    written = utc.read.parquet(found)
+    assert written.where("recency_days < 0").count() == 0
+    last = written.where(f"batch_id = {written.agg({'batch_id': 'max'}).first()[0]}").collect()
+    assert sorted((r.customer_id, r.frequency, r.recency_days) for r in last) == [(1, 7, 1), (2, 7, 1), (3, 7, 1)]
+    assert sorted(state.latest_state(utc, log, since=6).collect()) == sorted(state.latest_state(utc, log).collect())
