@@ -22,6 +22,8 @@ EVENTS_AS_OF = "2024-01-31"
 EARLIER = "2001-05-01"
 FIRST_MONTH, LAST_MONTH = "1996-01-01", "2001-08-01"
 FIXED_CUTS = {"r": [390, 220, 123, 54], "f": [7, 9, 11, 13], "m": [1500000, 2000000, 2500000, 3000000]}
+#: Days, purchases and revenue of clusters that are kept.
+CENTRES = [(30, 14, 3500000), (60, 9, 2200000), (300, 11, 2800000), (400, 6, 1400000)]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -195,6 +197,12 @@ def score_nested(spark, directory):
     return scoring.score_nested(_base(spark, directory))
 
 
+def score_relative(spark, directory):
+    """Scores of how often per day and how much on average, instead of counts and totals."""
+    found = indicators.relative_base(_seen_orders(spark, directory, AS_OF), AS_OF)
+    return scoring.score_rank(materialize(found, "base"))
+
+
 def score_totals(spark, directory):
     return _segments(spark, directory).select(
         "customer_id", "rfm_code", rfm_total(3, 2, 1).alias("rfm_total")
@@ -373,6 +381,14 @@ def clusters(spark, directory):
     return clustering.cluster_customers(_base(spark, directory))
 
 
+def kept_clusters(spark, directory):
+    return clustering.nearest_centre(rfm_base(spark, directory), CENTRES).select("customer_id", "cluster")
+
+
+def cluster_profile(spark, directory):
+    return clustering.cluster_profile(clustering.nearest_centre(rfm_base(spark, directory), CENTRES))
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in (
@@ -381,13 +397,13 @@ QUERIES: dict[str, Query] = {
         rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, net_revenue,
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
         score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints,
-        score_fixed, score_nested, score_totals, customer_segments, event_segments, strategies,
+        score_fixed, score_nested, score_relative, score_totals, customer_segments, event_segments, strategies,
         segment_summary, tier_rollup, rf_matrix, value_classes, class_summary, concentration, top_share,
         by_attribute, by_nation, top_customers,
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,
         stream_indicators, stream_repeats, stream_segments, stream_weekly, stream_sliding, stream_sessions,
-        clusters,
+        clusters, kept_clusters, cluster_profile,
     )
 }
 #: Every dashboard table, published and read back.

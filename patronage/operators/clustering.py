@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -25,11 +28,23 @@ def cluster_customers(base: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     return Pipeline(stages=stages).fit(scaled).transform(scaled).select(*base.columns, "cluster")
 
 
+def nearest_centre(base: DataFrame, centres: Sequence[Sequence[float]]) -> DataFrame:
+    """Add the number of the nearest of some kept centres, so that clusters stay comparable
+    between dates. A centre is (days, purchases, revenue); distances are between logarithms,
+    and the first of equally near centres wins."""
+    place = [F.log1p(F.greatest(F.col(c).cast("double"), F.lit(0.0))) for c in ("recency_days", "frequency", "monetary")]
+    apart = [
+        F.struct(sum((p - math.log1p(x)) * (p - math.log1p(x)) for p, x in zip(place, centre)).alias("d"), F.lit(i).alias("cluster"))
+        for i, centre in enumerate(centres)
+    ]
+    return base.withColumn("cluster", F.array_min(F.array(*apart))["cluster"])
+
+
 def cluster_profile(clustered: DataFrame) -> DataFrame:
     """Size, revenue and average indicators of each cluster."""
     return clustered.groupBy("cluster").agg(
         F.count("*").alias("customers"),
         F.sum("monetary").cast("decimal(38,2)").alias("revenue"),
-        F.avg("recency_days").alias("mean_recency"),
-        F.avg("frequency").alias("mean_frequency"),
+        F.avg(F.col("recency_days").cast("double")).alias("mean_recency"),
+        F.avg(F.col("frequency").cast("double")).alias("mean_frequency"),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,6 +39,27 @@ def rfm_base(purchases: DataFrame, as_of: str | dt.date) -> DataFrame:
     )
 
 
+def relative_base(purchases: DataFrame, as_of: str | dt.date) -> DataFrame:
+    """The indicators with "how often" as a rate and "how much" as an average, in the same layout.
+
+    ``frequency`` is purchases per million days since the first one and ``monetary`` the average
+    purchase in whole cents, both rounded down, so every scorer takes them as they are.
+    """
+    bought = F.when(F.col("amount") >= 0, F.col("ts"))
+    tenure = F.greatest(days_since(as_of, F.col("first_purchase")), F.lit(1))
+    cents = F.expr("CAST(CAST(monetary * 100 AS DECIMAL(36,0)) AS BIGINT) div frequency")
+    return (
+        purchases.groupBy("customer_id")
+        .agg(*indicator_aggregates(), F.to_date(F.min(bought)).alias("first_purchase"))
+        .where("frequency > 0")
+        .withColumn("recency_days", days_since(as_of, F.col("last_purchase")))
+        .withColumn("tenure", tenure)
+        .withColumn("monetary", (cents.cast("decimal(20,0)") * F.lit(Decimal("0.01"))).cast("decimal(38,2)"))
+        .withColumn("frequency", F.expr("frequency * 1000000 div tenure"))
+        .select("customer_id", "last_purchase", "recency_days", "frequency", "monetary")
+    )
+
+
 def with_non_buyers(customers: DataFrame, segments: DataFrame) -> DataFrame:
     """Every customer, those without purchases in a group of their own and without scores.
 

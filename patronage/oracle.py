@@ -304,3 +304,27 @@ ORACLES |= {
     "published_top_share": ORACLES["top_share"],
     "published_top_customers": ORACLES["top_customers"],
 }
+RELATIVE = f"""SELECT customer_id, last_purchase, recency_days, frequency * 1000000 // greatest(tenure, 1) AS frequency,
+    CAST((CAST(monetary * 100 AS BIGINT) // frequency) * CAST(0.01 AS DECIMAL(3,2)) AS DECIMAL(38,2)) AS monetary
+    FROM (SELECT b.*, CAST(date_diff('day', CAST(first AS DATE), DATE '{c.AS_OF}') AS BIGINT) AS tenure FROM ({base()}) b
+          JOIN (SELECT customer_id, min(ts) AS first FROM ({ORDERS}) WHERE ts < DATE '{c.AS_OF}' GROUP BY customer_id) USING (customer_id))"""
+
+
+def _nearest() -> str:
+    """The kept centre at the least distance between logarithms, the first if there are several."""
+    apart = " UNION ALL ".join(
+        f"SELECT customer_id, recency_days, frequency, monetary, {i} AS cluster, "
+        + " + ".join(f"pow(ln(1 + CAST({v} AS DOUBLE)) - ln(1 + CAST({x} AS DOUBLE)), 2)" for v, x in zip(("recency_days", "frequency", "monetary"), centre))
+        + f" AS d FROM ({base()})"
+        for i, centre in enumerate(c.CENTRES)
+    )
+    return f"SELECT * FROM ({apart}) QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY d, cluster) = 1"
+
+
+ORACLES |= {
+    "score_relative": ranked(RELATIVE),
+    "kept_clusters": f"SELECT customer_id, cluster FROM ({_nearest()})",
+    "cluster_profile": f"""SELECT cluster, count(*) AS customers, CAST(sum(monetary) AS DECIMAL(38,2)) AS revenue,
+        avg(CAST(recency_days AS DOUBLE)) AS mean_recency, avg(CAST(frequency AS DOUBLE)) AS mean_frequency
+        FROM ({_nearest()}) GROUP BY cluster""",
+}
