@@ -98,7 +98,8 @@ def schedule(spark: SparkSession, shares: DataFrame, block_words: int = BLOCK_WO
         "source_no", (F.col("start") + F.col("blocks")).alias("end"),
         F.explode(F.sequence("start", F.col("start") + F.col("blocks") - 1, F.lit(SPAN).cast("long"))).alias("first"),
     )
-    points = spans.repartition("source_no", "first").select(
+    parts = max(1, -(-total // (32 * SPAN)))
+    points = spans.repartition(parts, "source_no", "first").select(
         "source_no", F.explode(F.sequence("first", F.least(F.col("first") + SPAN, "end") - 1)).alias("point")
     )
     slots = points.select("source_no", mirrored(F.col("point"), bits).alias("slot")).withColumn("span", F.floor(F.col("slot") / SPAN))
@@ -106,7 +107,8 @@ def schedule(spark: SparkSession, shares: DataFrame, block_words: int = BLOCK_WO
     before = Window.partitionBy("source_no").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select("source_no", "span", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     rank = F.row_number().over(Window.partitionBy("source_no", "span").orderBy("slot"))
-    return slots.withColumn("rank", rank).join(totals, ["source_no", "span"]).select(
+    # Spark takes what was exploded for as small as its source, so the joins say not to broadcast it
+    return slots.withColumn("rank", rank).hint("merge").join(totals, ["source_no", "span"]).select(
         "slot", "source_no", (F.col("before") + F.col("rank") - 1).alias("block")
     )
 
@@ -141,7 +143,7 @@ def takings(units: DataFrame, slots: DataFrame, block_words: int, most_passes: i
     )
     return (
         shares.select("source_no", "block", "key", "id", "part")
-        .join(slots, ["source_no", "block"])
+        .join(slots.hint("merge"), ["source_no", "block"])
         .groupBy("source_no", "key", "id").agg(F.sum("part").alias("unit_taken"), F.min("slot").alias("first_slot"))
     )
 
@@ -191,7 +193,7 @@ def blend(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str =
     """The mix itself, with the columns of ``docs``: each document as many times as the mix takes its
     words, to the nearest whole number; documents that are not taken are gone."""
     found = mix(docs, id, text, source, **options)
-    times = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    times = F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5).cast("int")
     taken = found.select(F.col(id).alias("id__"), F.col(source).alias("source__"), F.col("key").alias("key__"), times.alias("times__"))
     taken = taken.where("times__ > 0").distinct()
     same = shuffle_key(id, text).eqNullSafe(F.col("key__")) & F.col(id).eqNullSafe(F.col("id__")) & F.col(source).eqNullSafe(F.col("source__"))
