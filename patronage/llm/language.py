@@ -14,13 +14,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Lengths of the n-grams, and the number of features they are hashed to.
 GRAMS = (1, 2, 3)
 FEATURES = 1 << 14
-#: Most texts of a language that the classifiers are fitted on, the first ones by a hash of their id.
+#: Texts of a language that the classifiers are fitted on, about, if it has more.
 TEXTS_PER_LANGUAGE = 1000
 #: A text counts as evidence of so many n-grams at most, so that long texts stay comparable.
 MOST_EVIDENCE = 25
@@ -115,20 +115,19 @@ def predict_text(text: str | None, model: Model) -> tuple[str, float]:
 
 
 def training_sample(docs: DataFrame, id: str, lang: str, most: int) -> DataFrame:
-    """At most about ``most`` texts of each language, the first by a hash of the id, whatever the
-    partitioning. Texts of equal id are in or out together."""
-    spread = F.xxhash64(id)
-    order = Window.partitionBy(lang).orderBy("spread")
-    first = docs.select(lang, spread.alias("spread")).withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
-    limits = first.groupBy(lang).agg(F.max("spread").alias("last")).collect()  # one row a language
-    if not limits:
+    """About ``most`` texts of each language (all, if it has fewer): those whose id has a hash in the
+    part of all hashes that holds so many. The same texts whatever the partitioning; texts of equal
+    id are in or out together."""
+    counts = docs.groupBy(lang).agg(F.count("*").alias("n")).collect()  # one row a language
+    if not counts:
         return docs.limit(0)
-    last = F.create_map(*(F.lit(x) for row in limits for x in (row[lang], row["last"])))
-    return docs.where(spread <= last[F.col(lang)])
+    last = {row[lang]: -(1 << 63) + ((1 << 64) - 1) * min(most, row["n"]) // row["n"] for row in counts}
+    limit = F.create_map(*(F.lit(x) for pair in last.items() for x in pair))[F.col(lang)]
+    return docs.where(F.xxhash64(id) <= limit)
 
 
 def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str = "lang", most: int = TEXTS_PER_LANGUAGE) -> Model:
-    """Classifiers from labelled texts, of which at most ``most`` of each language are used.
+    """Classifiers from labelled texts, of which about ``most`` of each language are used.
 
     Feature counts and training accuracies are summed up by Spark; the driver gets one number for each
     feature and language, however many texts there are.
