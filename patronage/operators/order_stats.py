@@ -157,13 +157,13 @@ def exact_cuts(
 def running_totals(rows: DataFrame, value: str, weight: str) -> DataFrame:
     """For every distinct value: rows, weight, and the exact totals of all larger values.
 
-    The distinct values are spread over intervals that are summed in parallel; only the
+    The distinct values are spread evenly over intervals, however many rows share one, and summed in parallel; only the
     interval totals meet in one task, and they are broadcast back.
     """
     return rows.sparkSession.sql(
         f"""
-        WITH fences AS (SELECT {fences_sql(f"CAST({value} AS DOUBLE)", spread())} FROM {{rows}}),
-        counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
+        WITH counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
+        fences AS (SELECT {fences_sql("CAST(v AS DOUBLE)", spread())} FROM counted),
         valued AS (SELECT v, n, w, coalesce(CAST(v AS DOUBLE), 0D) AS d FROM counted),
         {slots_sql("valued", (), len(spread()), True)},
         slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
