@@ -2,16 +2,18 @@
 
 Words are brought into a canonical form: lower case without punctuation around them, and numbers,
 names and units replaced by placeholders of their type. Windows of consecutive canonical words,
-templates, of a benchmark are joined with those of the documents by hash. Where a document matches an
-item along one alignment, what fills the placeholders is compared: the same fillers make it a
-verbatim copy; other fillers make it the same question with other parameters, if each filler of the
-item always stands for the same filler of the document and the other way round.
+templates, of a benchmark are joined with those of the documents by hash, and so are windows of the
+words themselves without case and punctuation. A window of equal words makes a document a verbatim copy,
+whatever its capitals and sentences. Where a document matches templates of an item along one alignment,
+what fills the placeholders is compared: other fillers make it the same question with other parameters,
+if each filler of the item always stands for the same filler of the document and the other way round.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ dollar dollars cent cents euro euros usd eur percent degree degrees
 """.split())
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 NUMBER = re.compile(r"\d+(?:[.,:/\-]\d+)*")
+#: Punctuation inside a word that a copy may lack.
+INNER = re.compile(r"[!-/:-@\[-`{-~\u2010-\u201f]+")
 MEASURE = re.compile(r"\d+(?:[.,]\d+)*([^\W\d_]+)")
 SENTENCE_END = re.compile(r"[.!?:][\"')\]]*$")
 NUM, UNIT, NAME, MEASURED = "<num>", "<unit>", "<name>", "<num><unit>"
@@ -69,20 +73,38 @@ def canonical(word: str) -> tuple[str, str, bool]:
     return form, form, ends
 
 
+def bare(word: str) -> str:
+    """A word without case and punctuation; numbers keep what stands between their digits."""
+    core = EDGE.sub("", word).casefold()
+    return core if NUMBER.fullmatch(core) else INNER.sub("", core)
+
+
+class Read(NamedTuple):
+    """Of all words with a form: hashes of their canonical and bare forms, whether placeholders, whether at a
+    sentence's start, and the words; and where texts begin."""
+
+    hashes: np.ndarray
+    bare: np.ndarray
+    slots: np.ndarray
+    starts: np.ndarray
+    words: pa.Array
+    begins: np.ndarray
+
+
 class Canonical:
     """Canonical words of many texts, with what was learned about words kept for the next call."""
 
     def __init__(self) -> None:
-        self.known: dict[str, tuple[int, int, int]] = {}
+        self.known: dict[str, tuple[int, int, int, int]] = {}
 
-    def word(self, word: str) -> tuple[int, int, int]:
-        """Hashes of both forms, and flags: 1 no form, 2 placeholder at a start, 4 elsewhere, 8 ends a sentence."""
+    def word(self, word: str) -> tuple[int, int, int, int]:
+        """Hashes of both forms and of the bare word, and flags: 1 no form, 2 placeholder at a start, 4 elsewhere, 8 ends a sentence."""
         first, other, ends = canonical(word)
         flags = (not first) + 2 * first.startswith("<") + 4 * other.startswith("<") + 8 * ends
-        return xxhash.xxh3_64_intdigest(first), xxhash.xxh3_64_intdigest(other), flags
+        return *(xxhash.xxh3_64_intdigest(form) for form in (first, other, bare(word))), flags
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:
-        """Of all words with a form: hashes, whether placeholders, whether at a sentence's start, the words; and where texts begin."""
+    def __call__(self, texts: pa.Array, opened: bool = False) -> Read:
+        """The words of texts; ``opened`` texts are taken as if they went on a sentence."""
         words, begins = split_words(texts)
         coded = words.dictionary_encode()
         if len(self.known) > KNOWN_WORDS:
@@ -93,17 +115,17 @@ class Canonical:
             if row is None:
                 known[word] = row = self.word(word)
             rows.append(row)
-        table = np.array(rows, dtype=np.uint64).reshape(-1, 3)
+        table = np.array(rows, dtype=np.uint64).reshape(-1, 4)
         codes = coded.indices.to_numpy()
-        flags = table[codes, 2].astype(np.uint8)
+        flags = table[codes, 3].astype(np.uint8)
         starts = np.zeros(len(words), dtype=bool)
         starts[1:] = flags[:-1] & 8 > 0
-        starts[begins[:-1][begins[:-1] < len(words)]] = True
+        starts[begins[:-1][begins[:-1] < len(words)]] = not opened
         formed = flags & 1 == 0
         hashes = np.where(starts, table[codes, 0], table[codes, 1])
         slots = np.where(starts, flags & 2, flags & 4) > 0
         upto = np.concatenate(([0], np.cumsum(formed)))
-        return hashes[formed], slots[formed], starts[formed], words.filter(pa.array(formed)), upto[begins]
+        return Read(hashes[formed], table[codes, 2][formed], slots[formed], starts[formed], words.filter(pa.array(formed)), upto[begins])
 
 
 def templates(hashes: np.ndarray, slots: np.ndarray, begins: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -116,13 +138,14 @@ def templates(hashes: np.ndarray, slots: np.ndarray, begins: np.ndarray, length:
     return at[keep], run_hashes(hashes, length)[keep] ^ np.uint64(length)
 
 
-def found_rows(at: np.ndarray, code: np.ndarray, length: int, slots: np.ndarray, starts: np.ndarray, words: pa.Array, begins: np.ndarray) -> dict[str, list]:
-    """One row a template: which text, where, its canonical words, and its placeholders' fillers with their places."""
+def found_rows(at: np.ndarray, code: np.ndarray, length: int, literal: bool, read: Read) -> dict[str, list]:
+    """One row a template: which text, where, its canonical or bare words, and its placeholders' fillers with their places."""
     rows: dict[str, list] = {"text_no": [], "at": [], "length": [], "code": [], "template": [], "fillers": []}
+    slots, starts, words, begins = read.slots, read.starts, read.words, read.begins
     for i, c in zip(at.tolist(), code.tolist()):
         text_no = int(np.searchsorted(begins, i, side="right")) - 1
         own = words.slice(i, length).to_pylist()
-        forms = [canonical(w)[0 if s else 1] for w, s in zip(own, starts[i : i + length].tolist())]
+        forms = [bare(w) if literal else canonical(w)[0 if s else 1] for w, s in zip(own, starts[i : i + length].tolist())]
         rows["text_no"].append(text_no)
         rows["at"].append(i - int(begins[text_no]))
         rows["length"].append(length)
@@ -132,7 +155,7 @@ def found_rows(at: np.ndarray, code: np.ndarray, length: int, slots: np.ndarray,
     return rows
 
 
-FOUND = "id bigint, key bigint, at int, length int, code bigint, template string, fillers array<struct<at:int,value:string>>"
+FOUND = "id bigint, key bigint, at int, length int, literal boolean, code bigint, template string, fillers array<struct<at:int,value:string>>"
 FILLERS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
 
 
@@ -144,38 +167,64 @@ def blocks_of(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     return (batch.slice(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a)
 
 
-def matching(batches: Iterator[pa.RecordBatch], wanted: dict[int, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
-    """Templates of (id, key, text) rows; with ``wanted`` (sorted hashes by length) only those."""
+def rows_of(batch: pa.RecordBatch, read: Read, at: np.ndarray, code: np.ndarray, size: int, literal: bool) -> Iterator[pa.RecordBatch]:
+    for start in range(0, len(at), 10_000):
+        rows = found_rows(at[start : start + 10_000], code[start : start + 10_000], size, literal, read)
+        text_no = pa.array(rows["text_no"])
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch["id"].take(text_no), batch["key"].take(text_no), pa.array(rows["at"], pa.int32()), pa.array(rows["length"], pa.int32()),
+                pa.array([literal] * len(text_no)), pa.array(rows["code"], pa.int64()), pa.array(rows["template"]), pa.array(rows["fillers"], FILLERS),
+            ],
+            ["id", "key", "at", "length", "literal", "code", "template", "fillers"],
+        )
+
+
+def windows(read: Read, size: int, literal: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Where windows of ``size`` bare words, or templates, begin, and their hashes."""
+    if literal:
+        return templates(read.bare, np.zeros(len(read.bare), dtype=bool), read.begins, size)
+    return templates(read.hashes, read.slots, read.begins, size)
+
+
+def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Templates and literal windows of (id, key, text) rows of a benchmark.
+
+    A template that begins with an item's first word comes in both forms of that word, as it may stand
+    inside a sentence elsewhere.
+    """
+    canon = Canonical()
+    for whole in batches:
+        for batch in blocks_of(whole):
+            for opened in (False, True):
+                read = canon(batch["text"], opened)
+                lengths = np.diff(read.begins)
+                own_size = np.where(lengths >= SHORTEST_ITEM, np.minimum(lengths, TEMPLATE_WORDS), 0)
+                typed_items = np.zeros(0, dtype=np.int64)
+                for size in sorted({int(n) for n in own_size if n}):
+                    for literal in (False,) if opened else (False, True):
+                        at, code = windows(read, size, literal)
+                        item = np.searchsorted(read.begins, at, side="right") - 1
+                        own = own_size[item] == size
+                        if opened:
+                            own &= (at == read.begins[item]) & read.slots[at]
+                        if not literal:
+                            typed_items = item[own]
+                        elif size < TEMPLATE_WORDS:  # short items: those with a template
+                            own &= np.isin(item, typed_items)
+                        yield from rows_of(batch, read, at[own], code[own], size, literal)
+
+
+def matching(batches: Iterator[pa.RecordBatch], wanted: dict[tuple[bool, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Those templates and literal windows of (id, key, text) rows that are in ``wanted``, sorted hashes by kind and length."""
     canon = Canonical()
     for whole in batches:
         for batch in blocks_of(whole):
-            hashes, slots, starts, words, begins = canon(batch["text"])
-            lengths = np.diff(begins)
-            if wanted is None:
-                sizes = sorted({min(TEMPLATE_WORDS, int(n)) for n in lengths if n >= SHORTEST_ITEM})
-            else:
-                sizes = sorted(wanted)
-            for size in sizes:
-                at, code = templates(hashes, slots, begins, size)
-                if wanted is None and size < TEMPLATE_WORDS:  # short items: whole, or not at all
-                    own = lengths[np.searchsorted(begins, at, side="right") - 1] == size if len(at) else np.zeros(0, dtype=bool)
-                    at, code = at[own], code[own]
-                elif wanted is not None:
-                    place = np.searchsorted(wanted[size], code)
-                    hit = wanted[size][np.minimum(place, len(wanted[size]) - 1)] == code
-                    at, code = at[hit], code[hit]
-                for start in range(0, len(at), 10_000):
-                    rows = found_rows(at[start : start + 10_000], code[start : start + 10_000], size, slots, starts, words, begins)
-                    if not rows["at"]:
-                        continue
-                    text_no = pa.array(rows["text_no"])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            batch["id"].take(text_no), batch["key"].take(text_no), pa.array(rows["at"], pa.int32()), pa.array(rows["length"], pa.int32()),
-                            pa.array(rows["code"], pa.int64()), pa.array(rows["template"]), pa.array(rows["fillers"], FILLERS),
-                        ],
-                        ["id", "key", "at", "length", "code", "template", "fillers"],
-                    )
+            read = canon(batch["text"])
+            for (literal, size), codes in sorted(wanted.items()):
+                at, code = windows(read, size, literal)
+                hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
+                yield from rows_of(batch, read, at[hit], code[hit], size, literal)
 
 
 def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
@@ -183,25 +232,27 @@ def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def benchmark_templates(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """The templates of a benchmark: (item_id, item_literals, item_at, length, code, template, item_fillers).
+    """The templates and literal windows of a benchmark: (item_id, item_at, length, literal, code, template, item_fillers).
 
     Equal items are one, named by the smallest id. A null or empty item, one of fewer than
     ``SHORTEST_ITEM`` words, and one that is mostly placeholders, has none and is never found.
     """
     single = keyed(benchmark, id, text).where("text is not null").groupBy("key", "text").agg(F.min("id").alias("id"))
-    found = single.select("id", "key", "text").mapInArrow(lambda batches: matching(batches, None), FOUND)
-    return found.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "length", "code", "template", F.col("fillers").alias("item_fillers"))
+    found = single.select("id", "key", "text").mapInArrow(of_items, FOUND)
+    return found.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "length", "literal", "code", "template", F.col("fillers").alias("item_fillers"))
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> Iterator[DataFrame]:
     """Templates of the documents that also are the benchmark's, in one frame for each block of those."""
     spark = docs.sparkSession
-    codes = items.select("length", "code").distinct()
+    codes = items.select("literal", "length", "code").distinct()
     blocks = max(1, -(-codes.count() // BLOCK_TEMPLATES))
     for block in range(blocks):
         rows = codes.where(F.pmod(F.col("code"), F.lit(blocks)) == block).toArrow()  # about BLOCK_TEMPLATES rows
-        lengths, values = rows["length"].to_numpy(), rows["code"].to_numpy().astype(np.int64).view(np.uint64)
-        sent = spark.sparkContext.broadcast({int(n): np.sort(values[lengths == n]) for n in np.unique(lengths)})
+        literal, lengths = rows["literal"].to_numpy(zero_copy_only=False).astype(bool), rows["length"].to_numpy()
+        values = rows["code"].to_numpy().astype(np.int64).view(np.uint64)
+        kinds = sorted(set(zip(literal.tolist(), lengths.tolist())))
+        sent = spark.sparkContext.broadcast({(k, n): np.sort(values[(literal == k) & (lengths == n)]) for k, n in kinds})
         yield docs.mapInArrow(lambda batches, sent=sent: matching(batches, sent.value), FOUND)
 
 
@@ -230,18 +281,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     found = frames[0]
     for more in frames[1:]:
         found = found.unionAll(more)
-    pairs = found.join(items, ["length", "code", "template"])
-    slots = F.arrays_zip(F.col("fillers.at").alias("at"), F.col("fillers.value").alias("ours"), F.col("item_fillers.value").alias("theirs"))
-    exact = F.col("fillers.value") == F.col("item_fillers.value")
+    pairs = found.join(items, ["literal", "length", "code", "template"])
+    slots = F.when(F.col("literal"), F.transform("item_fillers", lambda s: F.struct(
+        (s["at"] + F.col("shift")).alias("at"), s["value"].alias("ours"), s["value"].alias("theirs")))
+    ).otherwise(F.arrays_zip(F.col("fillers.at").alias("at"), F.col("fillers.value").alias("ours"), F.col("item_fillers.value").alias("theirs")))
     aligned = (
-        pairs.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots).withColumn("exact", exact)
+        pairs.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots)
         .groupBy("id", "key", "item_id", "shift", "length")
-        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.max("exact").alias("exact"))
+        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.max("literal").alias("exact"))
         .withColumn("matched_words", covered(F.col("starts"), F.col("length")))
         .withColumn("literal_words", F.col("matched_words") - distinct_size(F.col("slots.at")))
         .withColumn("mapping", F.array_distinct(F.transform("slots", lambda s: F.struct(s["ours"], s["theirs"]))))
         .withColumn("consistent", (F.size("mapping") == distinct_size(F.col("slots.ours"))) & (F.size("mapping") == distinct_size(F.col("slots.theirs"))))
-        .where((F.col("exact") | F.col("consistent")) & (F.col("literal_words") >= F.least(F.lit(LITERAL_WORDS), F.ceil(F.col("length") * LITERAL_SHARE))))
+        .where(F.col("exact") | F.col("consistent") & (F.col("literal_words") >= F.least(F.lit(LITERAL_WORDS), F.ceil(F.col("length") * LITERAL_SHARE))))
     )
     best = F.max_by(
         F.struct(F.when(F.col("exact"), "verbatim").otherwise("reparameterised").alias("kind"), "literal_words", "matched_words", F.col("slots").alias("fillers"), F.get("starts", F.lit(0)).alias("at")),

@@ -77,3 +77,15 @@ def test_canonical_words():
     assert decontaminate.canonical("12km") == ("<num><unit>", "<num><unit>", False)
     assert decontaminate.canonical("Anna") == ("anna", "<name>", False)
     assert decontaminate.canonical("--") == ("", "", False)
+
+
+def test_copies_in_other_case_punctuation_and_position(make, bench):
+    short = "What is the capital of France?"
+    bare = ITEM.replace("has 5", "has, 5")
+    docs = make([
+        (1, ITEM.upper()), (2, f"before it {ITEM.title()} and after"), (3, "so they asked " + short + " again"), (4, short.upper()),
+        (5, "so they asked What is the capital of Spain again"), (6, "".join(c for c in "Well then. " + bare if c.isalnum() or c == " ")),
+    ])
+    assert kinds(docs, bench(ITEM.replace("has 5", "has, 5").replace("so how", "so. How"), short)) == [
+        (1, 0, "verbatim"), (2, 0, "verbatim"), (3, 1, "verbatim"), (4, 1, "verbatim"), (5, 1, "reparameterised"), (6, 0, "verbatim"),
+    ]
