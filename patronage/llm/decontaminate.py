@@ -27,7 +27,7 @@ from patronage.session import materialize
 
 #: Words in a template; shorter items are one template each, unless below the second number.
 TEMPLATE_WORDS, SHORTEST_ITEM = 10, 5
-#: Words that must match literally along an alignment (all that the item has, if fewer), and the least share in a template.
+#: Words that must match literally where parameters differ (all that the whole item has, if fewer), and the least share in a template.
 LITERAL_WORDS, LITERAL_SHARE = 8, 0.5
 #: Templates that are broadcast at once: 16 MB. Larger benchmarks take several passes over the documents.
 BLOCK_TEMPLATES = 2_000_000
@@ -140,7 +140,9 @@ def templates(hashes: np.ndarray, slots: np.ndarray, begins: np.ndarray, length:
 
 def found_rows(at: np.ndarray, code: np.ndarray, length: int, literal: bool, read: Read) -> dict[str, list]:
     """One row a template: which text, where, its canonical or bare words, and its placeholders' fillers with their places."""
-    rows: dict[str, list] = {"text_no": [], "at": [], "length": [], "code": [], "template": [], "fillers": []}
+    rows: dict[str, list] = {"text_no": [], "at": [], "length": [], "literals": [], "code": [], "template": [], "fillers": []}
+    upto = np.concatenate(([0], np.cumsum(~read.slots)))
+    literals = (upto[read.begins[1:]] - upto[read.begins[:-1]]).tolist()
     slots, starts, words, begins = read.slots, read.starts, read.words, read.begins
     for i, c in zip(at.tolist(), code.tolist()):
         text_no = int(np.searchsorted(begins, i, side="right")) - 1
@@ -149,13 +151,14 @@ def found_rows(at: np.ndarray, code: np.ndarray, length: int, literal: bool, rea
         rows["text_no"].append(text_no)
         rows["at"].append(i - int(begins[text_no]))
         rows["length"].append(length)
+        rows["literals"].append(literals[text_no])
         rows["code"].append(c - (1 << 64) if c >> 63 else c)
         rows["template"].append(" ".join(forms))
         rows["fillers"].append([{"at": i - int(begins[text_no]) + k, "value": EDGE.sub("", w).lower()} for k, w in enumerate(own) if slots[i + k]])
     return rows
 
 
-FOUND = "id bigint, key bigint, at int, length int, literal boolean, code bigint, template string, fillers array<struct<at:int,value:string>>"
+FOUND = "id bigint, key bigint, at int, length int, literal boolean, literals int, code bigint, template string, fillers array<struct<at:int,value:string>>"
 FILLERS = pa.list_(pa.struct([("at", pa.int32()), ("value", pa.string())]))
 
 
@@ -174,9 +177,9 @@ def rows_of(batch: pa.RecordBatch, read: Read, at: np.ndarray, code: np.ndarray,
         yield pa.RecordBatch.from_arrays(
             [
                 batch["id"].take(text_no), batch["key"].take(text_no), pa.array(rows["at"], pa.int32()), pa.array(rows["length"], pa.int32()),
-                pa.array([literal] * len(text_no)), pa.array(rows["code"], pa.int64()), pa.array(rows["template"]), pa.array(rows["fillers"], FILLERS),
+                pa.array([literal] * len(text_no)), pa.array(rows["literals"], pa.int32()), pa.array(rows["code"], pa.int64()), pa.array(rows["template"]), pa.array(rows["fillers"], FILLERS),
             ],
-            ["id", "key", "at", "length", "literal", "code", "template", "fillers"],
+            ["id", "key", "at", "length", "literal", "literals", "code", "template", "fillers"],
         )
 
 
@@ -232,14 +235,14 @@ def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def benchmark_templates(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
-    """The templates and literal windows of a benchmark: (item_id, item_at, length, literal, code, template, item_fillers).
+    """The templates and literal windows of a benchmark: (item_id, item_literals, item_at, length, literal, code, template, item_fillers).
 
     Equal items are one, named by the smallest id. A null or empty item, one of fewer than
     ``SHORTEST_ITEM`` words, and one that is mostly placeholders, has none and is never found.
     """
     single = keyed(benchmark, id, text).where("text is not null").groupBy("key", "text").agg(F.min("id").alias("id"))
     found = single.select("id", "key", "text").mapInArrow(of_items, FOUND)
-    return found.select(F.col("id").alias("item_id"), F.col("at").alias("item_at"), "length", "literal", "code", "template", F.col("fillers").alias("item_fillers"))
+    return found.select(F.col("id").alias("item_id"), F.col("literals").alias("item_literals"), F.col("at").alias("item_at"), "length", "literal", "code", "template", F.col("fillers").alias("item_fillers"))
 
 
 def candidates(docs: DataFrame, items: DataFrame) -> Iterator[DataFrame]:
@@ -288,12 +291,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     aligned = (
         pairs.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots)
         .groupBy("id", "key", "item_id", "shift", "length")
-        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.max("literal").alias("exact"))
+        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.max("literal").alias("exact"), F.min("item_literals").alias("item_literals"))
         .withColumn("matched_words", covered(F.col("starts"), F.col("length")))
         .withColumn("literal_words", F.col("matched_words") - distinct_size(F.col("slots.at")))
         .withColumn("mapping", F.array_distinct(F.transform("slots", lambda s: F.struct(s["ours"], s["theirs"]))))
         .withColumn("consistent", (F.size("mapping") == distinct_size(F.col("slots.ours"))) & (F.size("mapping") == distinct_size(F.col("slots.theirs"))))
-        .where(F.col("exact") | F.col("consistent") & (F.col("literal_words") >= F.least(F.lit(LITERAL_WORDS), F.ceil(F.col("length") * LITERAL_SHARE))))
+        .where(F.col("exact") | F.col("consistent") & (F.col("literal_words") >= F.least(F.lit(LITERAL_WORDS), F.col("item_literals"))))
     )
     best = F.max_by(
         F.struct(F.when(F.col("exact"), "verbatim").otherwise("reparameterised").alias("kind"), "literal_words", "matched_words", F.col("slots").alias("fillers"), F.get("starts", F.lit(0)).alias("at")),

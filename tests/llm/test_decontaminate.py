@@ -89,3 +89,11 @@ def test_copies_in_other_case_punctuation_and_position(make, bench):
     assert kinds(docs, bench(ITEM.replace("has 5", "has, 5").replace("so how", "so. How"), short)) == [
         (1, 0, "verbatim"), (2, 0, "verbatim"), (3, 1, "verbatim"), (4, 1, "verbatim"), (5, 1, "reparameterised"), (6, 0, "verbatim"),
     ]
+
+
+def test_a_stock_frame_is_no_leak(make, bench):
+    item = "The old house by the river was bought by Anna Bell on 3 May 1990 for 500 dollars from Tom Hill and sold again"
+    frame = "yesterday something was bought by Kim Park on 7 June 2004 for 80 euros because everyone agreed"
+    other = item.replace("Anna Bell", "Kim Park").replace("3 May 1990", "7 June 2004").replace("500", "80")
+    assert kinds(make([(1, frame), (2, other)]), bench(item)) == [(2, 0, "reparameterised")]
+    assert kinds(make([(1, "how many days are in 3 weeks")]), bench("how many days are in 5 weeks")) == [(1, 0, "reparameterised")]
