@@ -25,8 +25,10 @@ from pyspark.sql import functions as F
 from patronage.llm.words import run_hashes, split_words
 from patronage.session import materialize
 
-#: Words in a template; shorter items are one template each, unless below the second number.
+#: Words in a template or literal window; shorter items are one each, below the second number a literal one only.
 TEMPLATE_WORDS, SHORTEST_ITEM = 10, 5
+#: Scripts without spaces: each letter counts as a word, and items mostly of them have windows of so many.
+UNSPACED, UNSPACED_WORDS = r"([\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}])", 20
 #: Words that must match literally where parameters differ (all that the whole item has, if fewer), and the least share in a template.
 LITERAL_WORDS, LITERAL_SHARE = 8, 0.5
 #: Templates that are broadcast at once: 16 MB. Larger benchmarks take several passes over the documents.
@@ -79,6 +81,13 @@ def bare(word: str) -> str:
     return core if NUMBER.fullmatch(core) else INNER.sub("", core)
 
 
+def spaced(texts: pa.Array) -> pa.Array:
+    """Texts with spaces around each letter of scripts that have none."""
+    if not pc.any(pc.match_substring_regex(texts, UNSPACED)).as_py():
+        return texts
+    return pc.replace_substring_regex(texts, UNSPACED, r" \1 ")
+
+
 class Read(NamedTuple):
     """Of all words with a form: hashes of their canonical and bare forms, whether placeholders, whether at a
     sentence's start, and the words; and where texts begin."""
@@ -101,11 +110,13 @@ class Canonical:
         """Hashes of both forms and of the bare word, and flags: 1 no form, 2 placeholder at a start, 4 elsewhere, 8 ends a sentence."""
         first, other, ends = canonical(word)
         flags = (not first) + 2 * first.startswith("<") + 4 * other.startswith("<") + 8 * ends
-        return *(xxhash.xxh3_64_intdigest(form) for form in (first, other, bare(word))), flags
+        least = first.casefold() if first.isalnum() else bare(word)  # without inner punctuation, the same by a shorter way
+        one = xxhash.xxh3_64_intdigest(first)
+        return one, one if other == first else xxhash.xxh3_64_intdigest(other), one if least == first else xxhash.xxh3_64_intdigest(least), flags
 
     def __call__(self, texts: pa.Array, opened: bool = False) -> Read:
         """The words of texts; ``opened`` texts are taken as if they went on a sentence."""
-        words, begins = split_words(texts)
+        words, begins = split_words(spaced(texts))
         coded = words.dictionary_encode()
         if len(self.known) > KNOWN_WORDS:
             self.known = {}
@@ -190,9 +201,19 @@ def windows(read: Read, size: int, literal: bool) -> tuple[np.ndarray, np.ndarra
     return templates(read.hashes, read.slots, read.begins, size)
 
 
-def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def window_sizes(read: Read) -> np.ndarray:
+    """Words in the windows of each item."""
+    single = pc.and_(pc.equal(pc.utf8_length(read.words), 1), pc.match_substring_regex(read.words, UNSPACED))
+    upto = np.concatenate(([0], np.cumsum(single.to_numpy(zero_copy_only=False))))
+    lengths, unspaced = np.diff(read.begins), np.diff(upto[read.begins])
+    return np.minimum(lengths, np.where(2 * unspaced > lengths, UNSPACED_WORDS, TEMPLATE_WORDS))
+
+
+def of_items(batches: Iterator[pa.RecordBatch], short_items: bool) -> Iterator[pa.RecordBatch]:
     """Templates and literal windows of (id, key, text) rows of a benchmark.
 
+    Items of one window that have no template have a literal window with ``short_items`` only.
+
     A template that begins with an item's first word comes in both forms of that word, as it may stand
     inside a sentence elsewhere.
     """
@@ -201,9 +222,7 @@ def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks_of(whole):
             for opened in (False, True):
                 read = canon(batch["text"], opened)
-                lengths = np.diff(read.begins)
-                own_size = np.where(lengths >= SHORTEST_ITEM, np.minimum(lengths, TEMPLATE_WORDS), 0)
-                typed_items = np.zeros(0, dtype=np.int64)
+                lengths, own_size = np.diff(read.begins), window_sizes(read)
                 for size in sorted({int(n) for n in own_size if n}):
                     for literal in (False,) if opened else (False, True):
                         at, code = windows(read, size, literal)
@@ -212,36 +231,58 @@ def of_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         if opened:
                             own &= (at == read.begins[item]) & read.slots[at]
                         if not literal:
+                            own &= size >= SHORTEST_ITEM
                             typed_items = item[own]
-                        elif size < TEMPLATE_WORDS:  # short items: those with a template
-                            own &= np.isin(item, typed_items)
+                        elif not short_items:
+                            own &= (lengths[item] >= TEMPLATE_WORDS) | np.isin(item, typed_items)
                         yield from rows_of(batch, read, at[own], code[own], size, literal)
 
 
+class Wanted:
+    """Sorted hashes, behind a table of their first bits that turns most others away."""
+
+    def __init__(self, codes: np.ndarray) -> None:
+        bits = min(26, len(codes).bit_length() + 4)
+        self.codes, self.shift = codes, np.uint64(64 - bits)
+        self.seen = np.zeros(1 << bits, dtype=bool)
+        self.seen[codes >> self.shift] = True
+
+    def places(self, code: np.ndarray) -> np.ndarray:
+        """Where ``code`` is one of the hashes."""
+        at = np.flatnonzero(self.seen[code >> self.shift])
+        found = np.searchsorted(self.codes, code[at])
+        return at[self.codes[np.minimum(found, len(self.codes) - 1)] == code[at]]
+
+
 def matching(batches: Iterator[pa.RecordBatch], wanted: dict[tuple[bool, int], np.ndarray]) -> Iterator[pa.RecordBatch]:
     """Those templates and literal windows of (id, key, text) rows that are in ``wanted``, sorted hashes by kind and length."""
-    canon = Canonical()
+    canon, kinds = Canonical(), {kind: Wanted(codes) for kind, codes in sorted(wanted.items())}
     for whole in batches:
         for batch in blocks_of(whole):
             read = canon(batch["text"])
-            for (literal, size), codes in sorted(wanted.items()):
-                at, code = windows(read, size, literal)
-                hit = codes[np.minimum(np.searchsorted(codes, code), len(codes) - 1)] == code
-                yield from rows_of(batch, read, at[hit], code[hit], size, literal)
+            filled = np.concatenate(([0], np.cumsum(read.slots)))
+            for (literal, size), codes in kinds.items():
+                code = run_hashes(read.bare if literal else read.hashes, size) ^ np.uint64(size)
+                at = codes.places(code)
+                keep = read.begins[np.searchsorted(read.begins, at, side="right")] - at >= size
+                if not literal:
+                    keep &= size - (filled[at + size] - filled[at]) >= LITERAL_SHARE * size
+                yield from rows_of(batch, read, at[keep], code[at[keep]], size, literal)
 
 
 def keyed(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(F.col(id).cast("long").alias("id"), F.xxhash64(text).alias("key"), F.col(text).alias("text"))
 
 
-def benchmark_templates(benchmark: DataFrame, id: str = "item_id", text: str = "text") -> DataFrame:
+def benchmark_templates(benchmark: DataFrame, id: str = "item_id", text: str = "text", short_items: bool = False) -> DataFrame:
     """The templates and literal windows of a benchmark: (item_id, item_literals, item_at, length, literal, code, template, item_fillers).
 
-    Equal items are one, named by the smallest id. A null or empty item, one of fewer than
-    ``SHORTEST_ITEM`` words, and one that is mostly placeholders, has none and is never found.
+    Equal items are one, named by the smallest id. A null or empty item has none and is never found. An
+    item of fewer than ``SHORTEST_ITEM`` words, and one of fewer than ``TEMPLATE_WORDS`` that is mostly
+    placeholders, has none unless ``short_items``: then it is found wherever a text has just its words.
     """
     single = keyed(benchmark, id, text).where("text is not null").groupBy("key", "text").agg(F.min("id").alias("id"))
-    found = single.select("id", "key", "text").mapInArrow(of_items, FOUND)
+    found = single.select("id", "key", "text").mapInArrow(lambda batches: of_items(batches, short_items), FOUND)
     return found.select(F.col("id").alias("item_id"), F.col("literals").alias("item_literals"), F.col("at").alias("item_at"), "length", "literal", "code", "template", F.col("fillers").alias("item_fillers"))
 
 
@@ -270,16 +311,20 @@ def distinct_size(values: Column) -> Column:
     return F.size(F.array_distinct(values))
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def leaks(
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", short_items: bool = False
+) -> DataFrame:
     """Documents that hold benchmark items: one row for each document and item found in it, as (id, key,
     item_id, kind, literal_words, matched_words, fillers, at).
 
     ``kind`` is ``verbatim`` or ``reparameterised``; ``at`` is where the best alignment starts, in words of
-    the document (those that are all punctuation not counted). ``key`` is the hash of the document's text,
+    the document (those that are all punctuation not counted, and each letter of a script without spaces
+    counted as one). Short items, and those of mostly placeholders, are looked for with ``short_items``, as
+    they are; without, a benchmark's one-word answers do not mark every document with that word. ``key`` is the hash of the document's text,
     for documents of equal or null id. Null and empty texts hold nothing; an empty table on either
     side gives no row.
     """
-    items = materialize(benchmark_templates(benchmark, item_id, item_text), "templates")
+    items = materialize(benchmark_templates(benchmark, item_id, item_text, short_items), "templates")
     frames = list(candidates(keyed(docs, id, text), items))
     found = frames[0]
     for more in frames[1:]:
@@ -305,9 +350,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str =
     return aligned.groupBy("id", "key", "item_id").agg(best.alias("best")).select(F.col("id").alias(id), "key", "item_id", "best.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", short_items: bool = False) -> DataFrame:
     """The documents that hold no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, id, text).select(F.col(id).alias("found_id"), F.col("key").alias("found_key")).distinct()
+    found = leaks(docs, benchmark, id, text, short_items=short_items).select(F.col(id).alias("found_id"), F.col("key").alias("found_key")).distinct()
     marked = docs.withColumn("key__", F.xxhash64(text))
     same = marked[id].eqNullSafe(F.col("found_id")) & (F.col("key__") == F.col("found_key"))
     return marked.join(found, same, "left_anti").select(*docs.columns)

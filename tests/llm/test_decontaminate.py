@@ -97,3 +97,14 @@ def test_a_stock_frame_is_no_leak(make, bench):
     other = item.replace("Anna Bell", "Kim Park").replace("3 May 1990", "7 June 2004").replace("500", "80")
     assert kinds(make([(1, frame), (2, other)]), bench(item)) == [(2, 0, "reparameterised")]
     assert kinds(make([(1, "how many days are in 3 weeks")]), bench("how many days are in 5 weeks")) == [(1, 0, "reparameterised")]
+
+
+def test_exact_copies_of_short_unspaced_and_placeholder_items(make, bench):
+    items = bench("one two", "1 2 3 4 5 6", "小明有五个苹果,又买了七个苹果,现在一共有多少个苹果?", "Anna Bell Tom Hill Kim Park", "12 34 56 78 90 11 22 33 44 55 66 77", "?!")
+    docs = make([
+        (1, "well, One two it is"), (2, "so 1 2 3 4 5 6 and"), (3, "今天学习。小明有五个苹果,又买了七个苹果,现在一共有多少个苹果?请回答。"), (4, "here anna bell tom hill kim park"),
+        (5, "row 12 34 56 78 90 11 22 33 44 55 66 77"), (6, "one and two, 1 2 3 4 5, 小明有三个梨, Anna Bell, 12 34 56 78 90"), (7, "?! ..."),
+    ])
+    found = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items, short_items=True).collect())
+    assert found == [(1, 0, "verbatim"), (2, 1, "verbatim"), (3, 2, "verbatim"), (4, 3, "verbatim"), (5, 4, "verbatim")]
+    assert {r.doc_id for r in decontaminate.clean(docs, items, short_items=True).collect()} == {6, 7}
