@@ -2,7 +2,8 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows
 the document's, the sketch of a union is the union of the sketches, and the containment of a
-short document in a long one is estimated as well as that of equals.
+short document in a long one is estimated as well as that of equals. Too few hashes of a short document
+are kept for that: where texts are at hand, all its shingles are compared.
 
 Only DataFrame functions.
 """
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 SHINGLE_WORDS = 5
 #: Hashes have so many bits, and those below 2 ** (HASH_BITS - FRACTION_BITS) are kept: one in eight.
 HASH_BITS, FRACTION_BITS = 48, 3
+#: Up to so many shingles in the smaller text, likeness is counted over all shingles of both.
+COUNTED_SHINGLES = 512
 WHITE = " \t\n\x0b\x0c\r"
 #: Documents in a range of ids that is brought in order together.
 RANGE_ROWS = 1024
@@ -34,16 +37,21 @@ def digest(hashes: Column) -> Column:
     return F.xxhash64(hashes)
 
 
-def sketch(hashes: Column, shingle_words: int = SHINGLE_WORDS, fraction_bits: int = FRACTION_BITS) -> Column:
-    """The kept hashes of a document's distinct shingles, ascending.
-
-    A document of fewer words than a shingle is one shingle; one without words has none.
-    """
+def shingles(hashes: Column, shingle_words: int = SHINGLE_WORDS) -> Column:
+    """The hash of every shingle. A document of fewer words than a shingle is one shingle; one without words has none."""
     last = F.greatest(F.size(hashes) - (shingle_words - 1), F.lit(1))
     starts = F.when(F.size(hashes) > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-    every = F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(hashes, i, shingle_words)), 64 - HASH_BITS))
-    kept = F.filter(every, lambda h: h < (1 << (HASH_BITS - fraction_bits)))
-    return F.sort_array(F.array_distinct(kept))
+    return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(F.slice(hashes, i, shingle_words)), 64 - HASH_BITS))
+
+
+def kept_of(every: Column, fraction_bits: int = FRACTION_BITS) -> Column:
+    """The distinct ones of shingle hashes below the fraction, ascending."""
+    return F.sort_array(F.array_distinct(F.filter(every, lambda h: h < (1 << (HASH_BITS - fraction_bits)))))
+
+
+def sketch(hashes: Column, shingle_words: int = SHINGLE_WORDS, fraction_bits: int = FRACTION_BITS) -> Column:
+    """The kept hashes of a document's distinct shingles, ascending."""
+    return kept_of(shingles(hashes, shingle_words), fraction_bits)
 
 
 def written(mark: Column, kept: Column) -> Column:
@@ -67,6 +75,13 @@ def likeness(mark_a: Column, a: Column, mark_b: Column, b: Column) -> Column:
     return F.when(mark_a == mark_b, F.lit(1.0)).otherwise(F.coalesce(containment(a, b), F.lit(0.0)))
 
 
+def near(mark_a: Column, every_a: Column, a: Column, mark_b: Column, every_b: Column, b: Column) -> Column:
+    """Likeness, counted over all shingles where the smaller text has few, estimated from the sketches elsewhere."""
+    few = F.least(F.size(every_a), F.size(every_b)) <= COUNTED_SHINGLES
+    counted = likeness(mark_a, F.array_distinct(every_a), mark_b, F.array_distinct(every_b))
+    return F.when(few, counted).otherwise(likeness(mark_a, a, mark_b, b))
+
+
 def merged(sketches: DataFrame, by: list[str], kept: str = "sketch") -> DataFrame:
     """The sketch of each group's documents taken together, as rows (by..., hash).
 
@@ -123,24 +138,19 @@ def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     null text counts as empty, and so does its edit. The only row of a table is followed by itself.
     """
     texts = docs.select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
-    hashes = F.col("hashes")
-    printed = texts.withColumn("hashes", word_hashes(F.col("text"))).select(
-        "id", "text", digest(hashes).alias("digest"), sketch(hashes).alias("sketch")
-    )
-    rows = with_next(printed, "id", ["text", "digest", "sketch"])
+    rows = with_next(texts, "id", ["text"])
     half = F.floor(F.col("n_chars") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    return (
-        rows.withColumn("n_chars", F.length("text").cast("long"))
-        .withColumn("edited", edited)
-        .withColumn("edited_hashes", word_hashes(F.col("edited")))
-        .withColumn("edited_digest", digest(F.col("edited_hashes")))
-        .withColumn("edited_sketch", sketch(F.col("edited_hashes")))
-        .select(
-            F.col("id").alias(id), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-            written(F.col("digest"), F.col("sketch")).alias("fingerprint"),
-            written(F.col("edited_digest"), F.col("edited_sketch")).alias("edited_fingerprint"),
-            likeness(F.col("digest"), F.col("sketch"), F.col("edited_digest"), F.col("edited_sketch")).alias("near_edited"),
-            likeness(F.col("digest"), F.col("sketch"), F.col("next.digest"), F.col("next.sketch")).alias("near_next"),
-        )
+    printed = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
+    for name, of in (("own", F.col("text")), ("edited", F.col("edited")), ("next", F.col("next.text"))):
+        hashes, every = F.col(f"{name}_hashes"), F.col(f"{name}_shingles")
+        printed = printed.withColumn(f"{name}_hashes", word_hashes(of)).withColumn(f"{name}_digest", digest(hashes))
+        printed = printed.withColumn(f"{name}_shingles", shingles(hashes)).withColumn(f"{name}_sketch", kept_of(every))
+    parts = {name: [F.col(f"{name}_{part}") for part in ("digest", "shingles", "sketch")] for name in ("own", "edited", "next")}
+    return printed.select(
+        F.col("id").alias(id), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        written(F.col("own_digest"), F.col("own_sketch")).alias("fingerprint"),
+        written(F.col("edited_digest"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        near(*parts["own"], *parts["edited"]).alias("near_edited"),
+        near(*parts["own"], *parts["next"]).alias("near_next"),
     )

@@ -75,3 +75,15 @@ def test_odd_rows(odd, make):
     assert fingerprints.edited_likeness(make([])).collect() == []
     single = fingerprints.edited_likeness(make([(5, "ab")])).collect()[0]
     assert single.edited_sha256 == hashlib.sha256(b"aa").hexdigest() and single.near_next == 1
+
+
+def test_likeness_of_short_texts_is_their_containment(make):
+    texts = [" ".join(f"w{(7 * n + i) % 40}" for i in range(n)) for n in range(1, 61)] + [" ".join(f"w{i % 40}" for i in range(3000))]
+    docs = make(list(enumerate(texts)))
+    after = following(docs.collect())
+    for row in fingerprints.edited_likeness(docs).collect():
+        text = texts[row.doc_id]
+        half = len(text) // 2
+        a, b, c = shingles(text), shingles(text[: len(text) - half] + after[row.doc_id][:half]), shingles(after[row.doc_id])
+        assert abs(row.near_edited - len(a & b) / min(len(a), len(b))) < 1e-9
+        assert abs(row.near_next - len(a & c) / min(len(a), len(c))) < 1e-9
