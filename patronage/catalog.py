@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import average_order_value, rfm_total
-from patronage.operators import clustering, history, hygiene, indicators, reports, scoring, segments
+from patronage.operators import clustering, history, hygiene, indicators, refunds, reports, scoring, segments
 from patronage.plans.dashboard import dashboard_tables
 from patronage.plans.segmentation import customer_base, segment_customers
 from patronage.session import materialize, scratch_path
@@ -130,6 +130,31 @@ def rfm_base_net(spark, directory):
     return indicators.rfm_base(hygiene.clean_purchases(lines, AS_OF, net=True), AS_OF)
 
 
+def _line_refunds(spark: SparkSession, directory: str) -> DataFrame:
+    valid = hygiene.split_valid(source.purchases_and_line_refunds(spark, directory), net=True)[0]
+    return hygiene.observe(valid, AS_OF)
+
+
+def settled_purchases(spark, directory):
+    """Orders and the returned lines that they cover."""
+    return refunds.settle_refunds(_line_refunds(spark, directory))[0]
+
+
+def rejected_refunds(spark, directory):
+    return refunds.settle_refunds(_line_refunds(spark, directory))[1]
+
+
+def rfm_base_settled(spark, directory):
+    lines = source.purchases_and_line_refunds(spark, directory)
+    return indicators.rfm_base(hygiene.clean_purchases(lines, AS_OF, settled=True), AS_OF)
+
+
+def rfm_base_line_refunds(spark, directory):
+    """Every returned line counts, also where they exceed their order."""
+    lines = source.purchases_and_line_refunds(spark, directory)
+    return indicators.rfm_base(hygiene.clean_purchases(lines, AS_OF, net=True), AS_OF)
+
+
 def net_revenue(spark, directory):
     billed = source.purchases_from_lines(spark, directory, returned=False)
     return indicators.rfm_base(hygiene.clean_purchases(billed, AS_OF, unique=True), AS_OF)
@@ -307,6 +332,25 @@ def monthly_migration(spark, directory):
     return history.migration_series(cleaned, FIRST_MONTH, LAST_MONTH)
 
 
+def migration_decomposed(spark, directory):
+    """Moves by own behaviour and by the change of all others."""
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
+    return history.migration_decomposed(cleaned, FIRST_MONTH, LAST_MONTH)
+
+
+def trailing_decomposed(spark, directory):
+    cleaned = _seen_orders(spark, directory, LAST_MONTH)
+    return history.migration_decomposed(cleaned, FIRST_MONTH, LAST_MONTH, trailing_months=12)
+
+
+def segment_flows(spark, directory):
+    return history.segment_flows(materialize(migration_decomposed(spark, directory), "moves"))
+
+
+def why_moved(spark, directory):
+    return history.why_moved(migration_decomposed(spark, directory))
+
+
 def trailing_migration(spark, directory):
     cleaned = _seen_orders(spark, directory, LAST_MONTH)
     return history.migration_series(cleaned, FIRST_MONTH, LAST_MONTH, trailing_months=12)
@@ -394,7 +438,8 @@ QUERIES: dict[str, Query] = {
     for query in (
         purchases_orders, purchases_by_status, purchases_events, purchases_net_of_returns,
         validity_summary, rejected_rows, rejected_text, dedup_shipments, observation_window,
-        rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, net_revenue,
+        rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, rfm_base_line_refunds, settled_purchases, rejected_refunds,
+        rfm_base_settled, net_revenue,
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
         score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints,
         score_fixed, score_nested, score_relative, score_totals, customer_segments, event_segments, strategies,
@@ -402,6 +447,7 @@ QUERIES: dict[str, Query] = {
         by_attribute, by_nation, top_customers,
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,
+        migration_decomposed, trailing_decomposed, segment_flows, why_moved,
         stream_indicators, stream_repeats, stream_segments, stream_weekly, stream_sliding, stream_sessions,
         clusters, kept_clusters, cluster_profile,
     )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import midnight
+from patronage.operators.refunds import settle_refunds
 
 
 def reject_reason(net: bool = False) -> Column:
@@ -39,11 +40,13 @@ def reject_summary(purchases: DataFrame, net: bool = False) -> DataFrame:
 def dedup(purchases: DataFrame) -> DataFrame:
     """One row per transaction: the earliest, then lowest customer, then lowest amount.
 
-    A refund under the id of its purchase is a transaction of its own. A minimum over a struct picks the same row on every run and is combined before the
+    Refunds under the id of their purchase are transactions of their own, as many as differ in time, amount or customer. A
+    minimum over a struct picks the same row on every run and is combined before the
     shuffle, so a transaction repeated without end still sends one row per task.
     """
+    refund = F.when(F.col("amount") < 0, F.struct("customer_id", "ts", "amount"))
     return (
-        purchases.groupBy("txn_id", (F.col("amount") < 0).alias("refund"))
+        purchases.groupBy("txn_id", refund.alias("refund"))
         .agg(F.min(F.struct("ts", "customer_id", "amount")).alias("first"))
         .select("first.customer_id", "txn_id", "first.ts", "first.amount")
     )
@@ -61,6 +64,7 @@ def clean_purchases(
     start: str | dt.date | None = None,
     net: bool = False,
     unique: bool = False,
+    settled: bool = False,
 ) -> DataFrame:
     """Valid, deduplicated purchases inside the window.
 
@@ -68,9 +72,13 @@ def clean_purchases(
     copy of a transaction survives, and it cannot be cut off by an upper bound that a
     later copy passes. The lower bound could change the survivor, so it comes after.
     ``unique=True`` states that transaction ids do not repeat and saves that shuffle.
+    ``net=True`` keeps every refund; ``settled=True`` those parts of them that their sales cover.
     """
-    valid, _ = split_valid(purchases, net)
-    if unique:
+    valid, _ = split_valid(purchases, net or settled)
+    if settled:
+        seen = settle_refunds(observe(valid, as_of))[0]
+    elif unique:
         return observe(valid, as_of, start)
-    seen = dedup(observe(valid, as_of))
+    else:
+        seen = dedup(observe(valid, as_of))
     return seen if start is None else seen.where(F.col("ts") >= midnight(start))

@@ -23,6 +23,17 @@ BILLED = f"""SELECT o_custkey, o_orderkey, o_orderdate, CAST(coalesce({NET}, 0)
 REFUNDS = f"""SELECT o_custkey AS customer_id, o_orderkey AS txn_id, o_orderdate AS ts, sold AS amount FROM ({BILLED})
     UNION ALL SELECT o_custkey, o_orderkey, returned_at, CAST(kept - sold AS DECIMAL(18,2))
     FROM ({BILLED}) WHERE returned_at IS NOT NULL AND kept < sold"""
+LINE_SALES = f"SELECT o_custkey AS customer_id, o_orderkey AS txn_id, o_orderdate AS ts, sold AS amount FROM ({BILLED}) WHERE o_orderdate < DATE '{c.AS_OF}'"
+LINE_REFUNDS = f"""SELECT DISTINCT o_custkey AS customer_id, l_orderkey AS txn_id, l_shipdate AS ts, -CAST(l_extendedprice AS DECIMAL(18,2)) AS amount
+    FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE l_returnflag = 'R' AND l_extendedprice > 0 AND l_shipdate < DATE '{c.AS_OF}'"""
+#: Each refund with what its sale had left when it came.
+SETTLED = f"""SELECT r.*, s.amount AS whole, s.ts AS sold_at,
+    CASE WHEN s.txn_id IS NULL THEN 'refund without sale' WHEN r.ts < s.ts THEN 'refund before sale' END AS reason,
+    greatest(s.amount + coalesce(sum(r.amount) FILTER (r.ts >= s.ts) OVER (PARTITION BY r.txn_id ORDER BY r.ts, r.customer_id, r.amount
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS room
+    FROM ({LINE_REFUNDS}) r LEFT JOIN ({LINE_SALES}) s ON s.txn_id = r.txn_id"""
+SETTLED_PURCHASES = f"""{LINE_SALES} UNION ALL SELECT customer_id, txn_id, ts, CAST(-least(-amount, room) AS DECIMAL(18,2)) AS amount
+    FROM ({SETTLED}) WHERE reason IS NULL AND room > 0"""
 SHIPMENTS = """SELECT l_suppkey AS customer_id, l_orderkey AS txn_id, l_shipdate AS ts,
     CAST(l_extendedprice AS DECIMAL(18,2)) AS amount FROM lineitem"""
 FIRST_SHIPMENTS = f"""SELECT customer_id, txn_id, ts, amount FROM ({SHIPMENTS})
@@ -43,6 +54,14 @@ def base(purchases: str = ORDERS, as_of: str = c.AS_OF, start: str | None = None
     FROM ({purchases}) WHERE ts < DATE '{as_of}'{lower} GROUP BY customer_id"""
 
 
+def net_base(purchases: str) -> str:
+    """Refunds count in the revenue only, and do not make a customer."""
+    return f"""SELECT customer_id, CAST(max(ts) FILTER (amount >= 0) AS DATE) AS last_purchase,
+        CAST(date_diff('day', CAST(max(ts) FILTER (amount >= 0) AS DATE), DATE '{c.AS_OF}') AS BIGINT) AS recency_days,
+        count(*) FILTER (amount >= 0) AS frequency, CAST(sum(amount) AS DECIMAL(38,2)) AS monetary
+        FROM ({purchases}) WHERE ts < DATE '{c.AS_OF}' GROUP BY customer_id HAVING count(*) FILTER (amount >= 0) > 0"""
+
+
 def ranked(rows: str, k: int = 5, over: str = "") -> str:
     part = f"PARTITION BY {over} " if over else ""
     scores = ", ".join(
@@ -156,6 +175,28 @@ def sliced(group: str, columns: str) -> str:
     LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey) GROUP BY {group}"""
 
 
+EARLIER_POPULATION = "(SELECT count(*) FROM s e WHERE e.as_of = CAST(a.as_of - INTERVAL 1 MONTH AS DATE) AND {worse})"
+
+
+def counterfactual(first: str, trailing: int | None = None) -> str:
+    """Moves with the segment that a customer's later indicators have among the customers of the month before: the score counts
+    how many of those are strictly worse."""
+    worse = {"r": "e.recency_days > a.recency_days", "f": "e.frequency < a.frequency"}
+    everyone = EARLIER_POPULATION.format(worse="TRUE")
+    scores = ", ".join(f"CAST(least(5, 1 + 5 * {EARLIER_POPULATION.format(worse=w)} // {everyone}) AS INTEGER) AS {i}_score" for i, w in worse.items())
+    return f"""WITH s AS MATERIALIZED ({series_segments(first, trailing)}),
+    own AS MATERIALIZED (SELECT as_of, customer_id, CASE {CASES} END AS own_segment
+        FROM (SELECT a.as_of, a.customer_id, {scores} FROM s a WHERE as_of > DATE '{first}'))
+    SELECT CAST(coalesce(a.as_of, b.as_of + INTERVAL 1 MONTH) AS DATE) AS as_of, coalesce(b.segment, '(none)') AS from_segment,
+      CASE WHEN a.segment IS NULL THEN '(none)' ELSE coalesce(own_segment, a.segment) END AS own_segment,
+      coalesce(a.segment, '(none)') AS to_segment, count(*) AS customers
+    FROM (SELECT * FROM s WHERE as_of > DATE '{first}') a
+    FULL JOIN (SELECT * FROM s WHERE as_of < DATE '{c.LAST_MONTH}') b
+      ON a.customer_id = b.customer_id AND a.as_of = b.as_of + INTERVAL 1 MONTH
+    LEFT JOIN own ON own.as_of = a.as_of AND own.customer_id = a.customer_id
+    GROUP BY ALL"""
+
+
 # A stream's watermark is its newest event, to the millisecond, less a day.
 WATERMARK = f"(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM ({EVENTS}))"
 
@@ -200,10 +241,7 @@ ORACLES: dict[str, str] = {
     "rfm_base": base(),
     "rfm_base_window": base(FIRST_SHIPMENTS, "2001-01-01", "2000-01-01"),
     "rfm_base_events": base(EVENTS, c.EVENTS_AS_OF),
-    "rfm_base_net": f"""SELECT customer_id, CAST(max(ts) FILTER (amount >= 0) AS DATE) AS last_purchase,
-        CAST(date_diff('day', CAST(max(ts) FILTER (amount >= 0) AS DATE), DATE '{c.AS_OF}') AS BIGINT) AS recency_days,
-        count(*) FILTER (amount >= 0) AS frequency, CAST(sum(amount) AS DECIMAL(38,2)) AS monetary
-        FROM ({REFUNDS}) WHERE ts < DATE '{c.AS_OF}' GROUP BY customer_id HAVING count(*) FILTER (amount >= 0) > 0""",
+    "rfm_base_net": net_base(REFUNDS),
     "net_revenue": base(LINES),
     "non_buyers": f"""SELECT c_custkey AS customer_id FROM customer
         WHERE c_custkey NOT IN (SELECT customer_id FROM ({EVENTS}) WHERE ts < DATE '{c.EVENTS_AS_OF}')""",
@@ -328,3 +366,28 @@ ORACLES |= {
         avg(CAST(recency_days AS DOUBLE)) AS mean_recency, avg(CAST(frequency AS DOUBLE)) AS mean_frequency
         FROM ({_nearest()}) GROUP BY cluster""",
 }
+
+DECOMPOSED = counterfactual(c.FIRST_MONTH)
+ORACLES |= {
+    "settled_purchases": SETTLED_PURCHASES,
+    "rejected_refunds": f"""SELECT customer_id, txn_id, ts, amount, reason FROM ({SETTLED}) WHERE reason IS NOT NULL
+        UNION ALL SELECT customer_id, txn_id, ts, CAST(amount + room AS DECIMAL(18,2)), 'refund beyond sale'
+        FROM ({SETTLED}) WHERE reason IS NULL AND -amount > room""",
+    "rfm_base_settled": net_base(SETTLED_PURCHASES),
+    "rfm_base_line_refunds": net_base(f"{LINE_SALES} UNION ALL {LINE_REFUNDS}"),
+    "migration_decomposed": DECOMPOSED,
+    "trailing_decomposed": counterfactual(c.FIRST_MONTH, 12),
+    "segment_flows": f"""WITH m AS ({DECOMPOSED}),
+        ends AS (SELECT as_of, from_segment AS segment, customers AS n, 'from' AS kind FROM m UNION ALL SELECT as_of, own_segment, customers, 'own' FROM m
+          UNION ALL SELECT as_of, to_segment, customers, 'to' FROM m),
+        sums AS (SELECT as_of, segment, coalesce(sum(n) FILTER (kind = 'from'), 0) AS f, coalesce(sum(n) FILTER (kind = 'own'), 0) AS o,
+          coalesce(sum(n) FILTER (kind = 'to'), 0) AS t FROM ends GROUP BY ALL)
+        SELECT as_of, segment, CAST(f AS BIGINT) AS before, CAST(o - f AS BIGINT) AS own_change, CAST(t - o AS BIGINT) AS population_change,
+          CAST(t AS BIGINT) AS after FROM sums""",
+    "why_moved": f"""SELECT as_of, CAST(sum(CASE WHEN from_segment = to_segment AND own_segment = from_segment THEN customers ELSE 0 END) AS BIGINT) AS stayed,
+        CAST(sum(CASE WHEN from_segment = to_segment AND own_segment <> from_segment THEN customers ELSE 0 END) AS BIGINT) AS "offset",
+        CAST(sum(CASE WHEN from_segment <> to_segment AND own_segment = to_segment THEN customers ELSE 0 END) AS BIGINT) AS by_own,
+        CAST(sum(CASE WHEN from_segment <> to_segment AND own_segment = from_segment THEN customers ELSE 0 END) AS BIGINT) AS by_population,
+        CAST(sum(CASE WHEN from_segment <> to_segment AND own_segment NOT IN (from_segment, to_segment) THEN customers ELSE 0 END) AS BIGINT) AS by_both
+        FROM ({DECOMPOSED}) GROUP BY as_of""",
+}

@@ -109,3 +109,14 @@ def purchases_and_refunds(spark: SparkSession, directory: str) -> DataFrame:
     parts = F.when(F.col("returned_at").isNotNull() & (F.col("kept") < F.col("sold")), F.array(sale, refund))
     rows = billed.select("o_custkey", "o_orderkey", F.explode(F.coalesce(parts, F.array(sale))).alias("part"))
     return purchases_from(rows, "o_custkey", "o_orderkey", "part.ts", "part.amount")
+
+
+def purchases_and_line_refunds(spark: SparkSession, directory: str) -> DataFrame:
+    """Each order as a purchase of all its lines, and every returned line as a refund of its own, at list price.
+
+    List prices can exceed what was paid, and lines can be dated before their order: refunds that need to be settled.
+    """
+    sales = purchases_from(_billed_orders(spark, directory), "o_custkey", "o_orderkey", "o_orderdate", "sold")
+    orders = table(spark, directory, "orders").select("o_custkey", "o_orderkey")
+    returned = table(spark, directory, "lineitem").where(_was_returned()).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return sales.unionByName(purchases_from(returned, "o_custkey", "o_orderkey", "l_shipdate", -F.col("l_extendedprice").cast(MONEY)))

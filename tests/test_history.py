@@ -70,3 +70,32 @@ def test_writing_a_date_twice_keeps_one_copy(spark):
     }
     one = read_snapshots(spark, path, "2023-07-01")
     assert "PartitionFilters: [isnotnull(as_of" in one._jdf.queryExecution().toString()
+
+
+@pytest.mark.parametrize("trailing", [None, 2])
+def test_own_and_population_moves_add_up(spark, trailing):
+    purchases = random_purchases(spark, n=120)
+    span = ("2023-04-01", "2023-10-01", trailing)
+    moves = materialize(history.migration_decomposed(purchases, *span), "moves")
+    series = history.migration_series(purchases, *span)
+    summed = moves.groupBy("as_of", "from_segment", "to_segment").agg({"customers": "sum"})
+    assert sorted(map(tuple, summed.collect())) == sorted(map(tuple, series.collect()))
+
+    flows = history.segment_flows(moves).collect()
+    assert all(r.before + r.own_change + r.population_change == r.after for r in flows)
+    for month in {r.as_of for r in flows}:
+        assert sum(r.own_change for r in flows if r.as_of == month) == sum(r.population_change for r in flows if r.as_of == month) == 0
+    stayed = moves.where("from_segment = to_segment AND own_segment = from_segment").groupBy("as_of").agg({"customers": "sum"})
+    assert {r.as_of: r.stayed for r in history.why_moved(moves).collect() if r.stayed} == dict(map(tuple, stayed.collect()))
+
+
+def test_who_does_nothing_is_moved_by_the_others_only(spark):
+    """The one who bought most, long ago, is overtaken by all others within a month."""
+    rows = [(1, n, f"2023-01-{n + 1:02d}", 10) for n in range(5)]
+    rows += [(c, 100 * c + n, f"2023-03-{c + n:02d}", 10) for c in range(2, 11) for n in range(2)]
+    rows += [(c, 100 * c + 10 + n, f"2023-05-{c + n:02d}", 10) for c in range(2, 11) for n in range(9)]
+    purchases = b.purchases(spark, rows)
+    moves = history.migration_decomposed(purchases, "2023-05-01", "2023-06-01")
+    ours = {(r.from_segment, r.own_segment, r.to_segment) for r in moves.collect()}
+    assert ("cannot_lose", "cannot_lose", "hibernating") in ours
+    assert history.why_moved(moves).first().by_population >= 1
