@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import average_order_value, rfm_total
-from patronage.operators import clustering, history, hygiene, indicators, refunds, reports, scoring, segments
+from patronage.operators import clustering, history, hygiene, indicators, refunds, reports, scoring, segments, sketches
 from patronage.plans.dashboard import dashboard_tables
 from patronage.plans.segmentation import customer_base, segment_customers
 from patronage.session import materialize, scratch_path
@@ -214,6 +214,17 @@ def score_kept_cutpoints(spark, directory):
     return scoring.apply_cutpoints(rfm_base(spark, directory), cuts)
 
 
+def sketched_cuts(spark, directory):
+    """Cuts of each year from monthly sketches, and whether their ranks are as near as promised."""
+    series = materialize(monthly_snapshots(spark, directory), "series")
+    path = scratch_path(spark, "sketches")
+    sketches.keep_sketches(series, path)
+    yearly = sketches.merged(sinks.read_snapshots(spark, path).withColumn("year", F.year("as_of")), ["year"])
+    cuts = materialize(sketches.sketched_cuts(yearly, by=["year"]), "cuts")
+    found = sketches.rank_of_cuts(series.withColumn("year", F.year("as_of")), cuts, ["year"])
+    return found.select("year", "indicator", "cut_no", "customers", (F.col("off") <= sketches.rank_error()).alias("within_error"))
+
+
 def score_fixed(spark, directory):
     return scoring.score_fixed(rfm_base(spark, directory), **FIXED_CUTS)
 
@@ -441,7 +452,7 @@ QUERIES: dict[str, Query] = {
         rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, rfm_base_line_refunds, settled_purchases, rejected_refunds,
         rfm_base_settled, net_revenue,
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
-        score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints,
+        score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints, sketched_cuts,
         score_fixed, score_nested, score_relative, score_totals, customer_segments, event_segments, strategies,
         segment_summary, tier_rollup, rf_matrix, value_classes, class_summary, concentration, top_share,
         by_attribute, by_nation, top_customers,

@@ -391,3 +391,7 @@ ORACLES |= {
         CAST(sum(CASE WHEN from_segment <> to_segment AND own_segment NOT IN (from_segment, to_segment) THEN customers ELSE 0 END) AS BIGINT) AS by_both
         FROM ({DECOMPOSED}) GROUP BY as_of""",
 }
+ORACLES |= {
+    "sketched_cuts": f"""SELECT CAST(year(as_of) AS INTEGER) AS year, indicator, CAST(cut_no AS INTEGER) AS cut_no, count(*) AS customers, TRUE AS within_error
+        FROM ({series(c.FIRST_MONTH)}), (SELECT unnest(['r', 'f', 'm']) AS indicator), (SELECT unnest(range(1, 5)) AS cut_no) GROUP BY ALL""",
+}
