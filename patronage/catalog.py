@@ -15,6 +15,7 @@ from patronage.session import materialize, scratch_path
 from patronage.sources import purchases as source
 from patronage.sources import sinks
 from patronage.streaming import purchases as stream
+from patronage.streaming import refunds as stream_refunds
 from patronage.streaming import state
 
 AS_OF = "2001-08-02"  # the day after the last order
@@ -413,8 +414,47 @@ def stream_segments(spark, directory):
         stream.running_indicators(purchases), EVENTS_AS_OF, scratch_path(session, "state"), found,
         scratch_path(session, "state-progress"),
     ).awaitTermination()
-    written = session.read.parquet(found)
-    return written.where(F.col("batch_id") == written.agg(F.max("batch_id")).scalar()).drop("batch_id")
+    return state.latest_segments(session, found).drop("batch_id")
+
+
+def with_refunds(purchases):
+    """Purchases and refunds made from them: some of a part, some of more than is left, some under an id without a sale.
+    Fits a batch and a stream."""
+    def refund(every: int, days: int, percent: int, txn: str = "txn_id"):
+        part = (F.col("amount") * F.lit(-percent) / 100).cast("decimal(18,2)")
+        made = F.struct("customer_id", F.expr(txn).cast("bigint").alias("txn_id"), F.expr(f"ts + INTERVAL {days} DAYS").alias("ts"), part.alias("amount"))
+        return F.when(F.col("txn_id") % every == 0, made)
+
+    own = F.struct("customer_id", "txn_id", "ts", "amount")
+    rows = F.array(own, refund(4, 1, 30), refund(8, 2, 50), refund(16, 3, 40), refund(50, 2, 10, "-txn_id - 1"))
+    return purchases.select(F.explode(F.array_compact(rows)).alias("row")).select("row.*").where("amount <> 0 OR txn_id >= 0")
+
+
+def rfm_base_net_events(spark, directory):
+    """The batch answer of ``stream_net``."""
+    rows = with_refunds(source.purchases_from_events(spark, directory))
+    return indicators.rfm_base(hygiene.clean_purchases(rows, EVENTS_AS_OF, settled=True), EVENTS_AS_OF)
+
+
+def stream_net(spark, directory):
+    """Indicators of a stream of purchases and refunds."""
+    incoming = _event_stream(spark, directory).where(F.col("ts") < F.lit(EVENTS_AS_OF).cast("timestamp"))
+    session = incoming.sparkSession
+    matched = stream.drain(stream_refunds.match_refunds(with_refunds(incoming).where(F.col("ts") < F.lit(EVENTS_AS_OF).cast("timestamp"))), "refunds")
+    table = state.state_table(session, scratch_path(session, "net-state"))
+    running = stream.running_indicators(stream.once_each(incoming, "40 days"))
+    table.follow(running, scratch_path(session, "net-progress")).awaitTermination()
+    return stream_refunds.net_base(table.read(), matched, EVENTS_AS_OF)
+
+
+def stream_state_table(spark, directory):
+    """Running indicators in a table of bounded size; every event arrives twice."""
+    first = _event_stream(spark, directory)
+    again = stream.purchase_stream(first.sparkSession, f"{directory}/events.parquet*")
+    running = stream.running_indicators(stream.once_each(first.unionByName(again), "40 days"))
+    table = state.state_table(first.sparkSession, scratch_path(spark, "state-table"), every=2)
+    table.follow(running, scratch_path(spark, "state-progress")).awaitTermination()
+    return table.read()
 
 
 def stream_weekly(spark, directory):
@@ -450,7 +490,7 @@ QUERIES: dict[str, Query] = {
         purchases_orders, purchases_by_status, purchases_events, purchases_net_of_returns,
         validity_summary, rejected_rows, rejected_text, dedup_shipments, observation_window,
         rfm_base, rfm_base_window, rfm_base_events, rfm_base_net, rfm_base_line_refunds, settled_purchases, rejected_refunds,
-        rfm_base_settled, net_revenue,
+        rfm_base_settled, rfm_base_net_events, net_revenue,
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
         score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints, sketched_cuts,
         score_fixed, score_nested, score_relative, score_totals, customer_segments, event_segments, strategies,
@@ -459,7 +499,7 @@ QUERIES: dict[str, Query] = {
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,
         migration_decomposed, trailing_decomposed, segment_flows, why_moved,
-        stream_indicators, stream_repeats, stream_segments, stream_weekly, stream_sliding, stream_sessions,
+        stream_indicators, stream_repeats, stream_state_table, stream_net, stream_segments, stream_weekly, stream_sliding, stream_sessions,
         clusters, kept_clusters, cluster_profile,
     )
 }

@@ -54,12 +54,12 @@ def base(purchases: str = ORDERS, as_of: str = c.AS_OF, start: str | None = None
     FROM ({purchases}) WHERE ts < DATE '{as_of}'{lower} GROUP BY customer_id"""
 
 
-def net_base(purchases: str) -> str:
+def net_base(purchases: str, as_of: str = c.AS_OF) -> str:
     """Refunds count in the revenue only, and do not make a customer."""
     return f"""SELECT customer_id, CAST(max(ts) FILTER (amount >= 0) AS DATE) AS last_purchase,
-        CAST(date_diff('day', CAST(max(ts) FILTER (amount >= 0) AS DATE), DATE '{c.AS_OF}') AS BIGINT) AS recency_days,
+        CAST(date_diff('day', CAST(max(ts) FILTER (amount >= 0) AS DATE), DATE '{as_of}') AS BIGINT) AS recency_days,
         count(*) FILTER (amount >= 0) AS frequency, CAST(sum(amount) AS DECIMAL(38,2)) AS monetary
-        FROM ({purchases}) WHERE ts < DATE '{c.AS_OF}' GROUP BY customer_id HAVING count(*) FILTER (amount >= 0) > 0"""
+        FROM ({purchases}) WHERE ts < DATE '{as_of}' GROUP BY customer_id HAVING count(*) FILTER (amount >= 0) > 0"""
 
 
 def ranked(rows: str, k: int = 5, over: str = "") -> str:
@@ -325,6 +325,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT *, DATE '{c.AS_OF}' AS as_of FROM ({SEGMENTS})""",
     "stream_indicators": STATE,
     "stream_repeats": STATE,
+    "stream_state_table": STATE,
     "stream_segments": segmented(ranked(base(EVENTS, c.EVENTS_AS_OF))),
     "stream_weekly": periods(1),
     "stream_sliding": periods(7),
@@ -395,3 +396,16 @@ ORACLES |= {
     "sketched_cuts": f"""SELECT CAST(year(as_of) AS INTEGER) AS year, indicator, CAST(cut_no AS INTEGER) AS cut_no, count(*) AS customers, TRUE AS within_error
         FROM ({series(c.FIRST_MONTH)}), (SELECT unnest(['r', 'f', 'm']) AS indicator), (SELECT unnest(range(1, 5)) AS cut_no) GROUP BY ALL""",
 }
+
+MADE_REFUNDS = " UNION ALL ".join(
+    f"SELECT customer_id, txn_id, ts + INTERVAL {days} DAY AS ts, CAST(amount * CAST(-{percent / 100} AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS amount FROM ({EVENTS}) WHERE txn_id % {every} = 0"
+    for every, days, percent in ((4, 1, 30), (8, 2, 50), (16, 3, 40))
+)
+#: What a sale still covers of each refund, by the totals of those before it.
+MADE_SETTLED = f"""SELECT * FROM ({EVENTS}) WHERE ts < DATE '{c.EVENTS_AS_OF}' UNION ALL SELECT customer_id, txn_id, ts, CAST(-least(-amount, room) AS DECIMAL(18,2))
+    FROM (SELECT r.*, greatest(s.amount + coalesce(sum(r.amount) OVER (PARTITION BY r.txn_id ORDER BY r.ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS room
+          FROM ({MADE_REFUNDS}) r JOIN ({EVENTS}) s ON s.txn_id = r.txn_id WHERE r.ts < DATE '{c.EVENTS_AS_OF}')"""
+ORACLES |= {
+    "rfm_base_net_events": net_base(MADE_SETTLED, c.EVENTS_AS_OF),
+    "stream_net": net_base(MADE_SETTLED, c.EVENTS_AS_OF),
+}

@@ -32,12 +32,12 @@ def utc_session(spark: SparkSession) -> SparkSession:
     return session
 
 
-def purchase_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Valid purchases from a folder (or a pattern of files) that event files arrive in."""
+def purchase_stream(spark: SparkSession, path: str, files_per_batch: int | None = None, net: bool = False) -> DataFrame:
+    """Valid purchases, and with ``net`` refunds, from a folder (or a pattern of files) that event files arrive in."""
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    valid, _ = split_valid(purchase_events(reader.parquet(path)))
+    valid, _ = split_valid(purchase_events(reader.parquet(path)), net)
     return valid.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

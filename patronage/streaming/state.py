@@ -16,7 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 from patronage.functions.columns import day_of, days_since
 from patronage.operators.scoring import score_rank
 from patronage.operators.segments import assign_segments
+from patronage.streaming.state_table import StateTable, current, publish, published, side_of
 
+CUSTOMER_STATE = "customer_id bigint, last_ts timestamp_ntz, frequency bigint, monetary decimal(38,2)"
 STATE = "customer_id bigint, last_ts timestamp_ntz, frequency bigint, monetary decimal(38,2), batch_id bigint"
 
 
@@ -68,41 +70,49 @@ def keep_state(indicators: DataFrame, path: str, checkpoint: str, **trigger) ->
     return follow(indicators, lambda df, batch_id: write_batch(df, batch_id, path), checkpoint, **trigger)
 
 
+def state_table(spark: SparkSession, path: str, every: int = 20) -> StateTable:
+    """The same state in a table whose size is bounded by the customers, not by the batches."""
+    return StateTable(spark, path, CUSTOMER_STATE, ["customer_id"], every)
+
+
 def keep_segments(
-    indicators: DataFrame, as_of: str | dt.date | None, state_path: str, segments_path: str, checkpoint: str,
-    compact_every: int = 20, **trigger,
+    indicators: DataFrame, as_of: str | dt.date | None, state_path: str, segments_path: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
     """Score all customers again after every micro-batch.
 
     Ranks need the whole population, which a streaming plan cannot order; each batch
     therefore updates the state and runs the ordinary batch scoring over it. Scores are as of
     the day after the newest purchase, or of ``as_of`` if that is later, so recency is
-    never negative. Every ``compact_every`` batches the log gets a row for every customer, and
-    later batches read no further back. What a batch scores is written to one place, which
-    the next batch reuses.
+    never negative. State and segments are each written whole, to the one of two sides that nobody reads, and then
+    published; ``latest_segments`` reads them. A batch that only moved the watermark writes nothing.
     """
     def rescore(changed: DataFrame, batch_id: int) -> None:
         spark = changed.sparkSession
-        write_batch(changed, batch_id, state_path)
-        written = spark.read.schema(STATE).parquet(state_path).where(F.col("batch_id") == batch_id)
-        if written.isEmpty() and batch_id % compact_every:  # a batch that only moved the watermark
+        table = state_table(spark, state_path, every=1)  # scoring passes over all customers, so each batch has its snapshot
+        table.write(changed, batch_id)
+        written = table.changes(batch_id)
+        if written is None or written.isEmpty():
             return
-        since = max(0, (batch_id - 1) // compact_every * compact_every)
-        state = latest_state(spark, state_path, batch_id, since)
-        state.write.mode("overwrite").parquet(f"{segments_path}-state")
-        state = spark.read.schema(state.schema).parquet(f"{segments_path}-state")
-        if not batch_id % compact_every:
-            write_batch(state, batch_id, state_path)
+        table.compact(batch_id)
+        _, state = current(spark, f"{state_path}/snapshot", table.schema)
         newest = state.agg(F.to_date(F.max("last_ts"))).first()[0]
         if newest is None:
             return
         day = newest + dt.timedelta(days=1)
         base = state_as_base(state, day if as_of is None else max(day, day_of(as_of)))
-        write_batch(assign_segments(score_rank(base)), batch_id, segments_path)
+        publish(assign_segments(score_rank(base)), segments_path, batch_id)
 
     return follow(indicators, rescore, checkpoint, **trigger)
 
 
+def latest_segments(spark: SparkSession, path: str) -> DataFrame:
+    """What the last batch scored, with its ``batch_id``."""
+    last = published(spark, path)
+    if last is None:
+        raise ValueError(f"no batch has been scored in {path}")
+    return spark.read.parquet(f"{path}/side-{side_of(spark, path, last)}")
+
+
 def follow(
     indicators: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str, **trigger
 ) -> StreamingQuery:
