@@ -8,7 +8,6 @@ knows that language. A text whose best language hardly beats the others is flagg
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,9 +37,8 @@ class Model(NamedTuple):
     trust: np.ndarray  # languages x bits
 
 
-@functools.cache
 def letters() -> np.ndarray:
-    """For each code point, whether it is a letter."""
+    """For each code point, whether it is a letter. Tasks get the table from the driver."""
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
 
 
@@ -67,32 +65,36 @@ def code_matrix(languages: int) -> np.ndarray:
     return best
 
 
-def gram_features(text: str) -> Iterator[np.ndarray]:
-    """The features of a text's n-grams, in blocks. Anything but letters counts as one space."""
-    known = letters()
+def gram_features(text: str, known: np.ndarray) -> Iterator[np.ndarray]:
+    """The features of a text's n-grams, in blocks; ``known`` is the table of letters. Anything but letters counts as one
+    space, also in front and behind. How a text falls into blocks makes no difference."""
     text = text.lower()
+    tail = np.zeros(1, dtype=np.uint64)
     for start in range(0, len(text), BLOCK_CHARS):
-        part = text[max(0, start - max(GRAMS) + 1) : start + BLOCK_CHARS]
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        points = np.frombuffer(text[start : start + BLOCK_CHARS].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         points = np.where(known[points], points, 0).astype(np.uint64)
-        keep = (points > 0) | (np.concatenate(([1], points[:-1])) > 0)
-        points = np.concatenate(([0], points[keep], [0])).astype(np.uint64)
+        points = points[(points > 0) | (np.concatenate((tail[-1:], points[:-1])) > 0)]
+        if start + BLOCK_CHARS >= len(text) and (points[-1] if len(points) else tail[-1]):
+            points = np.append(points, np.uint64(0))
+        joined = np.concatenate((tail, points))
         for n in GRAMS:
-            code = np.full(max(0, len(points) - n + 1), n, dtype=np.uint64)
+            own = joined[max(0, len(tail) - n + 1) :]  # what ends in the new points
+            code = np.full(max(0, len(own) - n + 1), n, dtype=np.uint64)
             for k in range(n):
-                code = (code + points[k : len(points) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+                code = (code + own[k : len(own) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
                 code ^= code >> np.uint64(29)
             yield (code >> np.uint64(20)).astype(np.int64) % FEATURES
+        tail = joined[-(max(GRAMS) - 1) :]
 
 
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def margins(text: str, model: Model) -> np.ndarray:
+def margins(text: str, model: Model, known: np.ndarray) -> np.ndarray:
     """For each bit, how much the n-grams speak for 1."""
     total, n = np.zeros(model.code.shape[1]), 0
-    for features in gram_features(text):
+    for features in gram_features(text, known):
         total += model.weights[features].sum(axis=0, dtype=np.float64)
         n += len(features)
     return total / max(n, 1) * min(n, MOST_EVIDENCE)
@@ -107,10 +109,10 @@ def decode(margin: np.ndarray, model: Model) -> tuple[int, float]:
     return best, float(odds[best] / odds.sum())
 
 
-def predict_text(text: str | None, model: Model) -> tuple[str, float]:
+def predict_text(text: str | None, model: Model, known: np.ndarray) -> tuple[str, float]:
     if not model.languages or not has_letter(text):
         return UNKNOWN, 0.0
-    best, score = decode(margins(text, model), model)
+    best, score = decode(margins(text, model, known), model)
     return model.languages[best], round(score, 6)
 
 
@@ -134,12 +136,14 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
     """
     sample = training_sample(labelled.where(F.col(lang).isNotNull()), id, lang, most).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
+    table = sample.sparkSession.sparkContext.broadcast(letters())  # one byte a code point
+
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, value in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 into = sums.setdefault(name, np.zeros(FEATURES, dtype=np.int64))
-                for features in gram_features(value or ""):
+                for features in gram_features(value or "", table.value):
                     into += np.bincount(features, minlength=FEATURES)
         for name, into in sums.items():
             at = np.flatnonzero(into)
@@ -161,15 +165,15 @@ def fit(labelled: DataFrame, id: str = "doc_id", text: str = "text", lang: str =
 
 def trusted(sample: DataFrame, model: Model) -> np.ndarray:
     """For each language, the weights of the bits: how often the bit's classifier is right on its texts."""
-    sent = sample.sparkSession.sparkContext.broadcast(model)  # features x bits numbers
+    sent = sample.sparkSession.sparkContext.broadcast((letters(), *model))  # features x bits numbers; plain arrays, which need no package to be read
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = sent.value
+        known, own = sent.value[0], Model(*sent.value[1:])
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for name, value in zip(batch["lang"].to_pylist(), batch["text"].to_pylist()):
                 row = own.code[own.languages.index(name)]
-                good = margins(value or "", own) * row > 0
+                good = margins(value or "", own, known) * row > 0
                 sums.setdefault(name, np.zeros(len(row) + 1))[:] += np.append(good, 1)
         for name, found in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(found)), pa.array(range(len(found)), pa.int32()), pa.array(found)], ["lang", "bit", "n"])
@@ -188,12 +192,13 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     A null text, one without a letter, and any text if nothing was learned is ``und`` with score 0 and
     not ambiguous. The text alone decides. Columns of these names already in ``docs`` are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # features x bits numbers
+    sent = docs.sparkSession.sparkContext.broadcast((letters(), *model))  # features x bits numbers
 
     @F.arrow_udf("struct<lang:string,score:double>")
     def predicted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, own = sent.value[0], Model(*sent.value[1:])
         for batch in batches:
-            found = [predict_text(value.as_py(), sent.value) for value in batch]
+            found = [predict_text(value.as_py(), own, known) for value in batch]
             yield pa.StructArray.from_arrays([pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["lang", "score"])
 
     found = F.col("language__")

@@ -61,9 +61,6 @@ class PieceLengths:
         self.known: dict[str, int] = {}
         self.library = None
 
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"known": {}, "library": None}
-
     def load(self):
         if self.library is None:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,17 +136,20 @@ def count_tokens(
     no tokens. Texts that contain a special token's string go to the library whole. Columns of
     these names already in ``docs`` are replaced. Repeated rows are counted each.
     """
-    table = PieceLengths(tokenizer, {}, cache_entries)
     names = [row["piece"] for row in frequent_pieces(docs, text, table_entries).collect()]  # at most table_entries
-    table.frequent = dict(zip(names, table.lengths([spoken(name) for name in names])))
-    sent = docs.sparkSession.sparkContext.broadcast(table)
+    lengths = PieceLengths(tokenizer, {}, cache_entries).lengths([spoken(name) for name in names])
+    # A plain dict, which workers can read without this package; each worker puts its own table with its cache beside it.
+    sent = docs.sparkSession.sparkContext.broadcast({"frequent": dict(zip(names, lengths))})
 
     @F.arrow_udf("long")
     def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        held = sent.value
+        if "table" not in held:
+            held["table"] = PieceLengths(tokenizer, held["frequent"], cache_entries)
         for batch in batches:
             found: list[int] = []
             for start in range(0, len(batch), 64):
-                found += sent.value.counts(batch.slice(start, 64).to_pylist())
+                found += held["table"].counts(batch.slice(start, 64).to_pylist())
             yield pa.array(found, pa.int64())
 
     return (

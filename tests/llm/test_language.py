@@ -60,10 +60,14 @@ def test_odd_rows_and_empty_table(make, odd):
 
 
 def test_blocks_of_long_texts(monkeypatch):
-    text = "the quick brown fox " * 50
-    whole = sum(len(f) for f in language.gram_features(text))
-    monkeypatch.setattr(language, "BLOCK_CHARS", 100)
-    assert abs(sum(len(f) for f in language.gram_features(text)) - whole) < 0.1 * whole
+    """Whatever the blocks, the same n-grams, also where one begins or ends with what is no letter."""
+    known = language.letters()
+    for text in ("the quick, brown fox " * 50, " ,.a", "ab", "  ", "a" * 301, ("x" * 99 + " ") * 3):
+        whole = np.sort(np.concatenate(list(language.gram_features(text, known))))
+        for block in (1, 2, 7, 100):
+            monkeypatch.setattr(language, "BLOCK_CHARS", block)
+            assert np.array_equal(whole, np.sort(np.concatenate(list(language.gram_features(text, known)))))
+        monkeypatch.undo()
 
 
 def test_prediction_ignores_other_columns(sample):
