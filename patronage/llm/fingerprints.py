@@ -2,27 +2,27 @@
 
 A sketch keeps every shingle hash below a fixed fraction of the hash range, so its size follows
 the document's, the sketch of a union is the union of the sketches, and the containment of a
-short document in a long one is estimated as well as that of equals. Too few hashes of a short document
-are kept for that: where texts are at hand, all its shingles are compared.
+short document in a long one is estimated as well as that of equals. How much a short text's likeness can be
+off follows from the number of its shingles: see ``likeness``.
 
 Only DataFrame functions.
 """
 
 from __future__ import annotations
 
-from decimal import Decimal
+import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE_WORDS = 5
-#: Hashes have so many bits, and those below 2 ** (HASH_BITS - FRACTION_BITS) are kept: one in eight.
-HASH_BITS, FRACTION_BITS = 48, 3
-#: Up to so many shingles in the smaller text, likeness is counted over all shingles of both.
-COUNTED_SHINGLES = 512
+#: Hashes have so many bits, and those below 2 ** (HASH_BITS - FRACTION_BITS) are kept: one in two.
+HASH_BITS, FRACTION_BITS = 48, 1
 WHITE = " \t\n\x0b\x0c\r"
-#: Documents in a range of ids that is brought in order together.
+#: Documents in a range of ids that is brought in order together, about.
 RANGE_ROWS = 1024
+#: Quantiles of the ids that ranges are made from (a square), and their accuracy.
+QUANTILES, ACCURACY = 1024, 20_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -71,15 +71,12 @@ def containment(a: Column, b: Column) -> Column:
 
 
 def likeness(mark_a: Column, a: Column, mark_b: Column, b: Column) -> Column:
-    """Containment, 0 to 1: 1 for equal sequences of words, 0 where a sketch is empty otherwise."""
-    return F.when(mark_a == mark_b, F.lit(1.0)).otherwise(F.coalesce(containment(a, b), F.lit(0.0)))
-
+    """Containment, 0 to 1: 1 for equal sequences of words, 0 where a sketch is empty otherwise.
 
-def near(mark_a: Column, every_a: Column, a: Column, mark_b: Column, every_b: Column, b: Column) -> Column:
-    """Likeness, counted over all shingles where the smaller text has few, estimated from the sketches elsewhere."""
-    few = F.least(F.size(every_a), F.size(every_b)) <= COUNTED_SHINGLES
-    counted = likeness(mark_a, F.array_distinct(every_a), mark_b, F.array_distinct(every_b))
-    return F.when(few, counted).otherwise(likeness(mark_a, a, mark_b, b))
+    From a text of ``n`` distinct shingles, a containment ``c`` is estimated with a standard error of about ``sqrt(c (1 - c) / n)``,
+    since one hash in two is kept. A text of n shingles has an empty sketch with a chance of ``2 ** -n``.
+    """
+    return F.when(mark_a == mark_b, F.lit(1.0)).otherwise(F.coalesce(containment(a, b), F.lit(0.0)))
 
 
 def merged(sketches: DataFrame, by: list[str], kept: str = "sketch") -> DataFrame:
@@ -103,7 +100,38 @@ def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, id: str, carried: list[str], range_rows: int = RANGE_ROWS) -> DataFrame:
+def in_ranges(docs: DataFrame, id: str, carried: list[str], range_rows: int | None = None) -> DataFrame:
+    """``docs`` with ``tie__`` and ``range__``: numbers that grow with the id, then the tie, each for about ``range_rows`` rows.
+
+    Approximate quantiles of the ids make intervals of about equal numbers of rows, however the ids are spread; each is divided evenly
+    by id, and ids that fill intervals of their own by the tie, a hash of what is carried. Null ids come below all others, divided
+    by the tie as well.
+    """
+    places = ",".join(str(i / QUANTILES) for i in range(1, QUANTILES))
+    n, low, high, bounds = docs.agg(F.count("*"), F.min(id), F.max(id), F.expr(f"percentile_approx({id}, array({places}), {ACCURACY})")).first()
+    edges = [low, *bounds, high] if bounds else [0, *[0] * (QUANTILES - 1), 0]
+    parts = max(1, -(-n // (QUANTILES * (range_rows or RANGE_ROWS))))
+    times = [edges[1:-1].count(edge) for edge in edges]
+
+    def constants(values: list[int]) -> Column:
+        return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+    step, wanted = math.isqrt(QUANTILES), F.col(id)
+    upper, inner = constants(edges[step:-1:step]), constants(edges[1:])
+    coarse = F.size(F.filter(upper, lambda edge: edge < wanted)) * step
+    slot = coarse + F.size(F.filter(F.slice(inner, coarse + 1, step - 1), lambda edge: edge < wanted))
+    rows = docs.withColumn("tie__", F.xxhash64(*carried)).withColumn("slot__", slot)
+    lo, hi, many = (F.get(constants(values), F.col("slot__")) for values in (edges, edges[1:], times[1:]))
+    exact = lambda c: c.cast("decimal(20,0)")
+    along = F.floor((exact(wanted) - exact(lo)) * parts / F.nullif(exact(hi) - exact(lo), F.lit(0).cast("decimal(20,0)")))
+    share = F.shiftright("tie__", 32) + F.lit(1 << 31)  # of 2 ** 32, in the order of the tie
+    alone = F.lit(parts) + F.shiftright(share * F.least(many * parts, F.lit(1 << 30)), 32)
+    part = F.when((wanted == hi) & (many > 1), alone).otherwise(F.least(F.coalesce(along, F.lit(0)).cast("long"), F.lit(parts - 1)))
+    nulls = F.shiftright("tie__", 52).cast("long") - 2049
+    return rows.withColumn("range__", F.when(wanted.isNull(), nulls).otherwise(F.col("slot__").cast("long") * ((QUANTILES + 2) * parts) + part)).drop("slot__")
+
+
+def with_next(docs: DataFrame, id: str, carried: list[str], range_rows: int | None = None) -> DataFrame:
     """``docs`` with ``next``, a struct of the ``carried`` columns of the next row by descending id;
     after the last row, of the first.
 
@@ -111,14 +139,7 @@ def with_next(docs: DataFrame, id: str, carried: list[str], range_rows: int = RA
     about ``range_rows`` rows are ordered by themselves. Each range gets a copy of the row that
     follows it, the first one of the range below, so everything carried moves once.
     """
-    n, low, high = docs.agg(F.count("*"), F.min(id), F.max(id)).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, -(-(high - low + 1) * range_rows // max(n, 1)))
-    tie = F.xxhash64(*carried)
-    nulls = F.shiftright("tie__", 52).cast("long") - 2049  # ranges of the hash, below those of ids
-    place = F.floor((F.col(id).cast("decimal(20,0)") - F.lit(Decimal(low))) / F.lit(Decimal(width)))
-    ranges = F.coalesce(place.cast("long"), nulls)
-    rows = docs.withColumn("tie__", tie).withColumn("range__", ranges)
+    rows = in_ranges(docs, id, carried, range_rows)
     order = [F.col(id).desc_nulls_last(), F.col("tie__").desc()]
     numbers = rows.select("range__").distinct()
     above = F.coalesce(F.lag("range__").over(Window.orderBy(F.desc("range__"))), F.min("range__").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -143,14 +164,13 @@ def edited_likeness(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
     printed = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", edited)
     for name, of in (("own", F.col("text")), ("edited", F.col("edited")), ("next", F.col("next.text"))):
-        hashes, every = F.col(f"{name}_hashes"), F.col(f"{name}_shingles")
-        printed = printed.withColumn(f"{name}_hashes", word_hashes(of)).withColumn(f"{name}_digest", digest(hashes))
-        printed = printed.withColumn(f"{name}_shingles", shingles(hashes)).withColumn(f"{name}_sketch", kept_of(every))
-    parts = {name: [F.col(f"{name}_{part}") for part in ("digest", "shingles", "sketch")] for name in ("own", "edited", "next")}
+        hashes = F.col(f"{name}_hashes")
+        printed = printed.withColumn(f"{name}_hashes", word_hashes(of)).withColumn(f"{name}_digest", digest(hashes)).withColumn(f"{name}_sketch", sketch(hashes))
+    parts = {name: [F.col(f"{name}_{part}") for part in ("digest", "sketch")] for name in ("own", "edited", "next")}
     return printed.select(
         F.col("id").alias(id), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
         written(F.col("own_digest"), F.col("own_sketch")).alias("fingerprint"),
         written(F.col("edited_digest"), F.col("edited_sketch")).alias("edited_fingerprint"),
-        near(*parts["own"], *parts["edited"]).alias("near_edited"),
-        near(*parts["own"], *parts["next"]).alias("near_next"),
+        likeness(*parts["own"], *parts["edited"]).alias("near_edited"),
+        likeness(*parts["own"], *parts["next"]).alias("near_next"),
     )
