@@ -350,9 +350,40 @@ def leaks(
     return aligned.groupBy("id", "key", "item_id").agg(best.alias("best")).select(F.col("id").alias(id), "key", "item_id", "best.*")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", short_items: bool = False) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    found = leaks(docs, benchmark, id, text, short_items=short_items).select(F.col(id).alias("found_id"), F.col("key").alias("found_key")).distinct()
+def whole_parts(docs: DataFrame, text: str) -> Column:
+    """The lines and sentences of a text."""
+    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
+    return F.flatten(F.transform(lines, lambda line: F.concat(F.array(line), F.split(line, r"(?<=[.!?:][\"')\]]{0,1})[ \t]+"))))
+
+
+def folded(text: Column) -> Column:
+    """A text without case, and with one space for what is no letter and no digit."""
+    return F.btrim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
+
+
+def clean(
+    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", short_items: bool = False, item_id: str = "item_id", item_text: str = "text"
+) -> DataFrame:
+    """The documents that hold no benchmark item, with all their columns.
+
+    With ``short_items``, an item of fewer than ``SHORTEST_ITEM`` words says something about a document only where a
+    line or a sentence of it is the item, but for case and punctuation; elsewhere its words are anybody's, and the document stays.
+    Longer items count wherever they are found. Nulls and empty texts hold nothing; ids may repeat or be
+    null, since documents are told apart by id and text.
+    """
+    found = leaks(docs, benchmark, id, text, item_id, item_text, short_items).select(F.col(id).alias("found_id"), F.col("key").alias("found_key"), "item_id", "matched_words")
+    long = found.where(F.col("matched_words") >= SHORTEST_ITEM).select("found_id", "found_key").distinct()
     marked = docs.withColumn("key__", F.xxhash64(text))
     same = marked[id].eqNullSafe(F.col("found_id")) & (F.col("key__") == F.col("found_key"))
-    return marked.join(found, same, "left_anti").select(*docs.columns)
+    if short_items:
+        # an item is named by the smallest of its ids, and so is found under that
+        items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), folded(F.col(item_text)).alias("item"))
+        short = found.where(F.col("matched_words") < SHORTEST_ITEM).join(items, "item_id").groupBy("found_id", "found_key").agg(F.collect_set("item").alias("items"))
+        parts = marked.select(id, "key__", F.transform(whole_parts(docs, text), folded).alias("parts"))
+        alone = parts.join(short, same_key(parts, id)).where(F.arrays_overlap("parts", "items")).select("found_id", "found_key")
+        long = long.unionAll(alone).distinct()
+    return marked.join(long, same, "left_anti").select(*docs.columns)
+
+
+def same_key(docs: DataFrame, id: str) -> Column:
+    return docs[id].eqNullSafe(F.col("found_id")) & (docs["key__"] == F.col("found_key"))

@@ -1,5 +1,7 @@
 """Benchmark items in documents: planted copies, re-parameterised ones, and near misses."""
 
+import re
+
 import pytest
 from texts import words
 
@@ -107,4 +109,21 @@ def test_exact_copies_of_short_unspaced_and_placeholder_items(make, bench):
     ])
     found = sorted((r.doc_id, r.item_id, r.kind) for r in decontaminate.leaks(docs, items, short_items=True).collect())
     assert found == [(1, 0, "verbatim"), (2, 1, "verbatim"), (3, 2, "verbatim"), (4, 3, "verbatim"), (5, 4, "verbatim")]
-    assert {r.doc_id for r in decontaminate.clean(docs, items, short_items=True).collect()} == {6, 7}
+    # two words in the midst of others are anybody's
+    assert {r.doc_id for r in decontaminate.clean(docs, items, short_items=True).collect()} == {1, 6, 7}
+
+
+def test_short_items_remove_only_documents_with_a_line_or_sentence_of_them(make, bench, spark, testdata):
+    items = bench("the", "Two plus two?", "Yes")
+    docs = make([
+        (1, "the cat and the dog"), (2, "first\n The. \nlast"), (3, "Well. Two plus two? Four."), (4, "so two plus two make four"), (5, "YES"), (None, "He said yes"),
+        (7, None), (7, "it is (two plus two)"), (7, "(Two plus two?)"), (8, "Yesterday. the"), (9, "Yesterday"),
+    ])
+    assert sorted((r.doc_id or 0, r.text or "") for r in decontaminate.clean(docs, items, short_items=True).collect()) == [
+        (0, "He said yes"), (1, "the cat and the dog"), (4, "so two plus two make four"), (7, ""), (7, "it is (two plus two)"), (9, "Yesterday"),
+    ]
+    table = spark.read.parquet(f"{testdata}/sf0.001/documents.parquet")
+    fold = lambda part: re.sub(r"[\W_]+", " ", part.lower()).strip()
+    alone = {r.doc_id for r in table.collect() if any(fold(p) == "the" for line in r.text.split("\n") for p in [line, *re.split(r"(?<=[.!?:])[ \t]+", line)])}
+    kept = {r.doc_id for r in decontaminate.clean(table, bench("the"), short_items=True).collect()}
+    assert kept == {r.doc_id for r in table.collect()} - alone and len(kept) > 150
