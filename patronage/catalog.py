@@ -286,6 +286,14 @@ def concentration(spark, directory):
     return reports.pareto(_base(spark, directory))
 
 
+def concentration_by_region(spark, directory):
+    return reports.pareto(reports.with_region(_base(spark, directory), *_dimensions(spark, directory)), ["r_name"])
+
+
+def concentration_by_month(spark, directory):
+    return reports.pareto(monthly_snapshots(spark, directory), ["as_of"])
+
+
 def top_share(spark, directory):
     return reports.top_share(_base(spark, directory))
 
@@ -473,7 +481,7 @@ def stream_sessions(spark, directory):
 
 
 def clusters(spark, directory):
-    return clustering.cluster_customers(_base(spark, directory))
+    return clustering.fit_clusters(_base(spark, directory))
 
 
 def kept_clusters(spark, directory):
@@ -494,7 +502,8 @@ QUERIES: dict[str, Query] = {
         non_buyers, all_customers, average_order_values, purchase_rate, purchase_gaps,
         score_rank, score_rank_ten, score_ntile, score_fitted, fitted_cutpoints, score_kept_cutpoints, sketched_cuts,
         score_fixed, score_nested, score_relative, score_totals, customer_segments, event_segments, strategies,
-        segment_summary, tier_rollup, rf_matrix, value_classes, class_summary, concentration, top_share,
+        segment_summary, tier_rollup, rf_matrix, value_classes, class_summary, concentration, concentration_by_region,
+        concentration_by_month, top_share,
         by_attribute, by_nation, top_customers,
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,

@@ -18,6 +18,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 
+from patronage.session import materialize
+
 #: Weights carry two more decimals than money: a position may be a percentage of a total,
 #: and Spark would otherwise round it to the scale of the weights when comparing.
 WEIGHT_TYPE = "decimal(38,4)"
@@ -154,31 +156,38 @@ def exact_cuts(
     )
 
 
-def running_totals(rows: DataFrame, value: str, weight: str) -> DataFrame:
-    """For every distinct value: rows, weight, and the exact totals of all larger values.
+def running_totals(rows: DataFrame, value: str, weight: str, groups: Sequence[str] = ()) -> DataFrame:
+    """For every group and distinct value: rows, weight, and the exact totals of all larger values of the group.
 
-    The distinct values are spread evenly over intervals, however many rows share one, and summed in parallel; only the
-    interval totals meet in one task, and they are broadcast back.
+    Rows are reduced to distinct values once, and written; a group's values are spread evenly over intervals of its
+    own, however many rows share one, and summed in parallel. Only interval totals meet in one task per group, and are joined back:
+    broadcast for up to ``FEW_GROUPS`` groups, else by a shuffle. NULL is a group like any other.
     """
+    keys = "".join(f"{g}, " for g in groups)
+    counted = materialize(
+        rows.sparkSession.sql(f"SELECT {keys} {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL", rows=rows), "distinct-values"
+    )
+    few = not groups or few_groups(counted, groups)
+    partition = f"PARTITION BY {', '.join(groups)}" if groups else ""
+    of_summed = "".join(f"summed.{g}, " for g in groups)
     return rows.sparkSession.sql(
         f"""
-        WITH counted AS (SELECT {value} AS v, count(*) AS n, sum({weight}) AS w FROM {{rows}} GROUP BY ALL),
-        fences AS (SELECT {fences_sql("CAST(v AS DOUBLE)", spread())} FROM counted),
-        valued AS (SELECT v, n, w, coalesce(CAST(v AS DOUBLE), 0D) AS d FROM counted),
-        {slots_sql("valued", (), len(spread()), True)},
-        slots AS (SELECT slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY slot),
+        WITH fences AS (SELECT {keys} {fences_sql("CAST(v AS DOUBLE)", spread())} FROM {{counted}} GROUP BY ALL),
+        valued AS (SELECT {keys} v, n, w, coalesce(CAST(v AS DOUBLE), 0D) AS d FROM {{counted}}),
+        {slots_sql("valued", groups, len(spread()), True, few)},
+        slots AS (SELECT {keys} slot, sum(n) AS slot_n, sum(w) AS slot_w FROM placed GROUP BY ALL),
         offsets AS (
-            SELECT slot,
-                sum(slot_n) OVER (ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_n AS n_ahead,
-                sum(slot_w) OVER (ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_w AS w_ahead
+            SELECT {keys} slot,
+                sum(slot_n) OVER ({partition} ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_n AS n_ahead,
+                sum(slot_w) OVER ({partition} ORDER BY slot DESC ROWS UNBOUNDED PRECEDING) - slot_w AS w_ahead
             FROM slots),
         summed AS (
-            SELECT *, sum(n) OVER (PARTITION BY slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS n_here,
-                sum(w) OVER (PARTITION BY slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS w_here
+            SELECT *, sum(n) OVER (PARTITION BY {keys} slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS n_here,
+                sum(w) OVER (PARTITION BY {keys} slot ORDER BY v DESC ROWS UNBOUNDED PRECEDING) AS w_here
             FROM placed)
-        SELECT /*+ BROADCAST(offsets) */ v AS {value}, n AS n_rows, w AS weight,
+        SELECT {"/*+ BROADCAST(offsets) */" if few else ""} {of_summed} v AS {value}, n AS n_rows, w AS weight,
             n_ahead + n_here - n AS rows_above, w_ahead + w_here - w AS weight_above
-        FROM summed JOIN offsets USING (slot)
+        FROM summed JOIN offsets ON {same_group("summed", "offsets", [*groups, "slot"])}
         """,
-        rows=rows,
+        counted=counted,
     )

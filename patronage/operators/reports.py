@@ -98,10 +98,11 @@ def class_summary(classes: DataFrame) -> DataFrame:
     )
 
 
-def pareto(base: DataFrame) -> DataFrame:
+def pareto(base: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """The concentration curve: for each distinct revenue value, how many customers have
-    it, the rank they share, and the revenue of everyone ahead."""
-    return running_totals(base, "monetary", "monetary").select(
+    it, the rank they share, and the revenue of everyone ahead. With ``by``, a curve for each group."""
+    return running_totals(base, "monetary", "monetary", by).select(
+        *by,
         "monetary",
         F.col("n_rows").alias("customers"),
         (F.col("rows_above") + 1).alias("revenue_rank"),
@@ -110,6 +111,14 @@ def pareto(base: DataFrame) -> DataFrame:
     )
 
 
+def with_region(base: DataFrame, customer: DataFrame, nation: DataFrame, region: DataFrame) -> DataFrame:
+    """``base`` with each customer's ``r_name``; what the tables do not tell is ``(unknown)``. Spark chooses the joins by size."""
+    places = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", "r_name")
+    lives = customer.select(F.col("c_custkey").alias("customer_id"), "c_nationkey").join(places, F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    named = base.join(lives.select("customer_id", "r_name"), "customer_id", "left")
+    return named.withColumn("r_name", F.coalesce("r_name", F.lit(UNKNOWN)))
+
+
 def top_share(base: DataFrame, percents: Sequence[int] = (1, 5, 10, 20, 50)) -> DataFrame:
     """Revenue held by the best 1%, 5%, ... of customers (their number rounded up).
 

@@ -409,3 +409,42 @@ ORACLES |= {
     "rfm_base_net_events": net_base(MADE_SETTLED, c.EVENTS_AS_OF),
     "stream_net": net_base(MADE_SETTLED, c.EVENTS_AS_OF),
 }
+
+
+def curves(rows: str, by: str) -> str:
+    """The concentration curve of each group, by windows over whole groups."""
+    ahead = f"OVER (PARTITION BY {by} ORDER BY monetary DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""SELECT DISTINCT {by}, monetary, count(*) OVER (PARTITION BY {by}, monetary) AS customers,
+        rank() OVER (PARTITION BY {by} ORDER BY monetary DESC) AS revenue_rank,
+        CAST(sum(monetary) {ahead} - sum(monetary) OVER (PARTITION BY {by}, monetary) AS DECIMAL(38,2)) AS revenue_above,
+        CAST(sum(monetary) {ahead} AS DECIMAL(38,2)) AS revenue_through FROM ({rows})"""
+
+
+def fitted_clusters(k: int = 5, rounds: int = 10) -> str:
+    """Lloyd's rounds from the definition: all distances, the least, floored means, one round after the other."""
+    places = ("r", "f", "m")
+    logs = ", ".join(f"{sign}CAST(floor(ln(1 + greatest(CAST({v} AS DOUBLE), 0)) * 1000000 + 0.5) AS BIGINT) AS l{i}"
+                     for i, sign, v in (("r", "-", "recency_days"), ("f", "", "frequency"), ("m", "", "monetary")))
+    units = ", ".join(
+        f"CAST(floor(CAST(l{i} * (SELECT count(*) FROM logs) - (SELECT CAST(sum(l{i}) AS BIGINT) FROM logs) AS DOUBLE) * 1000.0 / sqrt(CAST("
+        f"(SELECT count(*) * sum(CAST(l{i} AS HUGEINT) * l{i}) - sum(l{i}) * sum(l{i}) FROM logs) AS DOUBLE)) + 0.5) AS BIGINT) AS {i}" for i in places)
+    quantiles = ", ".join(f"max({i}) FILTER (p{i} = ((2 * j + 1) * n + {2 * k - 1}) // {2 * k}) AS {i}" for i in places)
+    ranks = ", ".join(f"row_number() OVER (ORDER BY {i}) AS p{i}" for i in places)
+    parts = [
+        f"base AS MATERIALIZED ({base()})", f"logs AS MATERIALIZED (SELECT *, {logs} FROM base)", f"points AS MATERIALIZED (SELECT *, {units} FROM logs)",
+        f"c0 AS MATERIALIZED (SELECT CAST(j AS INTEGER) AS c, {quantiles} FROM (SELECT *, count(*) OVER () AS n, {ranks} FROM points), (SELECT unnest(range({k})) AS j) GROUP BY j)",
+    ]
+    away = " + ".join("(p.{0} - q.{0}) * (p.{0} - q.{0})".format(i) for i in places)
+    for n in range(rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT p.*, c FROM points p, c{n} q QUALIFY row_number() OVER (PARTITION BY customer_id ORDER BY {away}, c) = 1)")
+        means = ", ".join(f"CAST((sum({i}) - ((sum({i}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS {i}" for i in places)
+        parts.append(f"c{n + 1} AS MATERIALIZED (SELECT q.c, {', '.join(f'coalesce(t.{i}, q.{i}) AS {i}' for i in places)} FROM c{n} q LEFT JOIN (SELECT c, {means} FROM a{n} GROUP BY c) t USING (c))")
+    return f"WITH {', '.join(parts)} SELECT customer_id, last_purchase, recency_days, frequency, monetary, c AS cluster FROM a{rounds}"
+
+
+ORACLES |= {
+    "concentration_by_region": curves(f"""SELECT coalesce(r_name, '(unknown)') AS r_name, monetary FROM ({base()}) LEFT JOIN customer ON c_custkey = customer_id
+        LEFT JOIN nation ON n_nationkey = c_nationkey LEFT JOIN region ON r_regionkey = n_regionkey""", "r_name"),
+    "concentration_by_month": curves(series(c.FIRST_MONTH), "as_of"),
+    "clusters": fitted_clusters(),
+}

@@ -22,8 +22,8 @@ def test_entry_has_every_query():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
 
 
-def test_only_clustering_has_no_sql():
-    assert set(QUERIES) - set(ORACLES) == {"clusters"}
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
 
 
 def test_clusters_cover_every_customer(spark, sf_dir):

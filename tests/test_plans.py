@@ -79,3 +79,17 @@ def test_top_customers_limits_before_the_shuffle(base):
 def test_no_python_in_the_plan(spark, sf_dir, name):
     text = plan(catalog.QUERIES[name](spark, sf_dir))
     assert "Python" not in text and "Pandas" not in text and "Arrow" not in text and "CartesianProduct" not in text
+
+
+def test_concentration_reads_the_base_once(base, monkeypatch):
+    """Distinct values are written by one pass; the curve reads those."""
+    path = base.inputFiles()[0].rsplit("/", 1)[0]
+    assert path not in plan(reports.pareto(base), "formatted")
+
+
+def test_grouped_concentration_has_no_window_over_a_whole_group(spark, sf_dir):
+    text = plan(catalog.QUERIES["concentration_by_month"](spark, sf_dir))
+    for line in text.splitlines():
+        if "Window [" in line and "n_here" in line:
+            assert "slot" in line.split("],")[1]
+    assert "SinglePartition" not in text
