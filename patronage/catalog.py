@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patronage.functions.columns import average_order_value, rfm_total
-from patronage.operators import clustering, history, hygiene, indicators, refunds, reports, scoring, segments, sketches
+from patronage.operators import clustering, history, hygiene, indicators, kept_history, refunds, reports, scoring, segments, sketches, slice_rules
+from patronage.operators import distinct_buyers as buyers
 from patronage.plans.dashboard import dashboard_tables
 from patronage.plans.segmentation import customer_base, segment_customers
 from patronage.session import materialize, scratch_path
@@ -22,6 +23,7 @@ AS_OF = "2001-08-02"  # the day after the last order
 EVENTS_AS_OF = "2024-01-31"
 EARLIER = "2001-05-01"
 FIRST_MONTH, LAST_MONTH = "1996-01-01", "2001-08-01"
+KEPT_FIRST = "2000-08-01"
 FIXED_CUTS = {"r": [390, 220, 123, 54], "f": [7, 9, 11, 13], "m": [1500000, 2000000, 2500000, 3000000]}
 #: Days, purchases and revenue of clusters that are kept.
 CENTRES = [(30, 14, 3500000), (60, 9, 2200000), (300, 11, 2800000), (400, 6, 1400000)]
@@ -388,6 +390,55 @@ def stored_snapshots(spark, directory):
     return sinks.read_snapshots(spark, path)
 
 
+def kept_snapshots(spark, directory):
+    """A history of one year, to which its months are added one by one."""
+    kept = kept_history.KeptHistory(spark, scratch_path(spark, "kept-history"), KEPT_FIRST)
+    purchases = _orders(spark, directory)
+    for months in range(13):
+        day = kept_history.month_after(kept.first, months)
+        kept.add_month(hygiene.clean_purchases(purchases, day, unique=True), day)
+    return kept.snapshots()
+
+
+def bucketed_migration(spark, directory):
+    """Moves between two stored snapshots that are dealt by customer alike."""
+    tables = []
+    for day in (EARLIER, AS_OF):
+        path = scratch_path(spark, "bucketed")
+        tables.append(f"patronage_{path.rsplit('-', 1)[1]}")
+        sinks.write_bucketed(_segments(spark, directory, day), tables[-1], path, 8)
+    return history.migration(*[spark.table(name) for name in tables])
+
+
+def _buyers(spark: SparkSession, directory: str) -> DataFrame:
+    named = reports.with_region(_seen_orders(spark, directory, AS_OF), *_dimensions(spark, directory))
+    return named.withColumn("quarter", F.date_trunc("quarter", F.col("ts").cast("timestamp")).cast("date")).withColumn("large", F.col("amount") >= 200000)
+
+
+def distinct_buyers(spark, directory):
+    """Buyers by quarter, region and size of purchase, at every level."""
+    by = ["quarter", "r_name", "large"]
+    bitmaps = materialize(buyers.buyer_bitmaps(_buyers(spark, directory), by), "bitmaps")
+    return buyers.distinct_buyers(bitmaps, by)
+
+
+def _slice_rules(spark: SparkSession, directory: str) -> DataFrame:
+    """A rule set for each region; where its bounds lie follows from the region's number."""
+    regions = source.table(spark, directory, "region").select(F.col("r_name").alias("slice"), F.col("r_regionkey").cast("bigint").alias("k"))
+    rule = lambda name, *bounds: F.struct(F.lit(name).alias("segment"), *[F.expr(b).cast("bigint").alias(c) for b, c in zip(bounds, slice_rules.BOUNDS)])
+    rules = F.array(
+        rule("active", "NULL", "60 + 30 * k", "8 + k", "NULL"), rule("recent", "NULL", "60 + 30 * k", "NULL", "7 + k"),
+        rule("lapsed", "61 + 30 * k", "NULL", "NULL", "3"), rule("fading", "61 + 30 * k", "400", "4", "NULL"), rule("lost", "401", "NULL", "4", "NULL"),
+    )
+    return regions.select("slice", F.explode(rules).alias("rule")).select("slice", "rule.*")
+
+
+def segments_by_region(spark, directory):
+    """Segments by rules on days and purchases, other ones in each region."""
+    base = reports.with_region(_base(spark, directory), *_dimensions(spark, directory))
+    return slice_rules.assign_by_slice(base, _slice_rules(spark, directory), "r_name").select("customer_id", "r_name", "recency_days", "frequency", "segment")
+
+
 # Streams
 
 
@@ -507,7 +558,8 @@ QUERIES: dict[str, Query] = {
         by_attribute, by_nation, top_customers,
         monthly_snapshots, trailing_snapshots, segment_series, migration, monthly_migration,
         trailing_migration, migration_from_series, stored_snapshots,
-        migration_decomposed, trailing_decomposed, segment_flows, why_moved,
+        migration_decomposed, trailing_decomposed, segment_flows, why_moved, kept_snapshots, bucketed_migration,
+        distinct_buyers, segments_by_region,
         stream_indicators, stream_repeats, stream_state_table, stream_net, stream_segments, stream_weekly, stream_sliding, stream_sessions,
         clusters, kept_clusters, cluster_profile,
     )

@@ -18,7 +18,7 @@ import operator
 from collections.abc import Callable, Mapping, Sequence
 from decimal import ROUND_HALF_UP, Decimal, localcontext
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -237,8 +237,29 @@ def score_ntile(base: DataFrame, k: int = 5) -> DataFrame:
     return base.selectExpr(*base.columns, *[f"{score(i)} AS {i}_score" for i in INDICATORS])
 
 
+def _histogram_cuts(counts: DataFrame, value: Column, by: Sequence[str], indicator: str, k: int) -> DataFrame:
+    """The cuts of ``rank_cuts`` for an indicator with few distinct values, from a table of (by..., value, n).
+
+    Windows run over distinct days, or numbers of purchases, however many customers share one.
+    """
+    in_order = Window.partitionBy(*by).orderBy("good")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = counts.groupBy(*by, value.alias("good")).agg(F.sum("n").alias("n"))
+    summed = rows.select(*by, "good", F.sum("n").over(so_far).alias("through"), F.sum("n").over(Window.partitionBy(*by)).alias("total"))
+    reached = [F.min(F.when(F.col("through") * k >= F.col("total") * j, F.col("good"))) for j in range(1, k)]
+    cuts = [(-cut - 1 if indicator == "r" else cut).cast(CUT) for cut in reached]
+    return materialize(summed.groupBy(*by).agg(F.array(*cuts).alias(f"{indicator}_cuts")), "cuts")
+
+
 def score_nested(base: DataFrame, k: int = 5) -> DataFrame:
-    """Frequency scored within each recency score, monetary value within both."""
-    by_r = score_rank(base, k, indicators=["r"])
-    by_rf = score_rank(by_r, k, by=["r_score"], indicators=["f"])
+    """Frequency scored within each recency score, monetary value within both.
+
+    One pass counts customers by days and purchases; both cuts follow from these counts. Only money takes a search.
+    """
+    counts = materialize(base.groupBy("recency_days", "frequency").agg(F.count("*").alias("n")), "days-and-purchases")
+    r_cuts = _histogram_cuts(counts, -F.col("recency_days"), (), "r", k)
+    counts_by_r = apply_cutpoints(counts, r_cuts, k, indicators=["r"])
+    f_cuts = _histogram_cuts(counts_by_r, F.col("frequency"), ["r_score"], "f", k)
+    by_r = apply_cutpoints(base, r_cuts, k, indicators=["r"])
+    by_rf = apply_cutpoints(by_r, f_cuts, k, by=["r_score"], indicators=["f"])
     return score_rank(by_rf, k, by=["r_score", "f_score"], indicators=["m"])

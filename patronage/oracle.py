@@ -448,3 +448,20 @@ ORACLES |= {
     "concentration_by_month": curves(series(c.FIRST_MONTH), "as_of"),
     "clusters": fitted_clusters(),
 }
+
+REGIONS = f"""({base()}) LEFT JOIN customer ON c_custkey = customer_id LEFT JOIN nation ON n_nationkey = c_nationkey
+    LEFT JOIN region ON r_regionkey = n_regionkey"""
+ORACLES |= {
+    "kept_snapshots": series(c.KEPT_FIRST),
+    "bucketed_migration": ORACLES["migration"],
+    "distinct_buyers": f"""SELECT quarter, r_name, large, grouping(quarter, r_name, large) AS level, count(DISTINCT customer_id) AS customers
+        FROM (SELECT CAST(date_trunc('quarter', ts) AS DATE) AS quarter, coalesce(r_name, '(unknown)') AS r_name, amount >= 200000 AS large, customer_id
+              FROM ({ORDERS}) LEFT JOIN customer ON c_custkey = customer_id LEFT JOIN nation ON n_nationkey = c_nationkey
+              LEFT JOIN region ON r_regionkey = n_regionkey WHERE ts < DATE '{c.AS_OF}') GROUP BY CUBE (quarter, r_name, large)""",
+    "segments_by_region": f"""SELECT customer_id, coalesce(r_name, '(unknown)') AS r_name, recency_days, frequency, CASE
+        WHEN recency_days BETWEEN 0 AND 60 + 30 * r_regionkey AND frequency >= 8 + r_regionkey THEN 'active'
+        WHEN recency_days BETWEEN 0 AND 60 + 30 * r_regionkey AND frequency BETWEEN 0 AND 7 + r_regionkey THEN 'recent'
+        WHEN recency_days >= 61 + 30 * r_regionkey AND frequency BETWEEN 0 AND 3 THEN 'lapsed'
+        WHEN recency_days BETWEEN 61 + 30 * r_regionkey AND 400 AND frequency >= 4 THEN 'fading'
+        WHEN recency_days >= 401 AND frequency >= 4 THEN 'lost' END AS segment FROM {REGIONS}""",
+}
