@@ -372,17 +372,19 @@ def clean(
     null, since documents are told apart by id and text.
     """
     found = leaks(docs, benchmark, id, text, item_id, item_text, short_items).select(F.col(id).alias("found_id"), F.col("key").alias("found_key"), "item_id", "matched_words")
-    long = found.where(F.col("matched_words") >= SHORTEST_ITEM).select("found_id", "found_key").distinct()
+    found = materialize(found, "leaks")  # read several times below
+    gone = found.where(F.col("matched_words") >= SHORTEST_ITEM).select("found_id", "found_key").distinct()
     marked = docs.withColumn("key__", F.xxhash64(text))
-    same = marked[id].eqNullSafe(F.col("found_id")) & (F.col("key__") == F.col("found_key"))
-    if short_items:
+    short = found.where(F.col("matched_words") < SHORTEST_ITEM)
+    if short_items and not short.isEmpty():
         # an item is named by the smallest of its ids, and so is found under that
         items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), folded(F.col(item_text)).alias("item"))
-        short = found.where(F.col("matched_words") < SHORTEST_ITEM).join(items, "item_id").groupBy("found_id", "found_key").agg(F.collect_set("item").alias("items"))
-        parts = marked.select(id, "key__", F.transform(whole_parts(docs, text), folded).alias("parts"))
-        alone = parts.join(short, same_key(parts, id)).where(F.arrays_overlap("parts", "items")).select("found_id", "found_key")
-        long = long.unionAll(alone).distinct()
-    return marked.join(long, same, "left_anti").select(*docs.columns)
+        wanted = materialize(short.join(items, "item_id").groupBy("found_id", "found_key").agg(F.collect_set("item").alias("items")), "short-items")
+        holding = marked.select(id, text, "key__")
+        holding = holding.join(wanted, same_key(holding, id))
+        alone = holding.where(F.arrays_overlap(F.transform(whole_parts(holding, text), folded), "items"))
+        gone = gone.unionAll(alone.select("found_id", "found_key")).distinct()
+    return marked.join(gone, same_key(marked, id), "left_anti").select(*docs.columns)
 
 
 def same_key(docs: DataFrame, id: str) -> Column:
