@@ -336,7 +336,7 @@ def leaks(
     aligned = (
         pairs.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("slots", slots)
         .groupBy("id", "key", "item_id", "shift", "length")
-        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"), F.max("literal").alias("exact"), F.min("item_literals").alias("item_literals"))
+        .agg(F.sort_array(F.collect_set("at")).alias("starts"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"), F.max("literal").alias("exact"), F.min("item_literals").alias("item_literals"))
         .withColumn("matched_words", covered(F.col("starts"), F.col("length")))
         .withColumn("literal_words", F.col("matched_words") - distinct_size(F.col("slots.at")))
         .withColumn("mapping", F.array_distinct(F.transform("slots", lambda s: F.struct(s["ours"], s["theirs"]))))

@@ -152,7 +152,7 @@ def mix(
     docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source",
     weights: Sequence[float] = WEIGHTS, most_passes: int = MOST_PASSES, block_words: int = BLOCK_WORDS,
 ) -> DataFrame:
-    """What the mix takes of each document: id, key, source, size, source_size, target, taken, first_slot.
+    """What the mix takes of each document: id, key, source, size, source_size, target, taken, first_slot, source_no.
 
     ``size`` is the number of words in the text (null or empty: 0), ``target`` the words its source
     should give, ``taken`` the words of the document that the mix takes, repeats counted: at most
@@ -178,24 +178,47 @@ def mix(
     u, t = units.alias("u"), taken.alias("t")
     found = u.join(t, F.expr("u.source_no = t.source_no and u.key = t.key and u.id <=> t.id"), "left")
     per_unit = found.select(
-        "u.source", "u.key", "u.id", "source_size", "target", "first_slot",
+        "u.source", "u.source_no", "u.key", "u.id", "source_size", "target", "first_slot",
         F.floor(F.coalesce("unit_taken", F.lit(0)) / F.col("copies")).alias("taken"),
     )
     r, p = rows.alias("r"), per_unit.alias("p")
     same_row = F.expr("r.key <=> p.key and r.source <=> p.source and r.id <=> p.id")
     return r.join(p, same_row).select(
         F.col("r.id").alias(id), F.col("r.key").alias("key"), F.col("r.source").alias(source), F.col("r.size").alias("size"),
-        "source_size", "target", "taken", "first_slot",
+        "source_size", "target", "taken", "first_slot", "source_no",
     )
 
 
-def blend(docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: each document as many times as the mix takes its
-    words, to the nearest whole number; documents that are not taken are gone."""
-    found = mix(docs, id, text, source, **options)
-    times = F.floor(F.col("taken") / F.nullif(F.col("size"), F.lit(0)) + 0.5).cast("int")
-    taken = found.select(F.col(id).alias("id__"), F.col(source).alias("source__"), F.col("key").alias("key__"), times.alias("times__"))
-    taken = taken.where("times__ > 0").distinct()
+def blend(
+    docs: DataFrame, id: str = "doc_id", text: str = "text", source: str = "source", most_passes: int = MOST_PASSES, **options
+) -> DataFrame:
+    """The mix itself, with the columns of ``docs``: each document a whole number of times; documents that are not taken are gone.
+
+    What ``mix`` takes is rounded down to whole documents. What a source lacks then, less than one of its documents, is
+    made up by others of its documents, in the order of the shuffle, as long as they fit, and by one more if that
+    comes closer to the target. No document is taken more than ``most_passes`` times. Rows equal in id, source and
+    text are taken together.
+    """
+    found = mix(docs, id, text, source, most_passes=most_passes, **options).where("size > 0")
+    equal = found.groupBy(F.col("key"), F.col(id).alias("id"), F.col(source).alias("source")).agg(
+        F.max("source_no").alias("source_no"), F.max("size").alias("size"), F.max("taken").alias("taken"), F.max("target").alias("target"), F.count("*").alias("copies")
+    )
+    units = materialize(
+        equal.select("key", "id", "source", "source_no", "target", (F.col("copies") * F.col("size")).alias("words"), F.floor(F.col("taken") / F.col("size")).alias("times")), "units"
+    )
+    rooms = units.groupBy("source_no").agg((F.round(F.max("target")) - F.sum(F.col("times") * F.col("words"))).cast("long").alias("room"))
+    rest = materialize(units.where(F.col("times") < most_passes).join(rooms, "source_no").select("source_no", "key", "id", "words", "room"), "rest")
+    placed = laid_out(rest.where("words <= room")).where("offset + words <= room").select("source_no", "key", "id", "words")
+    placed = materialize(placed, "made-up")
+    made_up = placed.groupBy("source_no").agg(F.sum("words").alias("made_up"))
+    r, p, u = rest.alias("r"), placed.alias("p"), units.alias("u")
+    others = r.join(p, F.expr("r.source_no = p.source_no and r.key = p.key and r.id <=> p.id"), "left_anti").join(made_up, "source_no", "left")
+    others = others.withColumn("lack", F.col("room") - F.coalesce("made_up", F.lit(0))).withColumn("miss", F.abs(F.col("lack") - F.col("words")))
+    last = others.where("miss < lack").groupBy("source_no").agg(F.min(F.struct("miss", "key", "id")).alias("last")).select("source_no", "last.key", "last.id")
+    more = placed.select("source_no", "key", "id").unionByName(last).withColumn("more", F.lit(1)).alias("m")
+    counted = u.join(more, F.expr("u.source_no = m.source_no and u.key = m.key and u.id <=> m.id"), "left")
+    times = (F.col("times") + F.coalesce("more", F.lit(0))).cast("int")
+    taken = counted.select(F.col("u.id").alias("id__"), F.col("u.source").alias("source__"), F.col("u.key").alias("key__"), times.alias("times__")).where("times__ > 0")
     same = shuffle_key(id, text).eqNullSafe(F.col("key__")) & F.col(id).eqNullSafe(F.col("id__")) & F.col(source).eqNullSafe(F.col("source__"))
     joined = docs.join(taken, same)
     return joined.withColumn("time__", F.explode(F.sequence(F.lit(1), "times__"))).select(*docs.columns)

@@ -84,10 +84,42 @@ def test_ranks_over_many_spans(spark, monkeypatch):
         assert [block for _, s, block in slots if s == source] == list(range(n))
 
 
-def test_blend_repeats_documents(sample, odd):
-    found = mixing.mix(sample).collect()
-    expected = sorted(row.doc_id for row in found for _ in range(int(row.taken / row.size + 0.5)) if row.size)
-    blended = mixing.blend(sample)
-    assert blended.columns == sample.columns
-    assert sorted(row.doc_id for row in blended.collect()) == expected
-    assert mixing.blend(odd.withColumnRenamed("lang", "key")).count() >= 0
+def slow_blend(mixed, most_passes=3):
+    """(source, key, id) -> times, from the rows of ``mix``: whole documents, those that fit in the order of the shuffle, one more."""
+    units = {}
+    for row in mixed:
+        if row.size:
+            unit = units.setdefault((row.source, row.key, row.doc_id), [0, row.taken // row.size, row.target])
+            unit[0] += row.size
+    times = {unit: n for unit, (_, n, _) in units.items()}
+    for source in {unit[0] for unit in units}:
+        own = sorted((u for u in units if u[0] == source), key=lambda u: (u[1], u[2] is not None, u[2] or 0))
+        room = int(units[own[0]][2] + 0.5) - sum(times[u] * units[u][0] for u in own)
+        rest = [u for u in own if times[u] < most_passes]
+        end, added = 0, set()
+        for unit in rest:
+            words = units[unit][0]
+            if words <= room:
+                end += words
+                if end <= room:
+                    added.add(unit)
+        lack = room - sum(units[u][0] for u in added)
+        near = [(abs(lack - units[u][0]), *u[1:], u) for u in rest if u not in added and abs(lack - units[u][0]) < lack]
+        for unit in [*added, *(x[-1] for x in sorted(near, key=lambda x: x[:2])[:1])]:
+            times[unit] += 1
+    return times
+
+
+def test_blend_equals_plain_python_and_comes_near_its_targets(spark, testdata, sample, odd):
+    for docs in (sample, spark.read.parquet(f"{testdata}/sf0.01/documents.parquet")):
+        mixed = mixing.mix(docs).collect()
+        times = slow_blend(mixed)
+        blended = mixing.blend(docs)
+        assert blended.columns == docs.columns
+        rows = blended.select("doc_id", "source", "text").collect()
+        assert sorted(row.doc_id for row in rows) == sorted(u[2] for u, n in times.items() for _ in range(n))
+        assert max(times.values()) <= 3
+    got = {s: sum(len(words(row.text)) for row in rows if row.source == s) for s in {row.source for row in rows}}
+    assert all(abs(got[row.source] - row.target) <= 0.01 * row.target for row in mixed)  # at sf0.01
+    assert mixing.blend(odd.withColumnRenamed("lang", "key")).count() > 0
+    assert mixing.blend(sample.limit(0)).collect() == []
