@@ -41,10 +41,10 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, to the nearest whole number.
+    """Each document a whole number of times, as often as brings its source near its target.
 
     A document without words (a null or empty text) is never taken. Null sources are one source, the last. Rows equal in id, source and
-    text share what is taken of them. An empty table stays empty.
+    text are taken together. An empty table stays empty.
     """
     return mixing.blend(docs)
 
@@ -62,8 +62,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("sharding", on_shards),
 ]
 
-#: The language classifier is trained, which SQL cannot express. Tests hold the operators against brute force, but of the
-#: stages and of run() only columns, row counts and some junk rows.
+#: The language classifier is trained, which SQL cannot express. Tests hold what run() makes of the documents of the language
+#: stage against plain Python, on a whole table.
 ORACLE_SQL = None
 
 
