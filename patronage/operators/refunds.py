@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from patronage.functions.columns import TOTAL_MONEY
 from patronage.sources.purchases import MONEY
@@ -12,27 +13,31 @@ PURCHASE = ("customer_id", "txn_id", "ts", "amount")
 WITHOUT, OTHER, BEFORE, BEYOND = "refund without sale", "refund by another customer", "refund before sale", "refund beyond sale"
 
 
-def first_sales(purchases: DataFrame) -> DataFrame:
-    """One sale per transaction: the earliest, then lowest customer, then lowest amount. Combined before the shuffle."""
-    sales = purchases.where("amount >= 0").groupBy("txn_id").agg(F.min(F.struct("ts", "customer_id", "amount")).alias("first"))
-    return sales.select("first.customer_id", "txn_id", "first.ts", "first.amount")
+def unique_rows(purchases: DataFrame) -> DataFrame:
+    """One sale per transaction, the earliest, then lowest customer, then lowest amount, and its refunds without repeats.
+
+    ``refund`` is NULL for the sale, else a struct of time, customer and amount: only rows that agree in these and the transaction
+    repeat each other, so a transaction may have any number of partial refunds. Combined before the shuffle.
+    """
+    row = F.struct("ts", "customer_id", "amount")
+    found = purchases.where("amount IS NOT NULL").groupBy("txn_id", F.when(F.col("amount") < 0, row).alias("refund")).agg(F.min(row).alias("first"))
+    return found.select("first.customer_id", "txn_id", "first.ts", "first.amount", "refund")
 
 
-def unique_refunds(purchases: DataFrame) -> DataFrame:
-    """Refunds without repeats. Only rows that agree in transaction, customer, time and amount repeat each
-    other, so a transaction may have any number of partial refunds."""
-    return purchases.where("amount < 0").select(*PURCHASE).distinct()
+def in_order(*order: str) -> WindowSpec:
+    """The rows of a transaction up to each; a window holds those of one transaction."""
+    return Window.partitionBy("txn_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def taken_back(refunds: DataFrame, sale_amount: str = "sale_amount") -> DataFrame:
+def taken_back(refunds: DataFrame, sale_amount: str = "sale_amount", order: tuple[str, ...] = ("ts", "customer_id", "amount"), counts: Column | None = None) -> DataFrame:
     """Refunds of known sales with ``accepted``, the part of each that its sale still covers.
 
     In order of time, each refund takes up the interval of the sale between the running totals before and after it; what
-    lies beyond the sale's amount is not accepted. A window holds the refunds of one sale.
+    lies beyond the sale's amount is not accepted. Rows for which ``counts`` is not true take up nothing.
     """
-    in_order = Window.partitionBy("txn_id").orderBy("ts", "customer_id", "amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     own, whole = (-F.col("amount")).cast(TOTAL_MONEY), F.col(sale_amount).cast(TOTAL_MONEY)
-    after = F.sum(own).over(in_order)
+    own = own if counts is None else F.when(counts, own).otherwise(F.lit(0).cast(TOTAL_MONEY))
+    after = F.sum(own).over(in_order(*order))
     rows = refunds.withColumn("after__", after.cast(TOTAL_MONEY)).withColumn("before__", (F.col("after__") - own).cast(TOTAL_MONEY))
     accepted = F.least("after__", whole) - F.least("before__", whole)
     return rows.withColumn("accepted", accepted.cast(MONEY)).drop("after__", "before__")
@@ -51,14 +56,16 @@ def settle_refunds(purchases: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Expects valid rows, negative amounts being refunds under the id of their sale. A refund that no sale precedes, or that
     another customer made, is rejected whole; one that exceeds what is left of its sale is cut, and the rest is
-    rejected. Accepted and rejected parts add up to all refunds. Sales and refunds are brought together by one join on
-    the transaction, whose sale side the deduplication has already dealt out.
+    rejected. Accepted and rejected parts add up to all refunds. The purchases are read once: each transaction's sale and then its
+    refunds pass by in the order that removing repeats has sorted them into, without a join.
     """
-    sales = first_sales(purchases)
-    known = sales.select("txn_id", F.col("customer_id").alias("sale_customer"), F.col("ts").alias("sale_ts"), F.col("amount").alias("sale_amount"))
-    judged = unique_refunds(purchases).join(known, "txn_id", "left").withColumn("reason", why_unmatched())
-    matched = taken_back(judged.where("reason IS NULL"))
-    settled = sales.unionByName(matched.where("accepted > 0").select("customer_id", "txn_id", "ts", (-F.col("accepted")).cast(MONEY).alias("amount")))
-    beyond = matched.withColumn("amount", (F.col("amount") + F.col("accepted")).cast(MONEY)).where("amount < 0").withColumn("reason", F.lit(BEYOND))
-    rejects = judged.where("reason IS NOT NULL").select(*PURCHASE, "reason").unionByName(beyond.select(*PURCHASE, "reason"))
-    return settled, rejects
+    sale = F.first(F.when(F.col("refund").isNull() & F.col("txn_id").isNotNull(), F.struct("ts", "customer_id", "amount"))).over(in_order("refund"))
+    known = unique_rows(purchases).withColumn("sale", sale).select(
+        *PURCHASE, "refund", F.col("sale.customer_id").alias("sale_customer"), F.col("sale.ts").alias("sale_ts"), F.col("sale.amount").alias("sale_amount")
+    )
+    is_refund = F.col("refund").isNotNull()
+    judged = taken_back(known.withColumn("reason", why_unmatched()), order=("refund",), counts=is_refund & F.col("reason").isNull())
+    kept = F.when(is_refund, -F.col("accepted")).otherwise(F.col("amount")).cast(MONEY)
+    settled = judged.where(~is_refund | (F.col("accepted") > 0)).select("customer_id", "txn_id", "ts", kept.alias("amount"))
+    left = judged.where(is_refund).withColumn("amount", (F.col("amount") + F.col("accepted")).cast(MONEY)).where("amount < 0")
+    return settled, left.select(*PURCHASE, F.coalesce("reason", F.lit(BEYOND)).alias("reason"))

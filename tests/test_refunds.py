@@ -85,3 +85,25 @@ def test_equals_plain_python(spark, seed):
     assert (told(settled), told(rejects)) == brute(plain)
     total = lambda rows: sum(row[3] for row in rows if row[3] < 0)
     assert total(told(settled)) + total(told(rejects)) == sum(a for _, _, _, a in {row for row in plain if row[3] < 0})
+
+
+def test_purchases_are_read_once(spark, tmp_path):
+    """Tasks would hold a sort or a hash table for each further time."""
+    rows = [(1, 7, "2024-01-01", 100), (1, 7, "2024-01-02", -70), (1, 7, "2024-01-03", -50), (2, 8, "2024-01-03", -5)]
+    b.purchases(spark, rows).write.parquet(f"{tmp_path}/rows")
+    for told_of in settle_refunds(spark.read.parquet(f"{tmp_path}/rows")):
+        plan = told_of._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and "Join" not in plan and "partial_min" in plan
+        assert plan.count("Exchange") == 2
+
+
+def test_rows_without_a_transaction_and_repeated_sales(spark):
+    rows = b.purchases(spark, [
+        (1, None, "2024-01-01", 100), (1, None, "2024-01-02", -10), (3, 7, "2024-01-02", 5), (2, 7, "2024-01-01", 30), (2, 7, "2024-01-01", 30),
+        (2, 7, "2024-01-01", 20), (2, 7, "2024-01-03", -25), (2, 7, "2024-01-03", -25), (3, 7, "2024-01-03", -1), (1, 7, "2024-01-05", None),
+    ])
+    settled, rejects = settle_refunds(rows)
+    assert sorted((r.customer_id, r.txn_id or 0, str(r.amount)) for r in settled.collect()) == [(1, 0, "100.00"), (2, 7, "-20.00"), (2, 7, "20.00")]
+    assert sorted((r.customer_id, r.txn_id or 0, str(r.amount), r.reason) for r in rejects.collect()) == [
+        (1, 0, "-10.00", "refund without sale"), (2, 7, "-5.00", "refund beyond sale"), (3, 7, "-1.00", "refund by another customer"),
+    ]
