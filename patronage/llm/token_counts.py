@@ -53,12 +53,24 @@ def slices(text: str) -> Iterator[list[str]]:
         start, first = cut.end(), False
 
 
+class Known(dict):
+    """Token counts by piece. Those looked up in vain count as nothing and are noted in ``missed``."""
+
+    def __init__(self, held: dict[str, int]) -> None:
+        super().__init__(held)
+        self.missed: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self.missed.append(piece)
+        return 0
+
+
 class PieceLengths:
     """Token counts of pieces: the frequent ones as sent, others cached as they occur."""
 
     def __init__(self, path: str, frequent: dict[str, int], cache_entries: int) -> None:
         self.path, self.frequent, self.cache_entries = path, frequent, cache_entries
-        self.known: dict[str, int] = {}
+        self.known = Known({})
         self.library = None
 
     def load(self):
@@ -73,7 +85,8 @@ class PieceLengths:
         return self.library
 
     def lengths(self, found: list[str]) -> list[int]:
-        return [len(code.ids) for code in self.load().encode_batch(found, add_special_tokens=False)]
+        # the fast form keeps no offsets, which nothing here asks for
+        return list(map(len, self.load().encode_batch_fast(found, add_special_tokens=False)))
 
     def counts(self, texts: list[str | None]) -> list[int]:
         self.load()
@@ -95,11 +108,16 @@ class PieceLengths:
 
     def settle(self, waiting: list[tuple[int, list[str]]], totals: list[int]) -> None:
         if not self.known or len(self.known) > len(self.frequent) + self.cache_entries:
-            self.known = dict(self.frequent)
-        new = list(set().union(*(found for _, found in waiting)) - self.known.keys())
-        self.known.update(zip(new, self.lengths([spoken(piece) for piece in new])))
+            self.known = Known(self.frequent)
+        missed = []
         for at, found in waiting:
             totals[at] += sum(map(self.known.__getitem__, found))
+            missed.append((at, self.known.missed))
+            self.known.missed = []
+        new = list(set().union(*(found for _, found in missed)))
+        self.known.update(zip(new, self.lengths([spoken(piece) for piece in new])))
+        for at, found in missed:
+            totals[at] += sum(map(self.known.__getitem__, found))
 
 
 def frequent_pieces(docs: DataFrame, text: str = "text", entries: int = 32_768, per_task: int = 8_192) -> DataFrame:

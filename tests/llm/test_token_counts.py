@@ -49,3 +49,16 @@ def test_frequent_pieces_are_counted_over_all_texts(make):
     docs = make([(i, "red green red") for i in range(50)])
     found = {row.piece: row.n for row in token_counts.frequent_pieces(docs).collect()}
     assert found == {" red": 50, "green": 50, "red": 50}
+
+
+def test_each_new_piece_goes_to_the_library_once(library, monkeypatch):
+    """One lookup tells known pieces from new ones, and the library keeps no offsets for them."""
+    table, asked = token_counts.PieceLengths(queries.tokenizer_path(), {"green": 1}, 20), []
+    lengths = table.lengths
+    monkeypatch.setattr(table, "lengths", lambda found: asked.append(sorted(found)) or lengths(found))
+    texts = ["red green blue green blue", "blue red", None, "blue"]
+    assert table.counts(texts) == [count(library, t) for t in texts]
+    assert asked == [[" blue", " red", "blue", "red"]]
+    assert table.counts(texts) == [count(library, t) for t in texts] and asked[1:] in ([], [[]])
+    known = token_counts.Known({"green": 1})
+    assert sum(map(known.__getitem__, ["green", "red", "red"])) == 1 and known.missed == ["red", "red"] and "red" not in known
